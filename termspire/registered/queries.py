@@ -533,11 +533,8 @@ def bm25_per_term(spark, sf_dir):
 
 @query
 def batch_best(spark, sf_dir):
-    """The best document of every conversation turn that has a known term."""
-    turns = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qno"), F.col("text").alias("QueryText")
-    )
-    asked = tokens.tokenize_queries(turns)
+    """The best document of every benchmark passage that has a known term."""
+    asked = benchmark_queries(spark, sf_dir)
     return _scores(batch.run_batch(document_index(spark, sf_dir), asked, k=1))
 
 

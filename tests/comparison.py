@@ -28,7 +28,7 @@ def differences(spark_table, duck_table):
     if types != expected_types:
         return f"types {list(zip(names, types, expected_types))}"
     if rows != expected:
-        only = [r for r in rows if r not in set(expected)][:3]
-        missing = [r for r in expected if r not in set(rows)][:3]
-        return f"{len(rows)} rows, expected {len(expected)}; extra {only}; missing {missing}"
+        extra = sorted(set(rows) - set(expected))[:3]
+        missing = sorted(set(expected) - set(rows))[:3]
+        return f"{len(rows)} rows, expected {len(expected)}; extra {extra}; missing {missing}"
     return None
