@@ -51,9 +51,11 @@ def build_index(
     docid: str = "doc_id",
     text: str = "text",
     name: Column | None = None,
+    unique_docs: bool | None = None,
 ) -> Index:
     """Index of all rows. A docid that occurs several times is kept as often, as a raw load does.
 
+    Whether one does is checked, unless `unique_docs` tells.
     The tokenised rows are staged once, then read column by column: lengths for `docs`, terms for
     `dict`, terms and frequencies for `postings`. Term ids are dense, from 0, in term order.
     """
@@ -68,7 +70,8 @@ def build_index(
         F.count(F.lit(1)).alias("num_docs"),
         F.avg("len").alias("avgdl"),
     )
-    repeated = docs.groupBy("docid").count().where(F.col("count") > 1).limit(1).count()
+    if unique_docs is None:
+        unique_docs = docs.groupBy("docid").count().where(F.col("count") > 1).isEmpty()
 
     counted = (
         forward.select(F.explode("terms.term").alias("term"))
@@ -83,7 +86,7 @@ def build_index(
         dict=terms,
         docs=docs,
         stats=totals,
-        unique_docs=repeated == 0,
+        unique_docs=unique_docs,
     )
 
 

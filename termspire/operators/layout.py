@@ -44,15 +44,33 @@ def choose_shift(
     size gets one. `max_buckets` bounds the number of folders on very large tables, where files
     inside a bucket are sorted and prune further. NULL when no m is large enough.
     """
-    size = postings.agg(
-        F.count(F.lit(1)).alias("rows"), F.max("termid").alias("top")
+    size = postings.agg(F.count(F.lit(1)).alias("rows"), F.max("termid").alias("top"))
+    return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets)
+
+
+def choose_shift_by_dict(
+    terms: DataFrame,
+    bytes_per_row: int = POSTING_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    max_buckets: int | None = None,
+) -> DataFrame:
+    """The same from the dictionary alone: its frequencies add up to the number of postings, so the
+    largest table need not be read."""
+    size = terms.agg(
+        F.coalesce(F.sum("df"), F.lit(0)).alias("rows"), F.max("termid").alias("top")
     )
+    return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets)
+
+
+def _shift_for(
+    size: DataFrame, bytes_per_row: int, bucket_bytes: int, max_buckets: int | None
+) -> DataFrame:
     wanted = F.expr(f"rows * {int(bytes_per_row)} div {int(bucket_bytes)}")
     if max_buckets is not None:
         wanted = F.least(wanted, F.lit(max_buckets).cast("long"))
-    width = size.select(
-        F.col("top"), F.greatest(wanted, F.lit(1).cast("long")).alias("wanted")
-    ).select(F.expr("top div wanted").alias("width"))
+    width = size.select("top", F.greatest(wanted, F.lit(1).cast("long")).alias("wanted")).select(
+        F.expr("top div wanted").alias("width")
+    )
     fits = F.filter(
         F.sequence(F.lit(0), F.lit(MAX_SHIFT - 1)),
         lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m) > F.col("width"),

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from termspire.functions.keys import crange
 from termspire.model import Index
-from termspire.plans.staging import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, broadcast_if_small
+from termspire.plans.skew import frequent_keys, spread_join
+from termspire.plans.staging import (
+    MAX_BROADCAST_BYTES,
+    MAX_BROADCAST_ROWS,
+    broadcast_if_small,
+    stage,
+)
 
 # A longer list of term ids is not written into the plan as constants.
 MAX_CONSTANTS = 1_000
@@ -110,15 +116,27 @@ def unknown_queries(queries: DataFrame, found: DataFrame) -> DataFrame:
 def docs_for_terms(index: Index, words: DataFrame, column: str = "qterm") -> DataFrame:
     """(word, docid) of every posting of the given words; unknown words give no rows.
 
-    The join carries the bucket of each term id, so only the folders of those buckets are read.
+    The join carries the bucket of each term id, so only the folders of those buckets are read. A
+    list too long to broadcast is joined by term id, with the frequent terms spread.
     """
-    ids = term_ids(index.dict, words, column).where(F.col("known")).select("word", "termid")
+    words = words.select(F.col(column).alias("word")).distinct()
+    terms = index.dict
+    size = measure_queries(words.select(F.col("word").alias("qterm")))
+    if len(size.keys) <= MAX_CONSTANTS and "crange" in terms.columns:
+        terms = terms.where(F.col("crange").isin(size.keys))
+    small = size.broadcastable
+    found = terms.join(F.broadcast(words) if small else words, F.col("term") == F.col("word"))
+    ids = found.select("word", "termid", "df")
+    if not small:
+        ids = stage(ids, "words")
+        frequent = frequent_keys(ids, "termid", "df", ids.select(F.sum("df")).scalar())
+        joined = spread_join(index.postings, ids, "termid", frequent, ["docid"])
+        return joined.select("word", "docid")
     keys = ["termid"]
     if "thash" in index.postings.columns:
         ids = ids.withColumn("thash", index.layout.bucket(F.col("termid")))
         keys.append("thash")
-    small = ids.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return index.postings.join(F.broadcast(ids) if small else ids, keys).select("word", "docid")
+    return index.postings.join(F.broadcast(ids), keys).select("word", "docid")
 
 
 def docs_of_term_id(index: Index, termid: int) -> DataFrame:

@@ -16,6 +16,8 @@ from termspire.plans.staging import MAX_BROADCAST_ROWS, MAX_LOCAL_ROWS, local_re
 # The sum of floating-point scores depends on the order of the rows in its last digits. Ranking by
 # nine decimals makes scores that are equal on paper tie, and the docid then decides.
 RANK_STEPS = 1e9
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+MAX_TRIMMED_BY_SPARK = 1_000
 
 
 @dataclass(frozen=True)
@@ -230,11 +232,26 @@ def rank_key(score: Column) -> Column:
     return F.floor(score * F.lit(RANK_STEPS) + F.lit(0.5))
 
 
-def ranked(scores: DataFrame, k: int | None = None, ties: tuple[str, ...] = ("docid",)) -> DataFrame:
-    """Add `rank` per query, best first, and keep the first k. Spark trims each task to k beforehand."""
-    order = Window.partitionBy("qno").orderBy(rank_key(F.col("bm25score")).desc(), *ties)
-    numbered = scores.withColumn("rank", F.row_number().over(order))
-    return numbered if k is None else numbered.where(F.col("rank") <= k)
+def ranked(scores: DataFrame, k: int, ties: tuple[str, ...] = ("docid",)) -> DataFrame:
+    """The k best rows per query, with their `rank`.
+
+    Spark trims each task to k rows per query before it shuffles them by query, up to its limit for
+    k. Beyond that the trimming is spelled out here, so that one query never meets in one task whole.
+    """
+    order = [rank_key(F.col("bm25score")).desc(), *ties]
+    if k > MAX_TRIMMED_BY_SPARK:
+        slices = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        in_slice = Window.partitionBy("qno", "_slice").orderBy(*order)
+        scores = (
+            scores.withColumn("_slice", F.pmod(F.xxhash64(*ties), F.lit(slices)))
+            .withColumn("rank", F.row_number().over(in_slice))
+            .where(F.col("rank") <= k)
+            .drop("_slice", "rank")
+        )
+    numbered = scores.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("qno").orderBy(*order))
+    )
+    return numbered.where(F.col("rank") <= k)
 
 
 def sorted_results(results: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termspire.model import Index, Layout
 from termspire.operators.duplicates import corrected_index
 from termspire.operators.index_build import build_index
-from termspire.operators.layout import choose_shift
+from termspire.operators.layout import choose_shift_by_dict
 from termspire.operators.tokens import tokenize_queries
 from termspire.plans.staging import new_folder, workspace
 from termspire.sinks import write_index
@@ -62,7 +62,7 @@ def document_index(spark: SparkSession, sf_dir: str) -> Index:
 
     def make() -> Index:
         built = build_index(table(spark, sf_dir, "documents"))
-        shift = choose_shift(built.postings, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
+        shift = choose_shift_by_dict(built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
         layout = Layout("shift", shift.first()["shift"])
         return write_index(built, new_folder(spark, "documents"), layout)
 

@@ -165,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
             min(termid) AS first_termid, max(termid) AS last_termid FROM postings GROUP BY 1""",
         "hash_layout": f"{docs} SELECT termid, 1::BIGINT AS buckets, df AS rows FROM dict",
         "shift_choice": f"{docs} {shift}",
+        "shift_choice_by_dict": f"{docs} {shift}",
         "bucket_scan": f"""{docs} SELECT docid FROM postings
             WHERE termid = (SELECT termid FROM dict WHERE term = 'the')""",
         "shift_bucket_scan": f"""{docs},

@@ -13,7 +13,7 @@ from termspire import schemas
 from termspire.functions.keys import register_sql_functions
 from termspire.model import Layout
 from termspire.operators import batch, duplicates, lookup, profile, rank, sampling, tokens
-from termspire.operators.layout import choose_shift, layout_shift, with_lengths
+from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
 from termspire.registered.fixtures import (
     PROBE_TERMS,
@@ -121,9 +121,18 @@ def hash_layout(spark, sf_dir):
 @query
 def shift_choice(spark, sf_dir):
     """The shift for several bucket sizes."""
-    postings = document_index(spark, sf_dir).postings
+    return _shifts(choose_shift, document_index(spark, sf_dir).postings)
+
+
+@query
+def shift_choice_by_dict(spark, sf_dir):
+    """The same, from the dictionary alone."""
+    return _shifts(choose_shift_by_dict, document_index(spark, sf_dir).dict)
+
+
+def _shifts(choose, source):
     choices = [
-        choose_shift(postings, bucket_bytes=size).select(
+        choose(source, bucket_bytes=size).select(
             F.lit(size).cast("long").alias("bucket_bytes"), F.col("shift").cast("long").alias("shift")
         )
         for size in (64 << 10, 256 << 10, 100 << 20)

@@ -5,7 +5,7 @@ import micro
 from termspire import Layout, schemas
 from termspire.operators import lookup, profile, rank
 from termspire.operators.index_build import build_index
-from termspire.operators.layout import choose_shift, layout_hash, layout_shift, with_lengths
+from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_hash, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
 from termspire.sinks import write_index
 from termspire.sources import create_tables, read_folder, read_index, read_tables, register_views
@@ -90,6 +90,13 @@ def test_choose_shift_bounds_the_folders(spark):
     assert choose_shift(postings, bucket_bytes=16, max_buckets=4).first()["shift"] == 8
 
 
+def test_choose_shift_by_dict(spark):
+    index = micro.index(spark)
+    for size in (1, 16, 100, 1 << 20):
+        by_dict = choose_shift_by_dict(index.dict, bucket_bytes=size).first()
+        assert by_dict == choose_shift(index.postings, bucket_bytes=size).first()
+
+
 def test_layouts_add_the_bucket_once(spark):
     postings = micro.index(spark).postings
     assert layout_shift(layout_hash(postings, 4), 2).columns == [*postings.columns, "thash"]

@@ -150,6 +150,19 @@ def test_large_batches_take_other_joins_to_the_same_rows(
     assert sorted(map(tuple, rank.filtered_postings(corpus_index, asked).collect())) == found
 
 
+def test_many_results_per_query(corpus_index, asked, monkeypatch):
+    plain = rows(rank.bm25(corpus_index, asked, k=40))
+    monkeypatch.setattr(rank, "MAX_TRIMMED_BY_SPARK", 3)
+    assert rows(rank.bm25(corpus_index, asked, k=40)) == plain
+
+
+def test_long_word_lists(corpus_index, asked, monkeypatch):
+    short = sorted(map(tuple, lookup.docs_for_terms(corpus_index, asked).collect()))
+    monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "SLOTS", 4)
+    assert sorted(map(tuple, lookup.docs_for_terms(corpus_index, asked).collect())) == short
+
+
 def test_plan_has_one_shuffle_of_scores_and_no_cartesian_product(corpus_index, asked):
     plan = rank.bm25(corpus_index, asked, k=10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(docid") == 1
