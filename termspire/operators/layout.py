@@ -37,15 +37,16 @@ def choose_shift(
     bytes_per_row: int = POSTING_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
     max_buckets: int | None = None,
+    max_shift: int = MAX_SHIFT,
 ) -> DataFrame:
-    """One row, one column `shift`: the smallest m under 20 with 2^m > max(termid) div buckets.
+    """One row, one column `shift`: the smallest m < max_shift with 2^m > max(termid) div buckets.
 
     The wanted number of buckets is the size of the postings over `bucket_bytes`; a table under that
     size gets one. `max_buckets` bounds the number of folders on very large tables, where files
     inside a bucket are sorted and prune further. NULL when no m is large enough.
     """
     size = postings.agg(F.count(F.lit(1)).alias("rows"), F.max("termid").alias("top"))
-    return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets)
+    return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets, max_shift)
 
 
 def choose_shift_by_dict(
@@ -53,17 +54,22 @@ def choose_shift_by_dict(
     bytes_per_row: int = POSTING_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
     max_buckets: int | None = None,
+    max_shift: int = MAX_SHIFT,
 ) -> DataFrame:
     """The same from the dictionary alone: its frequencies add up to the number of postings, so the
     largest table need not be read."""
     size = terms.agg(
         F.coalesce(F.sum("df"), F.lit(0)).alias("rows"), F.max("termid").alias("top")
     )
-    return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets)
+    return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets, max_shift)
 
 
 def _shift_for(
-    size: DataFrame, bytes_per_row: int, bucket_bytes: int, max_buckets: int | None
+    size: DataFrame,
+    bytes_per_row: int,
+    bucket_bytes: int,
+    max_buckets: int | None,
+    max_shift: int,
 ) -> DataFrame:
     wanted = F.expr(f"rows * {int(bytes_per_row)} div {int(bucket_bytes)}")
     if max_buckets is not None:
@@ -72,7 +78,7 @@ def _shift_for(
         F.expr("top div wanted").alias("width")
     )
     fits = F.filter(
-        F.sequence(F.lit(0), F.lit(MAX_SHIFT - 1)),
+        F.sequence(F.lit(0), F.lit(max_shift - 1)),
         lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m) > F.col("width"),
     )
     return width.select(F.array_min(fits).cast("int").alias("shift"))

@@ -14,7 +14,10 @@ from termspire.plans.skew import frequent_keys, spread_join
 from termspire.plans.staging import (
     MAX_BROADCAST_BYTES,
     MAX_BROADCAST_ROWS,
+    MAX_LOCAL_BYTES,
+    MAX_LOCAL_ROWS,
     broadcast_if_small,
+    local_relation,
     stage,
 )
 
@@ -56,6 +59,10 @@ class QuerySize:
     bytes: int
     keys: list[int]
 
+    @property
+    def local(self) -> bool:
+        return self.rows <= MAX_LOCAL_ROWS and self.bytes <= MAX_LOCAL_BYTES
+
     @property
     def broadcastable(self) -> bool:
         return self.rows <= MAX_BROADCAST_ROWS and self.bytes <= MAX_BROADCAST_BYTES
@@ -76,19 +83,30 @@ def distinct_terms(queries: DataFrame) -> DataFrame:
     return queries.groupBy("qno", "qterm").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _restricted(terms: DataFrame, column: str, values: list) -> DataFrame:
+    """The rows with one of the values, if the values are few and the column exists."""
+    if len(values) > MAX_CONSTANTS or column not in terms.columns:
+        return terms
+    return terms.where(F.col(column).isin(values))
+
+
 def lookup_terms(index: Index, queries: DataFrame, size: QuerySize | None = None) -> DataFrame:
     """(qno, term, termid, df, n) for the query terms that the dictionary knows.
 
-    One pass over the dictionary, restricted to the range keys of the batch. The query side is
+    One pass over the dictionary, restricted to the range keys of the batch, and to its words if
+    they are few: the files are sorted, so a short query reads a few row groups. The query side is
     broadcast if its measured size allows.
     """
     size = size or measure_queries(queries)
-    wanted = distinct_terms(queries)
-    terms = index.dict
-    if "crange" in terms.columns and len(size.keys) <= MAX_CONSTANTS:
-        terms = terms.where(F.col("crange").isin(size.keys))
-    if size.broadcastable:
-        wanted = F.broadcast(wanted)
+    terms = _restricted(index.dict, "crange", size.keys)
+    if size.local:
+        counted = queries.select("qno", "qterm").toArrow().group_by(["qno", "qterm"])
+        table = counted.aggregate([([], "count_all")]).rename_columns(["qno", "qterm", "n"])
+        terms = _restricted(terms, "term", table["qterm"].unique().to_pylist())
+        wanted = F.broadcast(local_relation(queries.sparkSession, table))
+    else:
+        wanted = distinct_terms(queries)
+        wanted = F.broadcast(wanted) if size.broadcastable else wanted
     return terms.join(wanted, F.col("term") == F.col("qterm")).select(
         "qno", "term", "termid", "df", "n"
     )
@@ -120,10 +138,8 @@ def docs_for_terms(index: Index, words: DataFrame, column: str = "qterm") -> Dat
     list too long to broadcast is joined by term id, with the frequent terms spread.
     """
     words = words.select(F.col(column).alias("word")).distinct()
-    terms = index.dict
     size = measure_queries(words.select(F.col("word").alias("qterm")))
-    if len(size.keys) <= MAX_CONSTANTS and "crange" in terms.columns:
-        terms = terms.where(F.col("crange").isin(size.keys))
+    terms = _restricted(index.dict, "crange", size.keys)
     small = size.broadcastable
     found = terms.join(F.broadcast(words) if small else words, F.col("term") == F.col("word"))
     ids = found.select("word", "termid", "df")

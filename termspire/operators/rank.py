@@ -11,7 +11,7 @@ from termspire.functions.scoring import K1, B, inverse_document_frequency, term_
 from termspire.model import Index
 from termspire.operators.lookup import MAX_CONSTANTS, lookup_terms, measure_queries
 from termspire.plans.skew import frequent_keys, spread_join
-from termspire.plans.staging import MAX_BROADCAST_ROWS, MAX_LOCAL_ROWS, local_relation, stage
+from termspire.plans.staging import MAX_BROADCAST_ROWS, local_relation, stage
 
 # The sum of floating-point scores depends on the order of the rows in its last digits. Ranking by
 # nine decimals makes scores that are equal on paper tie, and the docid then decides.
@@ -57,7 +57,7 @@ def resolve_terms(index: Index, queries: DataFrame, repeat_terms: bool = False)
         (F.lit(None).cast("int") if bucket is None else bucket).alias("thash"),
     )
     # A term has one row in the dictionary, so the result has no more rows than the batch.
-    if size.rows <= MAX_LOCAL_ROWS:
+    if size.local:
         return _local_terms(found)
     return _staged_terms(found)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # A frame is broadcast, or held by the driver, only after its size was measured against these.
 MAX_LOCAL_ROWS = 50_000
+MAX_LOCAL_BYTES = 4 << 20
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 

@@ -62,7 +62,9 @@ def document_index(spark: SparkSession, sf_dir: str) -> Index:
 
     def make() -> Index:
         built = build_index(table(spark, sf_dir, "documents"))
-        shift = choose_shift_by_dict(built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
+        shift = choose_shift_by_dict(
+            built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS, max_shift=62
+        )
         layout = Layout("shift", shift.first()["shift"])
         return write_index(built, new_folder(spark, "documents"), layout)
 

@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE termid = (SELECT termid FROM dict WHERE term = 'the')""",
         "shift_bucket_scan": f"""{docs},
             sized AS (
-              SELECT (SELECT min(m) FROM (SELECT unnest(range(0, 20)) AS m)
+              SELECT (SELECT min(m) FROM (SELECT unnest(range(0, 62)) AS m)
                       WHERE (1::BIGINT << m) > top // greatest(least((16 * n) // 262144, 1024), 1)) AS s
               FROM (SELECT count(*) AS n, max(termid) AS top FROM postings))
             SELECT count(*) AS rows, sum(tf)::BIGINT AS tokens FROM postings, sized

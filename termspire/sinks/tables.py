@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def write_parquet(df: DataFrame, path: str, *keys: str, mode: str = "overwrite") -> None:
-    """Write a table, in folders named key=value when keys are given."""
-    writer = df.write.mode(mode)
+    """Write a table, in folders named key=value when keys are given.
+
+    With keys, "overwrite" replaces the folders that get rows and leaves the others alone.
+    """
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from termspire.sources.index_files import create_tables, read_index, read_tables, register_views
 from termspire.sources.queries import literal_queries, number_queries, read_query_log, read_query_sample
-from termspire.sources.tables import read_folder, read_parquet
+from termspire.sources.tables import read_folder, read_parquet, temporary_table
 
 __all__ = [
     "create_tables",
@@ -15,4 +15,5 @@ __all__ = [
     "read_query_sample",
     "read_tables",
     "register_views",
+    "temporary_table",
 ]

@@ -22,3 +22,10 @@ def read_folder(
     reader = spark.read.schema(T.StructType(schema.fields + keys.fields)).option("basePath", root)
     paths = [f"{root.rstrip('/')}/{sub}" for sub in subfolders] or [root]
     return reader.parquet(*paths)
+
+
+def temporary_table(df: DataFrame, name: str) -> DataFrame:
+    """Keep a result for the session under a name that SQL can use, replacing an earlier one."""
+    kept = df.cache()
+    kept.createOrReplaceTempView(name)
+    return kept

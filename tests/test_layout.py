@@ -7,8 +7,15 @@ from termspire.operators import lookup, profile, rank
 from termspire.operators.index_build import build_index
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_hash, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
-from termspire.sinks import write_index
-from termspire.sources import create_tables, read_folder, read_index, read_tables, register_views
+from termspire.sinks import write_index, write_parquet
+from termspire.sources import (
+    create_tables,
+    read_folder,
+    read_index,
+    read_tables,
+    register_views,
+    temporary_table,
+)
 
 
 def plan(df):
@@ -88,6 +95,8 @@ def test_choose_shift(spark, rows, top, size, expected):
 def test_choose_shift_bounds_the_folders(spark):
     postings = spark.range(1_000).select(F.col("id").alias("termid"))
     assert choose_shift(postings, bucket_bytes=16, max_buckets=4).first()["shift"] == 8
+    large = postings.select(F.col("termid") + F.lit(1 << 40).alias("termid")).toDF("termid")
+    assert choose_shift(large, bucket_bytes=16, max_buckets=4, max_shift=62).first()["shift"] == 39
 
 
 def test_choose_shift_by_dict(spark):
@@ -136,6 +145,19 @@ def test_folder_with_typed_keys(spark):
     assert [tuple(r) for r in one.collect()] == [("7f", "r1", "t", 2024, "eng")]
 
 
+def test_overwriting_some_folders(spark):
+    root = new_folder(spark, "replace")
+    write_parquet(spark.createDataFrame([(1, "a"), (2, "b")], "v int, k string"), root, "k")
+    write_parquet(spark.createDataFrame([(3, "a")], "v int, k string"), root, "k")
+    assert sorted(map(tuple, spark.read.parquet(root).collect())) == [(2, "b"), (3, "a")]
+
+
+def test_temporary_table(spark):
+    kept = temporary_table(micro.queries(spark, ["a", "b"]), "kept_query")
+    assert spark.sql("SELECT count(*) FROM kept_query").first()[0] == 2
+    kept.unpersist()
+
+
 def test_reports(written):
     index = written["shift"]
     counts = {r["table_name"]: r["row_count"] for r in profile.row_counts(index).collect()}

@@ -139,7 +139,7 @@ def test_large_batches_take_other_joins_to_the_same_rows(
     every = rows(rank.bm25(corpus_index, asked, use_docs=True))
     lists = rows(rank.bm25_per_term(corpus_index, asked))
     found = sorted(map(tuple, rank.filtered_postings(corpus_index, asked).collect()))
-    monkeypatch.setattr(rank, "MAX_LOCAL_ROWS", local)
+    monkeypatch.setattr(lookup, "MAX_LOCAL_ROWS", local)
     monkeypatch.setattr(rank, "MAX_BROADCAST_ROWS", small)
     monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", small)
     monkeypatch.setattr(skew, "SLOTS", 4)
