@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from termspire.plans.staging import MAX_BROADCAST_ROWS, local_relation, stage
 # The sum of floating-point scores depends on the order of the rows in its last digits. Ranking by
 # nine decimals makes scores that are equal on paper tie, and the docid then decides.
 RANK_STEPS = 1e9
+# Rows (query, posting) that one task sums; a task of this size fits in memory without spilling much.
+PAIRS_PER_TASK = 8_000_000
 # Default of spark.sql.optimizer.windowGroupLimitThreshold.
 MAX_TRIMMED_BY_SPARK = 1_000
 
@@ -24,9 +27,10 @@ MAX_TRIMMED_BY_SPARK = 1_000
 class QueryTerms:
     """The known terms of a batch, looked up once, and what their size allows.
 
-    `asked` holds (qno, termid, n) and `distinct` one row (termid, df[, thash]) per term. `postings`
-    is the exact number of postings of the distinct terms: the dictionary tells it before a single
-    posting is read. `termids` is None when there are too many to write into a plan.
+    `asked` holds (qno, termid, n) and `distinct` one row (termid, df, thash) per term. `postings`
+    is the exact number of postings of the distinct terms, and `pairs` that of the (query, posting)
+    rows: the dictionary tells both before a single posting is read. `termids` is None when there
+    are too many to write into a plan.
     """
 
     asked: DataFrame
@@ -34,6 +38,7 @@ class QueryTerms:
     rows: int
     queries: int
     postings: int
+    pairs: int
     buckets: list[int] | None
     termids: list[int] | None
 
@@ -73,6 +78,7 @@ def _local_terms(found: DataFrame) -> QueryTerms:
         rows=table.num_rows,
         queries=len(table["qno"].unique()),
         postings=sum(distinct["df"].to_pylist()),
+        pairs=sum(table["df"].to_pylist()),
         buckets=_known(distinct["thash"].unique().to_pylist()),
         termids=sorted(termids) if len(termids) <= MAX_CONSTANTS else None,
     )
@@ -81,7 +87,9 @@ def _local_terms(found: DataFrame) -> QueryTerms:
 def _staged_terms(found: DataFrame) -> QueryTerms:
     frame = stage(found, "terms")
     distinct = stage(frame.select("termid", "df", "thash").distinct(), "distinct-terms")
-    rows, queries = frame.agg(F.count(F.lit(1)), F.count_distinct("qno")).first()
+    rows, queries, pairs = frame.agg(
+        F.count(F.lit(1)), F.count_distinct("qno"), F.coalesce(F.sum("df"), F.lit(0))
+    ).first()
     # Bounded by the number of buckets in the layout, whatever the batch.
     postings, buckets = distinct.agg(
         F.coalesce(F.sum("df"), F.lit(0)), F.collect_set("thash")
@@ -92,6 +100,7 @@ def _staged_terms(found: DataFrame) -> QueryTerms:
         rows=rows,
         queries=queries,
         postings=postings,
+        pairs=pairs,
         buckets=_known(buckets),
         termids=None,
     )
@@ -146,20 +155,23 @@ def _with_document_length(index: Index, postings: DataFrame, rows: int) -> DataF
     the dictionary.
     """
     docs = index.docs.select("docid", "len")
-    copies = F.lit(1).cast("long")
-    if not index.unique_docs:
-        # Each copy of a posting meets each copy of its document. Equal rows are counted before
-        # the join, so it grows with the distinct lengths of a document, not with its copies.
-        postings = postings.groupBy("termid", "docid", "tf", "df").agg(
-            F.count(F.lit(1)).alias("posting_copies")
-        )
-        docs = docs.groupBy("docid", "len").agg(F.count(F.lit(1)).alias("doc_copies"))
-        copies = F.col("posting_copies") * F.col("doc_copies")
-    if rows <= MAX_BROADCAST_ROWS:
+    small = rows <= MAX_BROADCAST_ROWS
+    if index.unique_docs:
+        joined = docs.join(F.broadcast(postings), "docid") if small else postings.join(docs, "docid")
+        return joined.withColumn("copies", F.lit(1).cast("long"))
+    # Each copy of a posting meets each copy of its document. Equal postings are counted first, and
+    # equal documents before or right after the join, so that the copies of a document are never
+    # paired with one another: the rows grow with its distinct lengths.
+    count = F.count(F.lit(1))
+    postings = postings.groupBy("termid", "docid", "tf", "df").agg(count.alias("posting_copies"))
+    if small:
         joined = docs.join(F.broadcast(postings), "docid")
+        joined = joined.groupBy(*postings.columns, "len").agg(count.alias("doc_copies"))
     else:
-        joined = postings.join(docs, "docid")
-    return joined.withColumn("copies", copies)
+        joined = postings.join(
+            docs.groupBy("docid", "len").agg(count.alias("doc_copies")), "docid"
+        )
+    return joined.withColumn("copies", F.col("posting_copies") * F.col("doc_copies"))
 
 
 def scored_postings(
@@ -196,7 +208,7 @@ def for_queries(scored: DataFrame, terms: QueryTerms) -> DataFrame:
     large to broadcast is joined by term, with the frequent terms spread.
     """
     if terms.broadcastable:
-        pairs = scored.repartition("docid").join(F.broadcast(terms.asked), "termid")
+        pairs = _by_document(scored, terms.pairs).join(F.broadcast(terms.asked), "termid")
     else:
         frequent = frequent_keys(terms.distinct, "termid", "df", terms.postings)
         pairs = spread_join(scored, terms.asked, "termid", frequent, ["docid"])
@@ -205,6 +217,13 @@ def for_queries(scored: DataFrame, terms: QueryTerms) -> DataFrame:
     )
 
 
+def _by_document(scored: DataFrame, pairs: int) -> DataFrame:
+    """Shuffle by docid, into more tasks than the session's default if the known rows need them."""
+    default = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = ceil(pairs / PAIRS_PER_TASK)
+    return scored.repartition("docid") if needed <= default else scored.repartition(needed, "docid")
+
+
 def term_scores(
     index: Index,
     queries: DataFrame | QueryTerms,
