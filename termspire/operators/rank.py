@@ -122,16 +122,19 @@ def postings_of(index: Index, terms: QueryTerms, prune: str | None = "constants"
     partition pruning, and None reads every bucket.
     """
     postings, wanted, keys = index.postings, terms.distinct, ["termid"]
-    if prune is not None and "thash" in postings.columns:
-        if prune == "constants":
+    bucketed = "thash" in postings.columns
+    if prune == "constants":
+        if bucketed:
             postings = postings.where(F.col("thash").isin(terms.buckets))
-            if terms.termids is not None:
-                postings = postings.where(F.col("termid").isin(terms.termids))
-        else:
-            # The terms are read from the dictionary under a filter: Spark prunes by a join only
-            # when it can see that the other side was filtered.
-            wanted = _from_dict(index, terms)
-            keys.append("thash")
+        if terms.termids is not None:
+            postings = postings.where(F.col("termid").isin(terms.termids))
+    elif prune == "join" and bucketed:
+        # The terms are read from the dictionary under a filter: Spark prunes by a join only when
+        # it can see that the other side was filtered.
+        wanted = _from_dict(index, terms)
+        keys.append("thash")
+    elif prune not in ("join", None):
+        raise ValueError(f"unknown pruning: {prune}")
     if "thash" not in keys:
         wanted = wanted.drop("thash")
     if terms.broadcastable:

@@ -6,6 +6,8 @@ The given tables hold no index, so each statement starts from the derivation of
 from __future__ import annotations
 
 from termspire.registered.fixtures import (
+    BUCKET_BYTES,
+    MAX_BUCKETS,
     PROBE_QUERIES,
     PROBE_TERMS,
     SAMPLE_QUERIES,
@@ -63,6 +65,14 @@ _CORRECTED = """
     cstats AS MATERIALIZED (SELECT count(*) AS num_docs, avg(len) AS avgdl FROM cdocs)"""
 
 
+_SHIFT = f"""
+    sized AS (
+      SELECT (SELECT min(m) FROM (SELECT unnest(range(0, 62)) AS m)
+              WHERE (1::BIGINT << m) >
+                    top // greatest(least((16 * n) // {BUCKET_BYTES}, {MAX_BUCKETS}), 1)) AS s
+      FROM (SELECT count(*) AS n, max(termid) AS top FROM postings))"""
+
+
 def _values(queries: list[list[str]]) -> str:
     rows = [f"({qno}::BIGINT, '{term}')" for qno, terms in enumerate(queries) for term in terms]
     return f"q(qno, qterm) AS (VALUES {', '.join(rows)})"
@@ -168,14 +178,13 @@ def oracle_sql() -> dict[str, str]:
         "shift_choice_by_dict": f"{docs} {shift}",
         "bucket_scan": f"""{docs} SELECT docid FROM postings
             WHERE termid = (SELECT termid FROM dict WHERE term = 'the')""",
-        "shift_bucket_scan": f"""{docs},
-            sized AS (
-              SELECT (SELECT min(m) FROM (SELECT unnest(range(0, 62)) AS m)
-                      WHERE (1::BIGINT << m) > top // greatest(least((16 * n) // 262144, 1024), 1)) AS s
-              FROM (SELECT count(*) AS n, max(termid) AS top FROM postings))
+        "shift_bucket_scan": f"""{docs}, {_SHIFT}
             SELECT count(*) AS rows, sum(tf)::BIGINT AS tokens FROM postings, sized
             WHERE (termid // (1::BIGINT << s)) =
                   (SELECT termid FROM dict WHERE term = 'the') // (1::BIGINT << s)""",
+        "bucket_rows": f"""{docs}, {_SHIFT}
+            SELECT termid // (1::BIGINT << s) AS thash, count(*) AS rows
+            FROM postings, sized GROUP BY 1""",
         "folder_scan": f"""SELECT {language} AS language, count(*) AS records,
             count(DISTINCT {host}) AS ids FROM pages GROUP BY 1""",
         "captures": f"""SELECT {host} AS id, page_id::VARCHAR AS record_id,

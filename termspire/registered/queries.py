@@ -640,3 +640,10 @@ def sample_rows(spark, sf_dir):
 def file_layout(spark, sf_dir):
     """Files, bytes and rows of each postings bucket."""
     return profile.file_layout(document_index(spark, sf_dir).postings, "thash")
+
+
+@query
+def bucket_rows(spark, sf_dir):
+    """The rows of each bucket, counted from its files."""
+    files = profile.file_layout(document_index(spark, sf_dir).postings, "thash")
+    return files.select(F.col("thash").cast("long").alias("thash"), "rows")

@@ -56,6 +56,16 @@ def test_dict_is_sorted(written):
     assert rows == sorted(rows)
 
 
+def test_postings_files_are_sorted(written):
+    import pyarrow.parquet as pq
+
+    for index in written.values():
+        for path in index.postings.inputFiles():
+            rows = pq.ParquetFile(path.removeprefix("file://")).read(["termid", "docid"]).to_pylist()
+            pairs = [(r["termid"], r["docid"]) for r in rows]
+            assert pairs == sorted(pairs)
+
+
 def test_constant_bucket_reaches_the_scan(written):
     text = plan(lookup.docs_of_term_id(written["hash"], 7))
     assert "PartitionFilters: [" in text and "(thash#" in text
@@ -73,6 +83,10 @@ def test_ranking_prunes_by_constants_and_by_join(spark, written):
     assert "PartitionFilters: [thash#" in constants
     joined = plan(rank.bm25(written["shift"], asked, k=5, prune="join"))
     assert "dynamicpruning" in joined
+    sorted_only = plan(rank.bm25(written["none"], asked, k=5))
+    assert "PushedFilters: [In(termid, [" in sorted_only
+    with pytest.raises(ValueError):
+        rank.bm25(written["none"], asked, prune="nothing")
     control = plan(rank.bm25(written["shift"], asked, k=5, prune=None))
     assert "PartitionFilters: []" in control and "dynamicpruning" not in control
 
