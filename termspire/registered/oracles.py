@@ -15,7 +15,7 @@ from termspire.registered.fixtures import (
     SAMPLE_SIZE,
 )
 
-# Written once for DuckDB; the quote inside the class is doubled for SQL.
+# Fixed value: the separators of functions.text, the quote doubled for SQL.
 _SEPARATORS = r"""'[0-9!@#$%^&*()_+={}\[\]:;<>,.?~\\/|''"`-]+'"""
 
 
@@ -103,50 +103,43 @@ _SAMPLE_TERMS = f"""{_SAMPLE},
         FROM drawn) WHERE qterm <> '')"""
 
 
-def _matched(bag: bool = False, prefix: str = "") -> str:
-    """CTEs queryterms and termscores, the plain joins of the four tables."""
-    distinct = "" if bag else "DISTINCT"
-    p = prefix
+def _hits(bag: bool = False, prefix: str = "") -> str:
+    """CTEs wanted (qno, termid, df, idf) and hits: every posting of a wanted term, in every copy of
+    its document, with the points it earns."""
+    terms = "q" if bag else "(SELECT DISTINCT qno, qterm FROM q)"
     return f"""
-    queryterms AS MATERIALIZED (
-      SELECT q.qno, d.termid, d.df FROM (SELECT {distinct} qno, qterm FROM q) q
-      JOIN {p}dict d ON d.term = q.qterm),
-    termscores AS MATERIALIZED (
-      SELECT q.qno, p.docid, p.termid,
-             log((SELECT num_docs FROM {p}stats) / (1 + q.df)) * (p.tf * 2.5::DOUBLE) /
-             (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE *
-               (d.len / (SELECT avgdl FROM {p}stats)))) AS bm25termscore
-      FROM {p}postings p JOIN queryterms q ON p.termid = q.termid
-      JOIN {p}docs d ON p.docid = d.docid)"""
+    wanted AS MATERIALIZED (
+      SELECT a.qno, t.termid, t.df, log(s.num_docs / (1 + t.df)) AS idf
+      FROM {terms} a JOIN {prefix}dict t ON t.term = a.qterm, {prefix}stats s),
+    hits AS MATERIALIZED (
+      SELECT w.qno, e.docid, e.termid, w.idf * (e.tf * 2.5::DOUBLE) / (
+               e.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (c.len / s.avgdl))) AS points
+      FROM wanted w JOIN {prefix}postings e USING (termid) JOIN {prefix}docs c USING (docid),
+           {prefix}stats s)"""
 
 
-_SUMS = """
-    docscores AS (
-      SELECT qno, docid, sum(bm25termscore) AS bm25score FROM termscores GROUP BY qno, docid)"""
+_SUMS = "totals AS (SELECT qno, docid, sum(points) AS score FROM hits GROUP BY ALL)"
 _COLLAPSED_SUMS = """
-    docscores AS (
-      SELECT qno, docid, sum(bm25termscore) AS bm25score
-      FROM (SELECT DISTINCT qno, docid, bm25termscore FROM termscores) GROUP BY qno, docid)"""
+    totals AS (
+      SELECT qno, docid, sum(points) AS score
+      FROM (SELECT DISTINCT qno, docid, points FROM hits) GROUP BY ALL)"""
 _PER_TERM = """
-    docscores AS (
-      SELECT DISTINCT qno, docid, bm25score FROM (
-        SELECT qno, docid, termid, sum(bm25termscore) AS bm25score
-        FROM termscores GROUP BY qno, docid, termid))"""
+    totals AS (
+      SELECT DISTINCT qno, docid, score FROM (
+        SELECT qno, docid, termid, sum(points) AS score FROM hits GROUP BY ALL))"""
 
 
-def _named(k: int | None = None, prefix: str = "", columns: str = "s.qno, s.docid") -> str:
-    best = "" if k is None else f", row_number() OVER ({_ORDER}) AS rank"
-    cut = "" if k is None else f" QUALIFY rank <= {k}"
-    return f"""
-    SELECT {columns}, round(s.bm25score, 6) AS bm25score, d.name{best}
-    FROM docscores s JOIN {prefix}docs d ON s.docid = d.docid{cut}"""
-
-
-_ORDER = "PARTITION BY s.qno ORDER BY floor(s.bm25score * 1e9 + 0.5) DESC, s.docid, d.name"
+def _named(k: int | None, prefix: str) -> str:
+    if k is None:
+        return f"""SELECT qno, docid, round(score, 6) AS bm25score, name
+            FROM totals JOIN {prefix}docs USING (docid)"""
+    return f"""SELECT qno, docid, round(score, 6) AS bm25score, name, row_number() OVER (
+              PARTITION BY qno ORDER BY floor(score * 1e9 + 0.5) DESC, docid, name) AS rank
+            FROM totals JOIN {prefix}docs USING (docid) QUALIFY rank <= {k}"""
 
 
 def _ranking(k, queries=_PROBES, bag=False, sums=_SUMS, index=_DOCUMENTS, prefix=""):
-    return f"WITH {index}, {queries}, {_matched(bag, prefix)}, {sums} {_named(k, prefix)}"
+    return f"WITH {index}, {queries}, {_hits(bag, prefix)}, {sums} {_named(k, prefix)}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -192,8 +185,8 @@ def oracle_sql() -> dict[str, str]:
             FROM pages WHERE {language} = 'en' AND {host} = (
               SELECT {host} AS h FROM pages GROUP BY h ORDER BY count(*) DESC, h LIMIT 1)""",
         "catalog_ranking": top20,
-        "sql_ranking": f"""WITH {_DOCUMENTS}, {_values([['the', 'and']])}, {_matched()}, {_SUMS}
-            {_named(columns='s.docid')}""",
+        "sql_ranking": f"""WITH {_DOCUMENTS}, {_PROBES}, {_hits()}, {_SUMS}
+            SELECT qno, docid, round(score, 6) AS bm25score FROM totals""",
         "export_tables": f"""{docs}
             SELECT 'dict' AS table_name, count(*) AS rows, sum(df)::BIGINT AS total FROM dict
             UNION ALL SELECT 'docs', count(*), sum(len)::BIGINT FROM docs""",
@@ -251,15 +244,14 @@ def oracle_sql() -> dict[str, str]:
         "bm25_all_buckets": top20,
         "bm25_hash_buckets": top20,
         "bm25_docs_join": top20,
-        "term_scores": f"""WITH {_DOCUMENTS}, {_PROBES}, {_matched()}
-            SELECT qno, docid, termid, round(bm25termscore, 6) AS bm25termscore FROM termscores""",
+        "term_scores": f"""WITH {_DOCUMENTS}, {_PROBES}, {_hits()}
+            SELECT qno, docid, termid, round(points, 6) AS bm25termscore FROM hits""",
         "bm25_late_grouping": top20,
         "bm25_term_lists": _ranking(None, sums=_COLLAPSED_SUMS),
-        "filtered_postings": f"""WITH {_DOCUMENTS}, {_PROBES}, {_matched()}
-            SELECT DISTINCT q.qno, p.termid, p.docid, q.df, p.tf
-            FROM postings p JOIN queryterms q ON p.termid = q.termid""",
-        "bm25_filtered_postings": f"""WITH {_DOCUMENTS}, {_PROBES}, {_matched()}, {_SUMS}
-            SELECT qno, docid, round(bm25score, 6) AS bm25score FROM docscores""",
+        "filtered_postings": f"""WITH {_DOCUMENTS}, {_PROBES}, {_hits()}
+            SELECT DISTINCT qno, termid, docid, df, tf FROM wanted JOIN postings USING (termid)""",
+        "bm25_filtered_postings": f"""WITH {_DOCUMENTS}, {_PROBES}, {_hits()}, {_SUMS}
+            SELECT qno, docid, round(score, 6) AS bm25score FROM totals""",
         "bm25_per_term": _ranking(20, sums=_PER_TERM),
         "batch_best": _ranking(1, _BENCHMARK),
         "batch_report": f"""WITH {_DOCUMENTS}, {_TURN_WORDS},

@@ -40,6 +40,7 @@ from termspire.sources import (
     read_query_sample,
     read_tables,
     register_views,
+    temporary_table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,28 +221,23 @@ def catalog_ranking(spark, sf_dir):
 
 @query
 def sql_ranking(spark, sf_dir):
-    """A ranking written in SQL, over the views, with the two key functions and scalar subqueries."""
+    """The batch ranked in SQL, over the views, with the two key functions. Postings carry lengths."""
     index = document_index(spark, sf_dir)
     register_views(index)
     register_sql_functions(spark, index.layout.param)
+    temporary_table(probe_queries(spark).distinct(), "asked")
     return spark.sql(
         """
-        WITH queryterms AS (
-          SELECT termid, df FROM dict
-          WHERE term IN ('the', 'and') AND crange IN (cr('the'), cr('and'))
-        ),
-        docscores AS (
-          SELECT p.docid,
-                 sum(log10((SELECT num_docs FROM stats) / (1 + q.df)) * (p.tf * (1.5D + 1)) /
-                     (p.tf + 1.5D * (1 - 0.75D + 0.75D * (d.len / (SELECT avgdl FROM stats))))
-                 ) AS bm25score
-          FROM postings p
-          JOIN queryterms q ON p.termid = q.termid AND p.thash = p(q.termid)
-          JOIN docs d ON p.docid = d.docid
-          GROUP BY p.docid
+        SELECT qno, docid, round(sum(idf * points), 6) AS bm25score
+        FROM (
+          SELECT a.qno, e.docid,
+                 log10((SELECT num_docs FROM stats) / (1 + t.df)) AS idf,
+                 2.5D * e.tf / (e.tf + 0.375D + 1.125D * e.len / (SELECT avgdl FROM stats)) AS points
+          FROM asked a
+          JOIN dict t ON t.term = a.qterm AND t.crange = cr(a.qterm)
+          JOIN postings e ON e.termid = t.termid AND e.thash = p(t.termid)
         )
-        SELECT s.docid, round(s.bm25score, 6) AS bm25score, d.name
-        FROM docscores s JOIN docs d ON s.docid = d.docid
+        GROUP BY qno, docid
         """
     )
 
