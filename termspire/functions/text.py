@@ -25,17 +25,15 @@ def accent_table() -> tuple[str, str]:
     marks themselves are deleted, so they stand at the end, beyond the replacements.
     """
     source, target, deleted = [], [], []
-    for code in range(0x80, sys.maxunicode + 1):
-        char = chr(code)
-        if unicodedata.category(char) == "Cs":
-            continue
-        kept = [c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c)[0] != "M"]
-        plain = unicodedata.normalize("NFC", "".join(kept))
-        if plain == "":
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.category(char)[0] == "M":
             deleted.append(char)
-        elif plain != char and len(plain) == 1:
-            source.append(char)
-            target.append(plain)
+        elif unicodedata.decomposition(char):
+            kept = (c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c)[0] != "M")
+            plain = unicodedata.normalize("NFC", "".join(kept))
+            if plain != char and len(plain) == 1:
+                source.append(char)
+                target.append(plain)
     return "".join(source + deleted), "".join(target)
 
 

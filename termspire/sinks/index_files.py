@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire import schemas
 from termspire.model import Index, Layout
 from termspire.operators.layout import layout_dict, with_bucket
+from termspire.plans.staging import local_relation
 from termspire.sources.index_files import read_index
 
 # Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
@@ -69,8 +70,17 @@ def write_index(
     size = index.dict.agg(F.count(F.lit(1)), F.sum("df")).first()
     write_dict(index.dict, f"{root}/dict", size[0], terms_per_file)
     write_postings(index.postings, f"{root}/postings", layout, size[1] or 0, postings_per_file)
-    record = [(layout.kind, layout.param, index.has_lengths, index.unique_docs)]
-    spark.createDataFrame(record, schemas.LAYOUT).coalesce(1).write.mode("overwrite").parquet(
-        f"{root}/layout"
-    )
+    _write_record(spark, f"{root}/layout", layout, index)
     return read_index(spark, root)
+
+
+def _write_record(spark: SparkSession, path: str, layout: Layout, index: Index) -> None:
+    record = pa.table(
+        {
+            "kind": pa.array([layout.kind]),
+            "param": pa.array([layout.param], pa.int32()),
+            "has_lengths": pa.array([index.has_lengths]),
+            "unique_docs": pa.array([index.unique_docs]),
+        }
+    )
+    local_relation(spark, record).write.mode("overwrite").parquet(path)

@@ -156,6 +156,14 @@ def test_many_results_per_query(corpus_index, asked, monkeypatch):
     assert rows(rank.bm25(corpus_index, asked, k=40)) == plain
 
 
+def test_more_tasks_for_more_rows(corpus_index, asked, monkeypatch):
+    plain = rows(rank.bm25(corpus_index, asked, k=10))
+    monkeypatch.setattr(rank, "PAIRS_PER_TASK", 20)
+    result = rank.bm25(corpus_index, asked, k=10)
+    assert "REPARTITION_BY_NUM" in result._jdf.queryExecution().executedPlan().toString()
+    assert rows(result) == plain
+
+
 def test_long_word_lists(corpus_index, asked, monkeypatch):
     short = sorted(map(tuple, lookup.docs_for_terms(corpus_index, asked).collect()))
     monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 0)
