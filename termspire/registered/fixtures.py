@@ -65,7 +65,8 @@ def document_index(spark: SparkSession, sf_dir: str) -> Index:
         shift = choose_shift_by_dict(
             built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS, max_shift=62
         )
-        layout = Layout("shift", shift.first()["shift"])
+        # An empty table gives no shift.
+        layout = Layout("shift", shift.first()["shift"] or 0)
         return write_index(built, new_folder(spark, "documents"), layout)
 
     return once(spark, sf_dir, "documents", make)

@@ -68,6 +68,16 @@ def test_empty_batch(spark):
     assert rank.bm25(micro.index(spark), micro.queries(spark), k=3).count() == 0
 
 
+@pytest.mark.parametrize("layout", [Layout(), Layout("hash", 4), Layout("shift", 2)])
+def test_empty_index(spark, layout):
+    """No documents, or documents without a word: no results, and no error."""
+    for texts in ([], ["", "123"]):
+        index = write_index(build_index(micro.corpus(spark, texts)), new_folder(spark, "empty"), layout)
+        assert index.stats.first()["num_docs"] == len(texts)
+        for prune in ("constants", "join", None):
+            assert rank.bm25(index, micro.queries(spark, ["a"]), k=3, prune=prune).count() == 0
+
+
 def test_parameters(spark):
     index, asked = micro.index(spark), micro.queries(spark, ["c"])
     flat = scores(rank.bm25(index, asked, k1=0.0), "docid")[(0,)]

@@ -25,5 +25,5 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_agrees_with_its_sql(spark, duck, name):
     got = driver.queries()[name](spark, SF_DIR).toArrow()
-    expected = duck.execute(driver.oracle_sql()[name]).to_arrow_table()
+    expected = duck.sql(driver.oracle_sql()[name]).to_arrow_table()
     assert differences(got, expected) is None
