@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termspire.llm import bpe
+from termspire.llm import bpe, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -41,3 +41,10 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
         with_ids=False,
     )
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    )
