@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termspire.llm import bpe, token_counts
+from termspire.llm import bpe, decontaminate, oracles, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -26,13 +26,23 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
-_oracles: dict[str, str] = {}
+_oracles: dict[str, str] = {
+    "op1_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.drop("items", "spans")
+
+
 @query
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
