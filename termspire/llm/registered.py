@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, oracles, token_counts
+from termspire.llm import bpe, decontaminate, language, oracles, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(number: int) -> Column:
+    """The fold of a document; a document without id is in none, and is learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(number)), F.lit(-1))
+
+
 @query
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
@@ -58,3 +64,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     )
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(remainder(4) != 2))
+    found = language.identify(docs, model)
+    return found.select(
+        "doc_id",
+        (remainder(4) == 2).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").cast("bigint").alias("n_spans"),
+    )
