@@ -135,7 +135,8 @@ def count_grams(
             made[1] += ["gram"] * len(held) + ["script"] * len(scripts)
             made[2] += held.tolist() + list(scripts)
             made[3] += total[held].astype(np.int64).tolist() + list(scripts.values())
-        return dict(zip(("language", "kind", "bucket", "n"), made, strict=True))
+        kinds = {"language": pa.string(), "kind": pa.string(), "bucket": pa.int32(), "n": pa.int64()}
+        return {n: pa.array(m, kind) for (n, kind), m in zip(kinds.items(), made, strict=True)}
 
     labelled = docs.where(F.col(f"`{language}`").isNotNull())
     schema = "language string, kind string, bucket int, n bigint"
