@@ -43,3 +43,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word.n, 0)::BIGINT AS n_hit,
     coalesce(word.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (r) LEFT JOIN found USING (r)
 """
+
+_TOKENS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+MINHASH_NEAR_DUPLICATES = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE {_TOKENS.format("text")} END AS w
+    FROM documents
+),
+shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[s : s + 4], ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS s FROM doc WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingle AS a JOIN shingle AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+link AS (
+    SELECT a, b FROM common JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b
+    WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)
+),
+reach AS (
+    SELECT DISTINCT doc_id AS a, doc_id AS b FROM doc
+    UNION
+    SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) JOIN component USING (doc_id)
+"""

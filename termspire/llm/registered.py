@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, language, oracles, token_counts
+from termspire.llm import bpe, decontaminate, language, near_duplicates, oracles, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
 
 _oracles: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
+    "op7_minhash_near_duplicates": oracles.MINHASH_NEAR_DUPLICATES,
 }
 
 
@@ -66,6 +67,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
