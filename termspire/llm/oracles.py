@@ -73,3 +73,27 @@ component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(size.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM doc LEFT JOIN size USING (doc_id) JOIN component USING (doc_id)
 """
+
+LINE_DEDUP = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+line AS (SELECT r, source, unnest(generate_series(1, len(l))) AS p, unnest(l) AS line
+    FROM (SELECT r, source, string_split(text, chr(10)) AS l FROM doc WHERE text IS NOT NULL)),
+pages AS (SELECT source, count(*) AS pages FROM doc GROUP BY source),
+seen AS (SELECT source, trim(line) AS line, count(DISTINCT r) AS n FROM line WHERE trim(line) <> '' GROUP BY ALL),
+common AS (
+    SELECT DISTINCT seen.source, seen.line FROM seen JOIN pages ON seen.source IS NOT DISTINCT FROM pages.source
+    WHERE n >= 5 AND n > pages * 0.1::DOUBLE
+),
+marked AS (
+    SELECT line.*, common.line IS NOT NULL AS gone FROM line LEFT JOIN common
+    ON common.source IS NOT DISTINCT FROM line.source AND common.line = trim(line.line)
+),
+joined AS (
+    SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text
+    FROM marked GROUP BY r
+)
+SELECT doc_id, source AS host, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    coalesce(n_dropped, 0)::BIGINT AS n_dropped, joined.text AS text
+FROM doc LEFT JOIN joined USING (r)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, language, near_duplicates, oracles, token_counts
+from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates, oracles, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
 
 _oracles: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
+    "op9_line_dedup": oracles.LINE_DEDUP,
     "op7_minhash_near_duplicates": oracles.MINHASH_NEAR_DUPLICATES,
 }
 
@@ -84,3 +85,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.size("spans").cast("bigint").alias("n_spans"),
     )
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
