@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates, oracles, token_counts
+from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates, oracles, token_counts, url_filter
+from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -51,6 +52,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items", "spans")
 
 
+# Rules of the URL filter.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), weights, URL_RULES)
+
+
 @query
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
