@@ -24,7 +24,7 @@ KEYS = 16
 # Documents whose sets are compared with one another in one task at a time.
 BLOCK = 256
 COLUMNS = 4096
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\x09\x0a\x0b\x0c\x0d\x20" else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,30 +40,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class _Numbers(dict):
+    """Numbers from 0 for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 def shingle_sets(batch: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct shingles of `size` words.
 
     Words are cut at ASCII white space, A-Z count as a-z. A text of fewer words has one shingle, all
     of them; a text without words has none.
     """
-    cut = [t.translate(_TABLE).split() for t in batch]
-    distinct = list(set().union(*cut))
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    number = _Numbers()
+    numbers = []
+    for text in batch:
+        words = text.translate(_TABLE).split()
+        numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+    del number
     sets = []
-    for words in cut:
-        n = len(words)
-        if not n:
-            sets.append(np.zeros(0, np.uint64))
-        elif n < size:
-            sets.append(np.array([xxhash.xxh64_intdigest(b"\0".join(words), n)], np.uint64))
-        else:
-            own = hashes[np.fromiter(map(number.__getitem__, words), np.int64, n)]
-            value = np.zeros(n - size + 1, np.uint64)
-            for at in range(size):
-                value = value * _ODD + own[at : n - size + 1 + at]
-            value = np.sort(_mix(value))
-            sets.append(value[np.concatenate(([True], value[1:] != value[:-1]))])
+    for own in numbers:
+        n = len(own)
+        if n < size:
+            whole = xxhash.xxh64_intdigest(hashes[own].tobytes(), n)
+            sets.append(np.array([whole] if n else [], np.uint64))
+            continue
+        words = hashes[own]
+        value = np.zeros(n - size + 1, np.uint64)
+        for at in range(size):
+            value = value * _ODD + words[at : n - size + 1 + at]
+        value = np.sort(_mix(value))
+        sets.append(value[np.concatenate(([True], value[1:] != value[:-1]))])
     return sets
 
 

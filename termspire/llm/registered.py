@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates, oracles, token_counts, url_filter
+from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates, oracles, token_counts, url_filter, winnow
 from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
 
 _oracles: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
+    "op6_winnowing": oracles.WINNOWING,
     "op9_line_dedup": oracles.LINE_DEDUP,
     "op7_minhash_near_duplicates": oracles.MINHASH_NEAR_DUPLICATES,
 }
@@ -79,6 +80,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
