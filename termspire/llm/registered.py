@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates, oracles, token_counts, url_filter, winnow
+from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, near_duplicates, oracles, token_counts, url_filter, winnow
 from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
