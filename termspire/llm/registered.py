@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, near_duplicates, oracles, token_counts, url_filter, winnow
+from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, lm_score, near_duplicates, oracles, token_counts, url_filter, winnow
 from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score.score(table(spark, sf_dir, "documents"), remainder(5) != 1)
+    return found.withColumn("held_out", remainder(5) == 1)
+
+
 @query
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
