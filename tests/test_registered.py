@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from termspire import registered
 from comparison import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -18,12 +19,14 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"file_layout"}
+    assert set(registered.queries()) - set(registered.oracle_sql()) == {"file_layout"}
+    assert set(registered.oracle_sql()) <= set(registered.queries())
+    assert set(registered.queries()) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_query_agrees_with_its_sql(spark, duck, name):
-    got = driver.queries()[name](spark, SF_DIR).toArrow()
-    expected = duck.sql(driver.oracle_sql()[name]).to_arrow_table()
+    got = registered.queries()[name](spark, SF_DIR).toArrow()
+    expected = duck.sql(registered.oracle_sql()[name]).to_arrow_table()
     assert differences(got, expected) is None
