@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from termspire.functions.text import sql_tokenize
+
 
 def crange(term: Column) -> Column:
     """Range key of a term: the code point of its first character, in steps of ten ('' gives 0)."""
@@ -22,7 +24,10 @@ def hash_bucket(termid: Column, buckets: int) -> Column:
 
 
 def register_sql_functions(spark: SparkSession, shift: int = 17) -> None:
-    """Offer the two keys to SQL users as temporary functions `cr(term)` and `p(termid)`."""
+    """Offer `cr(term)`, `p(termid)` and `tokenize(text)` to SQL users, as temporary functions.
+
+    `tokenize` works as `functions.text.tokenize`, but leaves Hangul that is written in letters.
+    """
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION cr(term STRING) RETURNS INT "
         "RETURN cast(ascii(term) div 10 AS INT)"
@@ -31,3 +36,7 @@ def register_sql_functions(spark: SparkSession, shift: int = 17) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION p(termid BIGINT) RETURNS INT "
         f"RETURN cast(shiftright(termid, {int(shift)}) AS INT)"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION tokenize(text STRING) RETURNS ARRAY<STRING> "
+        f"RETURN {sql_tokenize()}"
+    )

@@ -37,10 +37,54 @@ def accent_table() -> tuple[str, str]:
     return "".join(source + deleted), "".join(target)
 
 
+# Hangul letters that combine: leading, vowel and trailing ones, as the Unicode standard numbers them.
+_LEAD, _VOWEL, _TRAIL, _SYLLABLE = 0x1100, 0x1161, 0x11A7, 0xAC00
+_LEADS, _VOWELS, _TRAILS = 19, 21, 28
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def compose_hangul(text: Column) -> Column:
+    """Join Hangul letters to syllables, as the composed form of Unicode does.
+
+    Nothing else composes once the marks are gone. One pass over the characters: a letter joins the
+    one before it, or is appended. U+11A7, which stands for no trailing letter, vanishes in a syllable,
+    as it does in other engines' composition.
+    """
+
+    def join(done: Column, char: Column) -> Column:
+        last, code = F.ascii(F.right(done, F.lit(1))), F.ascii(char)
+        lead, vowel, trail = last - _LEAD, code - _VOWEL, code - _TRAIL
+        syllable = last - _SYLLABLE
+        pair = lead.between(0, _LEADS - 1) & vowel.between(0, _VOWELS - 1)
+        open_end = syllable.between(0, _LEADS * _VOWELS * _TRAILS - 1) & (syllable % _TRAILS == 0)
+        joined = F.when(pair, (lead * _VOWELS + vowel) * _TRAILS + _SYLLABLE).when(
+            open_end & trail.between(0, _TRAILS - 1), last + trail
+        )
+        before = F.substring(done, F.lit(1), F.char_length(done) - 1)
+        return F.when(joined.isNull(), F.concat(done, char)).otherwise(
+            F.concat(before, _character(joined))
+        )
+
+    return F.aggregate(F.split(text, ""), F.lit(""), join)
+
+
 def strip_accents(text: Column) -> Column:
+    """Text without accents, as decomposing it, dropping the marks and composing it again gives.
+
+    The table works character by character, which is enough but for Hangul that is written in
+    letters; only rows that hold such letters are composed.
+    """
     source, target = accent_table()
     is_ascii = F.octet_length(text) == F.char_length(text)
-    return F.when(is_ascii, text).otherwise(F.translate(text, source, target))
+    plain = F.translate(text, source, target)
+    return (
+        F.when(is_ascii, text)
+        .when(plain.rlike("[\u1100-\u11FF]"), compose_hangul(plain))
+        .otherwise(plain)
+    )
 
 
 def normalise(text: Column) -> Column:
@@ -57,6 +101,18 @@ def tokenize(text: Column) -> Column:
     return _without_empty(F.split(normalise(text.cast("string")), _SEPARATOR_RUN))
 
 
+def sql_tokenize() -> str:
+    """The body of a SQL function `tokenize(text)` that does the same."""
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    source, target = accent_table()
+    plain = f"translate(cast(text AS STRING), {quoted(source)}, {quoted(target)})"
+    lowered = f"lower(replace({plain}, 'Σ', 'σ'))"
+    return f"array_remove(split({lowered}, {quoted(_SEPARATOR_RUN)}), '')"
+
+
 def split_words(text: Column, drop_apostrophes: bool = False) -> Column:
     """Words of a text split at white space only: no lower-casing, punctuation kept."""
     if drop_apostrophes:

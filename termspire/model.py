@@ -43,6 +43,11 @@ class Index:
     layout: Layout = Layout()
     unique_docs: bool = True
 
+    def __post_init__(self) -> None:
+        # Without its rule the bucket of a term is unknown, and a search would find nothing.
+        if "thash" in self.postings.columns and self.layout.kind == "none":
+            raise ValueError("the postings are in buckets, but the layout has no rule for them")
+
     @property
     def has_lengths(self) -> bool:
         return "len" in self.postings.columns

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termspire.model import Index
 from termspire.plans.skew import frequent_keys, spread_join
+from termspire.plans.staging import stage
 
 
 def duplicate_ids(docs: DataFrame) -> DataFrame:
@@ -69,7 +70,9 @@ def corrected_index(index: Index) -> Index:
     The length is the sum of the kept frequencies, the name the smallest one. All groupings combine
     within tasks first, so the captures of one document do not meet in one task.
     """
-    postings = index.postings.groupBy("termid", "docid").agg(F.max("tf").alias("tf"))
+    # Four tables are made of these rows, so they are grouped once.
+    grouped = index.postings.groupBy("termid", "docid").agg(F.max("tf").alias("tf"))
+    postings = stage(grouped, "corrected-postings")
     lengths = postings.groupBy("docid").agg(F.sum("tf").alias("len"))
     docs = (
         index.docs.groupBy("docid")

@@ -99,9 +99,12 @@ def _with_term_ids(forward: DataFrame, terms: DataFrame) -> DataFrame:
         joined = rows.join(F.broadcast(ids), "term")
     else:
         total = terms.agg(F.sum("df")).first()[0]
-        # A broadcast of frequent terms is bounded by their number, so very long ones stay out;
-        # adaptive execution splits those if they are frequent.
-        short = terms.where(F.octet_length("term") <= 1024)
-        frequent = frequent_keys(short, "term", "df", total)
-        joined = spread_join(rows, ids, "term", frequent, ["docid"])
+        # Frequent terms are told by a hash, so that their list is small however long they are. Two
+        # terms of one hash are both spread, which does no harm.
+        hashed = F.xxhash64("term").alias("_term")
+        counts = terms.select(hashed, "df").groupBy("_term").agg(F.sum("df").alias("df"))
+        frequent = frequent_keys(counts, "_term", "df", total)
+        rows, ids = rows.withColumn("_term", hashed), ids.withColumn("_term", hashed)
+        ids = ids.withColumnRenamed("term", "_word")
+        joined = spread_join(rows, ids, "_term", frequent, ["docid"]).where("term = _word")
     return joined.select("termid", "docid", F.col("tf").cast("int").alias("tf"), "len")

@@ -10,7 +10,8 @@ from termspire.model import Index, Layout
 
 POSTING_BYTES = 16
 BUCKET_BYTES = 100 << 20
-MAX_SHIFT = 20
+# A term id is a long, so no shift beyond this moves anything.
+MAX_SHIFT = 63
 
 
 def with_bucket(postings: DataFrame, layout: Layout) -> DataFrame:
@@ -43,7 +44,8 @@ def choose_shift(
 
     The wanted number of buckets is the size of the postings over `bucket_bytes`; a table under that
     size gets one. `max_buckets` bounds the number of folders on very large tables, where files
-    inside a bucket are sorted and prune further. NULL when no m is large enough.
+    inside a bucket are sorted and prune further. NULL for an empty table, or when a smaller
+    `max_shift` leaves no m that is large enough.
     """
     size = postings.agg(F.count(F.lit(1)).alias("rows"), F.max("termid").alias("top"))
     return _shift_for(size, bytes_per_row, bucket_bytes, max_buckets, max_shift)

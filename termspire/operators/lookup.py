@@ -134,11 +134,24 @@ def unknown_queries(queries: DataFrame, found: DataFrame) -> DataFrame:
 def docs_for_terms(index: Index, words: DataFrame, column: str = "qterm") -> DataFrame:
     """(word, docid) of every posting of the given words; unknown words give no rows.
 
-    The join carries the bucket of each term id, so only the folders of those buckets are read. A
-    list too long to broadcast is joined by term id, with the frequent terms spread.
+    A list of words that is small is looked up at once, and its buckets and term ids become constants
+    of the plan, so only the row groups that hold them are read. For a larger one the join carries
+    the bucket of each term id, and only the folders of those are read. A list too long to broadcast
+    is joined by term id, with the frequent terms spread.
     """
     words = words.select(F.col(column).alias("word")).distinct()
     size = measure_queries(words.select(F.col("word").alias("qterm")))
+    if size.local:
+        asked = words.select(F.lit(0).cast("long").alias("qno"), F.col("word").alias("qterm"))
+        ids = lookup_terms(index, asked, size).select(F.col("term").alias("word"), "termid")
+        bucket = index.layout.bucket(F.col("termid")) if "thash" in index.postings.columns else F.lit(None)
+        table = ids.withColumn("thash", bucket.cast("int")).toArrow()
+        postings = index.postings
+        if "thash" in postings.columns:
+            postings = postings.where(F.col("thash").isin(table["thash"].unique().to_pylist()))
+        postings = _restricted(postings, "termid", table["termid"].unique().to_pylist())
+        ids = local_relation(index.postings.sparkSession, table.select(["word", "termid"]))
+        return postings.join(F.broadcast(ids), "termid").select("word", "docid")
     terms = _restricted(index.dict, "crange", size.keys)
     small = size.broadcastable
     found = terms.join(F.broadcast(words) if small else words, F.col("term") == F.col("word"))

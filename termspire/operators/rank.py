@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from termspire.functions.scoring import K1, B, inverse_document_frequency, term_score
 from termspire.model import Index
 from termspire.operators.lookup import MAX_CONSTANTS, lookup_terms, measure_queries
-from termspire.plans.skew import frequent_keys, spread_join
+from termspire.plans.skew import frequent_keys, frequent_pairs, grid_join, spread_join
 from termspire.plans.staging import MAX_BROADCAST_ROWS, local_relation, stage
 
 # The sum of floating-point scores depends on the order of the rows in its last digits. Ranking by
@@ -139,6 +139,9 @@ def postings_of(index: Index, terms: QueryTerms, prune: str | None = "constants"
         wanted = wanted.drop("thash")
     if terms.broadcastable:
         return postings.join(F.broadcast(wanted), keys)
+    if bucketed and prune == "join":
+        # The spread join has no bucket key, so the buckets, which the layout bounds, are constants.
+        postings = postings.where(F.col("thash").isin(terms.buckets))
     frequent = frequent_keys(wanted, "termid", "df", terms.postings)
     return spread_join(postings, wanted.drop("thash"), "termid", frequent, ["docid"])
 
@@ -171,9 +174,11 @@ def _with_document_length(index: Index, postings: DataFrame, rows: int) -> DataF
         joined = docs.join(F.broadcast(postings), "docid")
         joined = joined.groupBy(*postings.columns, "len").agg(count.alias("doc_copies"))
     else:
-        joined = postings.join(
-            docs.groupBy("docid", "len").agg(count.alias("doc_copies")), "docid"
-        )
+        lengths = stage(docs.groupBy("docid", "len").agg(count.alias("doc_copies")), "lengths")
+        rows_of = lambda side, name: side.groupBy("docid").agg(count.alias(name))
+        counts = rows_of(lengths, "lengths").join(rows_of(postings, "found"), "docid")
+        frequent = frequent_pairs(counts, "docid", "found", "lengths")
+        joined = grid_join(postings, lengths, "docid", frequent, ["termid", "tf"], ["len"])
     return joined.withColumn("copies", F.col("posting_copies") * F.col("doc_copies"))
 
 
@@ -213,13 +218,20 @@ def for_queries(scored: DataFrame, terms: QueryTerms) -> DataFrame:
     if terms.broadcastable:
         pairs = _by_document(scored, terms.pairs).join(F.broadcast(terms.asked), "termid")
     else:
-        frequent = frequent_keys(terms.distinct, "termid", "df", terms.postings)
-        pairs = spread_join(scored, terms.asked, "termid", frequent, ["docid"])
+        pairs = _meet(scored, terms)
     return pairs.select(
         "qno", "docid", "termid", (F.col("copies") * F.col("n")).alias("copies"), "bm25termscore"
     )
 
 
+def _meet(postings: DataFrame, terms: QueryTerms) -> DataFrame:
+    """Postings and the queries that ask for their term, where a term may have many of both."""
+    asking = terms.asked.groupBy("termid").agg(F.count(F.lit(1)).alias("queries"))
+    counts = terms.distinct.select("termid", "df").join(asking, "termid")
+    frequent = frequent_pairs(counts, "termid", "df", "queries")
+    return grid_join(postings, terms.asked, "termid", frequent, ["docid"], ["qno"])
+
+
 def _by_document(scored: DataFrame, pairs: int) -> DataFrame:
     """Shuffle by docid, into more tasks than the session's default if the known rows need them."""
     default = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -287,7 +299,14 @@ def with_names(index: Index, scores: DataFrame, rows: int | None = None) -> Data
     `rows` is the known largest number of scored rows, if there is one.
     """
     names = index.docs.select("docid", "name")
-    if rows is not None and rows <= MAX_BROADCAST_ROWS:
+    if rows is not None and rows <= MAX_CONSTANTS:
+        # The few best are computed now: their ids, as constants, let the sorted files of `docs` be
+        # skipped but for the row groups that hold them.
+        table = scores.toArrow()
+        scores = local_relation(scores.sparkSession, table)
+        names = names.where(F.col("docid").isin(table["docid"].unique().to_pylist()))
+        joined = names.join(F.broadcast(scores), "docid")
+    elif rows is not None and rows <= MAX_BROADCAST_ROWS:
         joined = names.join(F.broadcast(scores), "docid")
     else:
         joined = scores.join(names, "docid")
@@ -344,8 +363,7 @@ def filtered_postings(
     if terms.broadcastable:
         pairs = found.join(F.broadcast(terms.asked), "termid")
     else:
-        frequent = frequent_keys(terms.distinct, "termid", "df", terms.postings)
-        pairs = spread_join(found, terms.asked, "termid", frequent, ["docid"])
+        pairs = _meet(found, terms)
     return pairs.select("qno", "termid", "docid", "df", "tf")
 
 

@@ -23,6 +23,57 @@ def frequent_keys(counts: DataFrame, key: str, rows: str, total) -> DataFrame:
     )
 
 
+def frequent_pairs(counts: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, left_ways, right_ways): how to cut the keys that make more than 1/SLOTS of all pairs.
+
+    `counts` has one row per key, with its rows on the left and on the right. The larger side is cut
+    first, and the other only if the larger has too few rows.
+    """
+    pairs = F.col(left).cast("double") * F.col(right)
+    total = counts.agg(F.sum(pairs)).first()[0] or 0.0
+    share = pairs * F.lit(float(SLOTS)) / F.lit(max(total, 1.0))
+    ways = F.ceil(share)
+    of_left = F.least(ways, F.when(F.col(left) >= F.col(right), F.col(left)).otherwise(F.ceil(ways / F.col(right))))
+    return counts.where(share > 1).select(
+        key,
+        of_left.cast("int").alias("left_ways"),
+        F.ceil(ways / of_left).cast("int").alias("right_ways"),
+    )
+
+
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    frequent: DataFrame,
+    left_spread: list[str],
+    right_spread: list[str],
+) -> DataFrame:
+    """Inner join on `key` of two sides that may both have many rows of a key.
+
+    The pairs of a frequent key form a grid of `left_ways` by `right_ways` parts. A row goes to a
+    row or a column of the grid, so each pair is made once, in one part.
+    """
+    frequent = F.broadcast(frequent)
+
+    def placed(side: DataFrame, spread: list[str], own: str, other: str) -> DataFrame:
+        ways = F.coalesce(F.col(f"{own}_ways"), F.lit(1))
+        others = F.coalesce(F.col(f"{other}_ways"), F.lit(1))
+        part = F.pmod(F.xxhash64(*spread, F.spark_partition_id()), ways).cast("int")
+        return (
+            side.join(frequent, key, "left")
+            .withColumn(f"{own}_part", part)
+            .withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), others - F.lit(1))))
+            .drop("left_ways", "right_ways")
+        )
+
+    on = [key, "left_part", "right_part"]
+    joined = placed(left, left_spread, "left", "right").join(
+        placed(right, right_spread, "right", "left"), on
+    )
+    return joined.drop("left_part", "right_part")
+
+
 def spread_join(
     big: DataFrame, lookup: DataFrame, key: str, frequent: DataFrame, spread: list[str]
 ) -> DataFrame:

@@ -62,11 +62,10 @@ def document_index(spark: SparkSession, sf_dir: str) -> Index:
 
     def make() -> Index:
         built = build_index(table(spark, sf_dir, "documents"))
-        shift = choose_shift_by_dict(
-            built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS, max_shift=62
-        )
-        # An empty table gives no shift.
-        layout = Layout("shift", shift.first()["shift"] or 0)
+        shift = choose_shift_by_dict(built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
+        shift = shift.first()["shift"]
+        # An empty table gives no shift, and has nothing to lay out.
+        layout = Layout() if shift is None else Layout("shift", shift)
         return write_index(built, new_folder(spark, "documents"), layout)
 
     return once(spark, sf_dir, "documents", make)

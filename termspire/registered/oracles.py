@@ -65,6 +65,11 @@ _CORRECTED = """
     cstats AS MATERIALIZED (SELECT count(*) AS num_docs, avg(len) AS avgdl FROM cdocs)"""
 
 
+# How many documents each term loses by the correction.
+_LOSS = """
+    loss AS (
+      SELECT after.term, after.df, before.df - after.df AS lost
+      FROM cdict AS after INNER JOIN dict AS before USING (termid))"""
 _SHIFT = f"""
     sized AS (
       SELECT (SELECT min(m) FROM (SELECT unnest(range(0, 62)) AS m)
@@ -178,6 +183,10 @@ def oracle_sql() -> dict[str, str]:
         "bucket_rows": f"""{docs}, {_SHIFT}
             SELECT termid // (1::BIGINT << s) AS thash, count(*) AS rows
             FROM postings, sized GROUP BY 1""",
+        "file_layout": f"""{docs}, {_SHIFT}
+            SELECT termid // (1::BIGINT << s) AS thash, count(*) AS rows,
+                true AS has_files, true AS has_bytes
+            FROM postings, sized GROUP BY 1""",
         "folder_scan": f"""SELECT {language} AS language, count(*) AS records,
             count(DISTINCT {host}) AS ids FROM pages GROUP BY 1""",
         "captures": f"""SELECT {host} AS id, page_id::VARCHAR AS record_id,
@@ -185,6 +194,7 @@ def oracle_sql() -> dict[str, str]:
             FROM pages WHERE {language} = 'en' AND {host} = (
               SELECT {host} AS h FROM pages GROUP BY h ORDER BY count(*) DESC, h LIMIT 1)""",
         "catalog_ranking": top20,
+        "catalog_raw_ranking": _ranking(20, index=_TURNS),
         "sql_ranking": f"""WITH {_DOCUMENTS}, {_PROBES}, {_hits()}, {_SUMS}
             SELECT qno, docid, round(score, 6) AS bm25score FROM totals""",
         "export_tables": f"""{docs}
@@ -208,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "query_log": f"WITH {_LOG} SELECT QueryText FROM log",
         "query_sample": f"WITH {_SAMPLE} SELECT QueryText FROM drawn",
         "sample_terms": f"WITH {_SAMPLE_TERMS} SELECT qno, qterm FROM q",
+        "sql_tokenize": f"WITH {_SAMPLE_TERMS} SELECT qno, qterm FROM q",
         "sample_ranking": _ranking(1, _SAMPLE_TERMS),
         "lookup_batch": f"""WITH {_DOCUMENTS}, {_BENCHMARK}
             SELECT q.qno, d.term, d.termid, d.df, count(*) AS n
@@ -222,9 +233,10 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT word FROM (
                     SELECT unnest({_whitespace('text')}) AS word FROM benchmark) WHERE word <> '')
             LEFT JOIN dict ON term = word""",
-        "docs_for_terms": f"""WITH {_DOCUMENTS}, {_PROBES}
-            SELECT d.term AS word, p.docid FROM postings p
-            JOIN dict d USING (termid) WHERE d.term IN (SELECT qterm FROM q)""",
+        "docs_for_terms": f"""WITH {_PROBES}, word AS (SELECT DISTINCT qterm AS word FROM q)
+            SELECT DISTINCT word.word, found.docid
+            FROM (SELECT doc_id AS docid, unnest({_normalised('text')}) AS term FROM documents) AS found
+            JOIN word ON word.word = found.term""",
         "unknown_queries": f"""{docs}, words AS (
               SELECT DISTINCT qterm FROM (
                 SELECT unnest({_whitespace('text')}) AS qterm FROM conversations)
@@ -259,21 +271,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS asked, count(f.qno) AS answered, count(*) - count(f.qno) AS skipped
             FROM (SELECT DISTINCT conv_id * 1000 + turn AS qno FROM conversations) a
             LEFT JOIN found f USING (qno)""",
-        "duplicate_ids": f"""{turns} SELECT count(*) AS ndup
-            FROM (SELECT docid FROM docs GROUP BY docid HAVING count(docid) > 1)""",
+        "duplicate_ids": f"""{turns}, per_id AS (SELECT docid, count(*) AS captures FROM docs GROUP BY docid)
+            SELECT count(*) FILTER (captures > 1) AS ndup FROM per_id""",
         "corrected_dict": f"{fixed} SELECT term, termid, df FROM cdict",
         "corrected_docs": f"{fixed} SELECT docid, name, len FROM cdocs",
         "corrected_postings": f"{fixed} SELECT termid, docid, tf FROM cpostings",
         "corrected_stats": f"{fixed} SELECT num_docs, round(avgdl, 6) AS avgdl FROM cstats",
         "changed_lengths": f"""{fixed}
-            SELECT d.docid, d.name, d.len, c.name AS corrected_name, c.len AS corrected_len
-            FROM docs d, cdocs c WHERE d.docid = c.docid AND d.len <> c.len""",
-        "changed_df": f"""{fixed} SELECT count(*) AS terms FROM cdict d, dict d0
-            WHERE d.termid = d0.termid AND d.df <> d0.df""",
-        "shrunk_count": f"""{fixed} SELECT count(*) AS terms FROM cdict d, dict d0
-            WHERE d.termid = d0.termid AND d.df < d0.df - 2""",
-        "shrunk_terms": f"""{fixed} SELECT d.term, d.df FROM cdict d, dict d0
-            WHERE d.termid = d0.termid AND d.df < d0.df - 2""",
+            SELECT docid, before.name, before.len,
+                after.name AS corrected_name, after.len AS corrected_len
+            FROM docs AS before INNER JOIN cdocs AS after USING (docid)
+            WHERE after.len IS DISTINCT FROM before.len""",
+        "changed_df": f"""{fixed}, {_LOSS}
+            SELECT count(*) FILTER (lost <> 0) AS terms FROM loss""",
+        "shrunk_count": f"""{fixed}, {_LOSS}
+            SELECT count(*) FILTER (lost > 2) AS terms FROM loss""",
+        "shrunk_terms": f"""{fixed}, {_LOSS}
+            SELECT term, df FROM loss WHERE lost > 2""",
         "bm25_raw": _ranking(None, index=_TURNS),
         "bm25_raw_top20": _ranking(20, index=_TURNS),
         "bm25_corrected": _ranking(20, index=f"{_TURNS}, {_CORRECTED}", prefix="c"),

@@ -16,6 +16,7 @@ from termspire.operators import batch, duplicates, lookup, profile, rank, sampli
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
 from termspire.registered.fixtures import (
+    HASH_BUCKETS,
     PROBE_TERMS,
     SAMPLE_QUERIES,
     SAMPLE_SEED,
@@ -215,8 +216,22 @@ def catalog_ranking(spark, sf_dir):
         return database
 
     database = once(spark, sf_dir, "catalog", make)
-    index = read_tables(spark, database, Layout("shift", 12))
-    return _scores(rank.bm25(index, probe_queries(spark), k=20))
+    return _scores(rank.bm25(read_tables(spark, database), probe_queries(spark), k=20))
+
+
+@query
+def catalog_raw_ranking(spark, sf_dir):
+    """The same over an index in which documents occur several times: its record says so."""
+
+    def make():
+        root = new_folder(spark, "catalog-raw")
+        write_index(raw_index(spark, sf_dir), root, Layout("hash", HASH_BUCKETS))
+        database = "index_" + root.rsplit("-", 1)[-1]
+        create_tables(spark, database, root)
+        return database
+
+    database = once(spark, sf_dir, "catalog-raw", make)
+    return _scores(rank.bm25(read_tables(spark, database), probe_queries(spark), k=20))
 
 
 @query
@@ -350,6 +365,20 @@ def sample_terms(spark, sf_dir):
     return tokens.tokenize_queries(_sampled_queries(spark, sf_dir))
 
 
+@query
+def sql_tokenize(spark, sf_dir):
+    """The terms of the sample by statements in SQL: tokenise, number the queries, one row per term."""
+    register_sql_functions(spark)
+    _sampled_queries(spark, sf_dir).createOrReplaceTempView("sampled")
+    return spark.sql(
+        """
+        SELECT qno, qterm FROM (
+          SELECT qno, explode(tokenize(QueryText)) AS qterm FROM sampled
+        )
+        """
+    )
+
+
 @query
 def sample_ranking(spark, sf_dir):
     """The best document for each sampled query."""
@@ -634,8 +663,14 @@ def sample_rows(spark, sf_dir):
 
 @query
 def file_layout(spark, sf_dir):
-    """Files, bytes and rows of each postings bucket."""
-    return profile.file_layout(document_index(spark, sf_dir).postings, "thash")
+    """Rows of each postings bucket, and whether it has files and bytes, whose numbers may differ."""
+    found = profile.file_layout(document_index(spark, sf_dir).postings, "thash")
+    return found.select(
+        F.col("thash").cast("long").alias("thash"),
+        "rows",
+        (F.col("files") >= 1).alias("has_files"),
+        (F.col("bytes") > 0).alias("has_bytes"),
+    )
 
 
 @query

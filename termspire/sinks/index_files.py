@@ -16,6 +16,7 @@ from termspire.sources.index_files import read_index
 # Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
 POSTINGS_PER_FILE = 32_000_000
 TERMS_PER_FILE = 8_000_000
+DOCS_PER_FILE = 8_000_000
 # A small table is cut finer, to use the whole cluster, but not below this many rows per file.
 MIN_PER_FILE = 100_000
 
@@ -56,6 +57,18 @@ def write_dict(
     )
 
 
+def write_docs(docs: DataFrame, path: str, rows: int, rows_per_file: int = DOCS_PER_FILE) -> None:
+    """Documents sorted by docid, so that names of a few are found by the files' statistics."""
+    files = _files(docs.sparkSession, rows, rows_per_file)
+    (
+        docs.select("docid", "name", "len")
+        .repartitionByRange(files, "docid")
+        .sortWithinPartitions("docid")
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+
+
 def write_index(
     index: Index,
     root: str,
@@ -66,7 +79,7 @@ def write_index(
     """Write the four tables and the layout record, and open the result."""
     spark = index.postings.sparkSession
     index.stats.write.mode("overwrite").parquet(f"{root}/stats")
-    index.docs.select("docid", "name", "len").write.mode("overwrite").parquet(f"{root}/docs")
+    write_docs(index.docs, f"{root}/docs", index.stats.first()["num_docs"])
     size = index.dict.agg(F.count(F.lit(1)), F.sum("df")).first()
     write_dict(index.dict, f"{root}/dict", size[0], terms_per_file)
     write_postings(index.postings, f"{root}/postings", layout, size[1] or 0, postings_per_file)

@@ -42,10 +42,14 @@ def register_views(index: Index, prefix: str = "") -> None:
 
 
 def create_tables(spark: SparkSession, database: str, root: str) -> None:
-    """Make a database whose tables are the files under `root`; several roots give several versions."""
+    """Make a database whose tables are the files under `root`; several roots give several versions.
+
+    The record of the layout is a table too, so that a reader of the database need not be told.
+    """
     index = read_index(spark, root)
+    record = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
-    for name, table in index.tables().items():
+    for name, table in (index.tables() | {"layout": record}).items():
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
         bucketed = name == "postings" and index.layout.kind != "none"
@@ -58,12 +62,19 @@ def create_tables(spark: SparkSession, database: str, root: str) -> None:
             spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
 
 
-def read_tables(
-    spark: SparkSession, database: str, layout: Layout = Layout(), unique_docs: bool = True
-) -> Index:
+def read_tables(spark: SparkSession, database: str) -> Index:
+    """Open the index in a database that `create_tables` made, laid out as its record says."""
+
     def table(name: str) -> DataFrame:
         return spark.table(f"{database}.{name}")
 
+    record = table("layout").first()
+    layout = Layout(record["kind"], record["param"])
     return Index(
-        table("postings"), table("dict"), table("docs"), table("stats"), layout, unique_docs
+        table("postings"),
+        table("dict"),
+        table("docs"),
+        table("stats"),
+        layout,
+        record["unique_docs"],
     )

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -52,6 +54,18 @@ def test_accents_agree_with_duckdb_on_every_code_point(spark):
     assert {r["code"]: r["plain"] for r in got} == dict(expected)
 
 
+def test_accents_agree_with_duckdb_on_sequences(spark):
+    rng = random.Random(8)
+    jamo = [chr(c) for r in ((0x1100, 0x1115), (0x115F, 0x1178), (0x11A6, 0x11C5)) for c in range(*r)]
+    pool = jamo * 3 + list("한국가각힣aeÉßn漢 ") + ["e\u0301", "n\u0303", "\u0308", "\u3099", "か", "\u0c46\u0c56"]
+    values = sorted({"".join(rng.choices(pool, k=rng.randint(1, 9))) for _ in range(5000)})
+    values += ["\u1112\u1161\u11ab\u1100\u116e\u11a8"]
+    words = pa.table({"s": values})
+    expected = duckdb.connect().sql("SELECT s, strip_accents(s) AS plain FROM words").fetchall()
+    got = strings(spark, values).select("s", strip_accents(F.col("s")).alias("plain")).collect()
+    assert {r["s"]: r["plain"] for r in got} == dict(expected)
+
+
 @pytest.mark.parametrize("term, key", [("rica", 11), ("", 0), ("é", 23), ("漢", 2845), ("0x", 4)])
 def test_crange(spark, term, key):
     assert strings(spark, [term]).select(crange(F.col("s"))).first()[0] == key
@@ -68,3 +82,6 @@ def test_buckets(spark):
 def test_sql_functions(spark):
     register_sql_functions(spark, 17)
     assert tuple(spark.sql("SELECT cr('rica'), p(393217)").first()) == (11, 3)
+    strings(spark, list(TRICKY)).createOrReplaceTempView("tricky")
+    rows = spark.sql("SELECT s, tokenize(s) AS t FROM tricky").collect()
+    assert {r["s"]: r["t"] for r in rows} == TRICKY

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import micro
 from termspire import Layout, schemas
+from termspire.model import Index
 from termspire.operators import lookup, profile, rank
 from termspire.operators.index_build import build_index
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_hash, layout_shift, with_lengths
@@ -79,24 +80,45 @@ def test_keyed_lookup_reaches_the_scan(written):
 
 def test_ranking_prunes_by_constants_and_by_join(spark, written):
     asked = micro.queries(spark, ["the", "and"])
-    constants = plan(rank.bm25(written["shift"], asked, k=5))
+    constants = plan(rank.term_scores(written["shift"], asked))
     assert "PartitionFilters: [thash#" in constants
-    joined = plan(rank.bm25(written["shift"], asked, k=5, prune="join"))
+    joined = plan(rank.term_scores(written["shift"], asked, prune="join"))
     assert "dynamicpruning" in joined
-    sorted_only = plan(rank.bm25(written["none"], asked, k=5))
+    sorted_only = plan(rank.term_scores(written["none"], asked))
     assert "PushedFilters: [In(termid, [" in sorted_only
     with pytest.raises(ValueError):
         rank.bm25(written["none"], asked, prune="nothing")
-    control = plan(rank.bm25(written["shift"], asked, k=5, prune=None))
+    control = plan(rank.term_scores(written["shift"], asked, prune=None))
     assert "PartitionFilters: []" in control and "dynamicpruning" not in control
 
 
+def test_names_of_the_best_are_read_by_docid(spark, written):
+    text = plan(rank.bm25(written["shift"], micro.queries(spark, ["the", "and"]), k=5))
+    assert "PushedFilters: [In(docid, [" in text
+
+
+def test_documents_of_words_are_read_by_term(spark, written):
+    words = spark.createDataFrame([("the",), ("nothing-like-it",)], "qterm string")
+    text = plan(lookup.docs_for_terms(written["shift"], words))
+    assert "EqualTo(termid," in text or "In(termid, [" in text
+    assert "PartitionFilters: [" in text and "(thash#" in text
+
+
+def test_pruning_by_join_stays_when_the_batch_is_large(spark, written, monkeypatch):
+    asked = micro.queries(spark, ["the", "and"])
+    expected = sorted(map(tuple, rank.bm25(written["shift"], asked).select("qno", "docid").collect()))
+    monkeypatch.setattr(rank, "MAX_BROADCAST_ROWS", 0)
+    assert "PartitionFilters: [thash#" in plan(rank.term_scores(written["shift"], asked, prune="join"))
+    found = rank.bm25(written["shift"], asked, prune="join")
+    assert sorted(map(tuple, found.select("qno", "docid").collect())) == expected
+
+
 @pytest.mark.parametrize(
     "rows, top, size, expected",
     [
         (10, 100, 100 << 20, 7),  # under one bucket: 2^7 > 100
         (1_000, 66_305, 1_000, 13),  # 16 buckets of 4144 ids: 2^13 > 4144
-        (1_000, 1 << 40, 1_000, None),  # no shift under 20 is enough
+        (1_000, 1 << 40, 1_000, 37),  # as far as it takes
     ],
 )
 def test_choose_shift(spark, rows, top, size, expected):
@@ -110,7 +132,8 @@ def test_choose_shift_bounds_the_folders(spark):
     postings = spark.range(1_000).select(F.col("id").alias("termid"))
     assert choose_shift(postings, bucket_bytes=16, max_buckets=4).first()["shift"] == 8
     large = postings.select(F.col("termid") + F.lit(1 << 40).alias("termid")).toDF("termid")
-    assert choose_shift(large, bucket_bytes=16, max_buckets=4, max_shift=62).first()["shift"] == 39
+    assert choose_shift(large, bucket_bytes=16, max_buckets=4).first()["shift"] == 39
+    assert choose_shift(large, bucket_bytes=16, max_buckets=4, max_shift=20).first()["shift"] is None
 
 
 def test_choose_shift_by_dict(spark):
@@ -137,12 +160,24 @@ def test_catalog_and_views(spark, written):
     root = new_folder(spark, "catalog")
     write_index(written["shift"], root, Layout("shift", 10))
     create_tables(spark, "version_one", root)
-    index = read_tables(spark, "version_one", read_index(spark, root).layout)
+    index = read_tables(spark, "version_one")
+    assert index.layout == Layout("shift", 10) and index.unique_docs
     assert index.postings.count() == written["none"].postings.count()
     register_views(index, "v_")
     assert spark.sql("SELECT num_docs FROM v_stats").first()[0] == 200
 
 
+def test_an_index_knows_its_layout(spark, written):
+    shift = written["shift"]
+    with pytest.raises(ValueError):
+        Index(shift.postings, shift.dict, shift.docs, shift.stats)
+    root = new_folder(spark, "catalog")
+    write_index(micro.index(spark, unique=False), root, Layout("hash", 3))
+    create_tables(spark, "version_raw", root)
+    raw = read_tables(spark, "version_raw")
+    assert raw.layout == Layout("hash", 3) and not raw.unique_docs
+
+
 def test_folder_with_typed_keys(spark):
     from pyspark.sql import types as T
 

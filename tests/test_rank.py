@@ -170,19 +170,23 @@ def test_more_tasks_for_more_rows(corpus_index, asked, monkeypatch):
     plain = rows(rank.bm25(corpus_index, asked, k=10))
     monkeypatch.setattr(rank, "PAIRS_PER_TASK", 20)
     result = rank.bm25(corpus_index, asked, k=10)
-    assert "REPARTITION_BY_NUM" in result._jdf.queryExecution().executedPlan().toString()
+    scores = rank.ranked(rank.doc_scores(rank.term_scores(corpus_index, asked)), 10)
+    assert "REPARTITION_BY_NUM" in scores._jdf.queryExecution().executedPlan().toString()
     assert rows(result) == plain
 
 
 def test_long_word_lists(corpus_index, asked, monkeypatch):
     short = sorted(map(tuple, lookup.docs_for_terms(corpus_index, asked).collect()))
+    monkeypatch.setattr(lookup, "MAX_LOCAL_ROWS", 0)
+    assert sorted(map(tuple, lookup.docs_for_terms(corpus_index, asked).collect())) == short
     monkeypatch.setattr(lookup, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(skew, "SLOTS", 4)
     assert sorted(map(tuple, lookup.docs_for_terms(corpus_index, asked).collect())) == short
 
 
 def test_plan_has_one_shuffle_of_scores_and_no_cartesian_product(corpus_index, asked):
-    plan = rank.bm25(corpus_index, asked, k=10)._jdf.queryExecution().executedPlan().toString()
+    scores = rank.ranked(rank.doc_scores(rank.term_scores(corpus_index, asked)), 10)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(docid") == 1
     assert "hashpartitioning(qno" in plan and "WindowGroupLimit" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -19,7 +19,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == {"file_layout"}
+    assert set(registered.queries()) - set(registered.oracle_sql()) == set()
     assert set(registered.oracle_sql()) <= set(registered.queries())
     assert set(registered.queries()) <= set(driver.queries())
     assert set(driver.oracle_sql()) <= set(driver.queries())
