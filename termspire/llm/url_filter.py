@@ -30,10 +30,9 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PATTERN, 2), F.lit(""))
 
 
-def _bucket_of(side: str, marked: Column, size: int):
-    def bucket(start: Column) -> Column:
-        mixed = F.xxhash64(F.lit(side), F.substring(marked, start, F.lit(size)))
-        return (F.pmod(mixed, F.lit(BUCKETS - 1)) + 1).cast("int")
+def _bucket_of(side: str):
+    def bucket(gram: Column) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(side), gram), F.lit(BUCKETS - 1)) + 1).cast("int")
 
     return bucket
 
@@ -50,10 +49,15 @@ def grams(host: Column, path: Column) -> Column:
     ]
     found = [F.array(F.lit(0))]
     for side, marked in sides:
-        for size in SIZES:
-            starts = F.when(F.length(marked) >= size, F.sequence(F.lit(1), F.length(marked) - (size - 1)))
-            made = F.transform(starts, _bucket_of(side, marked, size))
-            found.append(F.coalesce(made, F.array().cast("array<int>")))
+        # Longer n-grams are made of shorter ones and the characters behind them, in linear time.
+        characters = F.split(marked, "")
+        grown = characters
+        for size in range(2, max(SIZES) + 1):
+            heads = F.slice(grown, F.lit(1), F.greatest(F.size(grown) - 1, F.lit(0)))
+            tails = F.slice(characters, F.lit(size), F.size(heads))
+            grown = F.zip_with(heads, tails, lambda head, tail: F.concat(head, tail))
+            if size in SIZES:
+                found.append(F.transform(grown, _bucket_of(side)))
     return F.array_distinct(F.concat(*found))
 
 
