@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termspire.plans.skew import frequent_keys, spread_join
 from termspire.plans.staging import stage
 
 
@@ -18,9 +19,9 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Large and small stars in turn, until the edges are those of one star per component. A round
     takes minima per node, combined within tasks before the shuffle, and joins them back to the
-    edges, where adaptive execution may split a hub. Rounds are few: about the logarithm of the
-    longest path. The edges of each round are a table in the shared folder. Nulls and loops are left
-    out; repeated edges count once.
+    edges, those of a hub spread over tasks. Rounds are few: about the logarithm of the longest path.
+    The edges of each round are a table in the shared folder. Nulls and loops are left out; repeated
+    edges count once.
     """
     u, v = F.greatest(left, right), F.least(left, right)
     links = edges.where(F.col(left) != F.col(right)).select(u.alias("u"), v.alias("v")).distinct()
@@ -29,9 +30,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while (now := _state(links)) != before:
         before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        nodes = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = frequent_keys(nodes, "u", "n", 2 * now[0])
         large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            spread_join(both, nodes.drop("n"), "u", hubs, ["v"])
+            .where("v > u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
