@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 
 _folders: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def workspace(spark: SparkSession) -> str:
@@ -45,17 +47,41 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables that are staged within the block when it ends.
+
+    What is made of them must have been written by then, as an index is by `write_index`.
+    """
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for name in _staged[first:]:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        del _staged[first:]
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a frame that is read in fewer tasks than the cluster runs at once.
 
-    It matters for inputs of a few files only; a large input has more tasks and is left as it is.
+    It matters for small inputs only; a large one has more tasks and is left as it is. The size is
+    the optimizer's, that of the files for a plain read, so nothing is run to learn it.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    task = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    return df.repartition(slots) if size < slots * task else df
 
 
 def local_relation(spark: SparkSession, table: pa.Table) -> DataFrame:

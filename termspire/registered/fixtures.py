@@ -10,7 +10,7 @@ from termspire.operators.duplicates import corrected_index
 from termspire.operators.index_build import build_index
 from termspire.operators.layout import choose_shift_by_dict
 from termspire.operators.tokens import tokenize_queries
-from termspire.plans.staging import new_folder, workspace
+from termspire.plans.staging import new_folder, scratch, workspace
 from termspire.sinks import write_index
 from termspire.sources import literal_queries
 
@@ -61,12 +61,13 @@ def document_index(spark: SparkSession, sf_dir: str) -> Index:
     """Index of `documents` in the layout that keeps the order of term ids."""
 
     def make() -> Index:
-        built = build_index(table(spark, sf_dir, "documents"))
-        shift = choose_shift_by_dict(built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
-        shift = shift.first()["shift"]
-        # An empty table gives no shift, and has nothing to lay out.
-        layout = Layout() if shift is None else Layout("shift", shift)
-        return write_index(built, new_folder(spark, "documents"), layout)
+        with scratch(spark):
+            built = build_index(table(spark, sf_dir, "documents"))
+            shift = choose_shift_by_dict(built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
+            shift = shift.first()["shift"]
+            # An empty table gives no shift, and has nothing to lay out.
+            layout = Layout() if shift is None else Layout("shift", shift)
+            return write_index(built, new_folder(spark, "documents"), layout)
 
     return once(spark, sf_dir, "documents", make)
 
@@ -90,11 +91,9 @@ def raw_index(spark: SparkSession, sf_dir: str) -> Index:
     def make() -> Index:
         turns = table(spark, sf_dir, "conversations")
         name = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn"))
-        return write_index(
-            build_index(turns, docid="conv_id", name=name),
-            new_folder(spark, "raw"),
-            Layout("hash", HASH_BUCKETS),
-        )
+        with scratch(spark):
+            built = build_index(turns, docid="conv_id", name=name)
+            return write_index(built, new_folder(spark, "raw"), Layout("hash", HASH_BUCKETS))
 
     return once(spark, sf_dir, "raw", make)
 
@@ -103,11 +102,10 @@ def fixed_index(spark: SparkSession, sf_dir: str) -> Index:
     """The corrected version of the raw index."""
 
     def make() -> Index:
-        return write_index(
-            corrected_index(raw_index(spark, sf_dir)),
-            new_folder(spark, "corrected"),
-            Layout("hash", HASH_BUCKETS),
-        )
+        source = raw_index(spark, sf_dir)
+        with scratch(spark):
+            fixed = corrected_index(source)
+            return write_index(fixed, new_folder(spark, "corrected"), Layout("hash", HASH_BUCKETS))
 
     return once(spark, sf_dir, "corrected", make)
 

@@ -25,7 +25,10 @@ def read_folder(
 
 
 def temporary_table(df: DataFrame, name: str) -> DataFrame:
-    """Keep a result for the session under a name that SQL can use, replacing an earlier one."""
+    """Keep a result for the session under a name that SQL can use; an earlier one is freed."""
+    catalog = df.sparkSession.catalog
+    if catalog.tableExists(name) and catalog.isCached(name):
+        catalog.uncacheTable(name)
     kept = df.cache()
     kept.createOrReplaceTempView(name)
     return kept
