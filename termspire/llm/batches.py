@@ -23,6 +23,15 @@ def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterato
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for start, end in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(start, end - start)
+    pa.default_memory_pool().release_unused()
+
+
+class Numbers(dict):
+    """Numbers from 0 for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
 
 def texts(batch: pa.RecordBatch, column: int) -> list[str]:

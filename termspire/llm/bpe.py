@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from termspire.llm.batches import map_parts, texts
 
 # Words whose encoding a task remembers between parts; beyond it, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+PART_BYTES = 6 << 20
 _KEY = 1 << 20
 _NONE = np.int32(2**31 - 1)
 
@@ -71,9 +72,9 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[bytes, list[int
         return b"", [0] * len(words)
     ends = np.cumsum(lengths)
     token = vocab.bytes[joined]
-    following = np.arange(1, total + 1)
+    following = np.arange(1, total + 1, dtype=np.int32)
     following[ends[lengths > 0] - 1] = -1
-    before = np.arange(-1, total - 1)
+    before = np.arange(-1, total - 1, dtype=np.int32)
     before[(ends - lengths)[lengths > 0]] = -1
     alive = np.ones(total, bool)
     merging = np.zeros(total, bool)
@@ -103,7 +104,7 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[bytes, list[int
                 heapq.heappush(heap, key)
             places[key].append(at[first:end])
 
-    look_up(np.arange(total))
+    look_up(np.arange(total, dtype=np.int32))
     while heap:
         now = heapq.heappop(heap)
         groups = places.pop(now)
@@ -186,14 +187,20 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         self.first.clear()
-        cut = [self.split.pieces(t) for t in batch]
-        self.learn({c[0] for c in cut}, self.first, "")
+        first: set[str] = set()
         wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c[1:])
+        # Pieces are cut twice, rather than held for all texts.
+        for text in batch:
+            cut = self.split.pieces(text)
+            first.add(cut[0])
+            wanted.update(cut[1:])
+        self.learn(first, self.first, "")
         self.learn(wanted, self.known, " ")
-        known = self.known.__getitem__
-        return [self.first[c[0]] + b"".join(map(known, c[1:])) for c in cut]
+        known, made = self.known.__getitem__, []
+        for text in batch:
+            cut = self.split.pieces(text)
+            made.append(self.first[cut[0]] + b"".join(map(known, cut[1:])))
+        return made
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -242,5 +249,5 @@ def encode(
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens bigint, " + "ids binary, " * with_ids
     schema += "ids_sha256 string, decoded_sha256 string"
-    made = map_parts(docs, {"key": key, "text": text}, run, schema)
+    made = map_parts(docs, {"key": key, "text": text}, run, schema, PART_BYTES)
     return made.withColumnRenamed("key", key)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.batches import map_parts, parts, texts
+from termspire.llm.batches import Numbers, map_parts, parts, texts
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
@@ -20,7 +20,7 @@ SWITCH = 8.0
 # A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
-PART_BYTES = 6 << 20
+PART_BYTES = 3 << 20
 
 # First code points of script ranges, and the scripts that start there.
 SCRIPTS = [
@@ -87,9 +87,9 @@ def grams_of(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join([f"<{w}>" for w in letters]).encode("utf-32-le", "surrogatepass")
     points = np.frombuffer(joined, np.uint32)
     sizes = np.fromiter(map(len, letters), np.int64, len(letters)) + 2
-    word = np.repeat(np.arange(len(letters)), sizes)
+    word = np.repeat(np.arange(len(letters), dtype=np.int32), sizes)
     whole = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in letters]
-    words, buckets = [np.arange(len(letters))], [np.array(whole, np.int64)]
+    words, buckets = [np.arange(len(letters), dtype=np.int32)], [np.array(whole, np.int32)]
     value = points
     for size in range(2, max(SIZES) + 1):
         value = value[:-1] * np.uint32(0x01000193) ^ points[size - 1 :]
@@ -97,7 +97,7 @@ def grams_of(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if size in SIZES:
             mixed = (value[inside] + np.uint32(size)) * np.uint32(0x9E3779B1)
             words.append(word[: len(value)][inside])
-            buckets.append((mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64))
+            buckets.append((mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32))
     return np.concatenate(words), np.concatenate(buckets)
 
 
@@ -224,14 +224,13 @@ def label_words(lengths: np.ndarray, scores: np.ndarray, switch: float = SWITCH)
 
 def label_texts(batch: list[str], model: Model, switch: float = SWITCH) -> list[tuple]:
     """For each text its language, the share of its letters in it, and spans (first, end, language)."""
-    cut = [t.split() for t in batch]
-    distinct = sorted(set().union(*cut))
-    number = dict(zip(distinct, range(len(distinct)), strict=True))
-    words = np.fromiter((number[w] for c in cut for w in c), np.int64)
-    lengths = np.array([len(c) for c in cut], np.int64)
     if not model.languages:
         return [(UNKNOWN, 0.0, []) for _ in batch]
-    scores, weights = word_scores(distinct, model)
+    number = Numbers()
+    numbers = [np.fromiter(map(number.__getitem__, t.split()), np.int32) for t in batch]
+    lengths = np.array([len(n) for n in numbers], np.int64)
+    words = np.concatenate([*numbers, np.zeros(0, np.int32)])
+    scores, weights = word_scores(list(number), model)
     labels = label_words(lengths, scores[words], switch)
     made, end = [], 0
     for size in lengths.tolist():

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termspire.llm.batches import map_parts, raw_texts
+from termspire.llm.batches import Numbers, map_parts, raw_texts
 from termspire.llm.components import components
 from termspire.plans.skew import frequent_keys, spread_join
 from termspire.plans.staging import is_small, stage
@@ -40,21 +40,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Numbers(dict):
-    """Numbers from 0 for keys, in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
 def shingle_sets(batch: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct shingles of `size` words.
 
     Words are cut at ASCII white space, A-Z count as a-z. A text of fewer words has one shingle, all
     of them; a text without words has none.
     """
-    number = _Numbers()
+    number = Numbers()
     numbers = []
     for text in batch:
         words = text.translate(_TABLE).split()
