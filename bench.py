@@ -72,6 +72,10 @@ def main():
     turns = fixtures.table(spark, SF_DIR, "conversations").select(
         (tokens.F.col("conv_id") * 1000 + tokens.F.col("turn")).alias("qno"), "text"
     )
+    # The same ten queries in one job, and in a job each.
+    numbers = [row["qno"] for row in passages.select("qno").distinct().orderBy("qno").limit(10).collect()]
+    ten = passages.where(tokens.F.col("qno").isin(numbers))
+    each = [passages.where(tokens.F.col("qno") == n) for n in numbers]
     headline = {
         "rank_probe_top20": lambda: run(rank.bm25(index, probes, k=20)),
         "rank_probe_all": lambda: run(rank.bm25(index, probes)),
@@ -86,6 +90,8 @@ def main():
         "rank_passages_top20_docs_join": lambda: run(
             rank.bm25(index, passages, k=20, use_docs=True)
         ),
+        "ten_passages_one_job": lambda: run(rank.bm25(index, ten, k=20)),
+        "ten_passages_a_job_each": lambda: [run(rank.bm25(index, one, k=20)) for one in each],
         "rank_raw_copies_top20": lambda: run(rank.bm25(raw, probes, k=20)),
         "lookup_passages": lambda: run(lookup.lookup_terms(index, passages)),
         "tokenize_turns": lambda: run(tokens.tokenize_queries(turns, text="text")),
