@@ -372,8 +372,8 @@ def sql_tokenize(spark, sf_dir):
     _sampled_queries(spark, sf_dir).createOrReplaceTempView("sampled")
     return spark.sql(
         """
-        SELECT qno, qterm FROM (
-          SELECT qno, explode(tokenize(QueryText)) AS qterm FROM sampled
+        SELECT qno, explode(qt) AS qterm FROM (
+          SELECT qno, tokenize(QueryText) AS qt FROM sampled
         )
         """
     )
