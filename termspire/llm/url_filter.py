@@ -37,6 +37,28 @@ def _bucket_of(side: str):
     return bucket
 
 
+def _buckets_of(side: str):
+    """The buckets of the n-grams of an array of characters.
+
+    Longer n-grams are made of shorter ones and the characters behind them, in linear time.
+    """
+
+    def buckets(characters: Column) -> Column:
+        grown, found = characters, []
+        for size in range(2, max(SIZES) + 1):
+            many = F.greatest(F.size(characters) - (size - 1), F.lit(0))
+            grown = F.zip_with(
+                F.slice(grown, F.lit(1), many),
+                F.slice(characters, F.lit(size), many),
+                lambda head, tail: F.concat(head, tail),
+            )
+            if size in SIZES:
+                found.append(F.transform(grown, _bucket_of(side)))
+        return F.concat(*found)
+
+    return buckets
+
+
 def grams(host: Column, path: Column) -> Column:
     """Buckets of the distinct character n-grams of host and path; bucket 0 is in every URL.
 
@@ -49,15 +71,9 @@ def grams(host: Column, path: Column) -> Column:
     ]
     found = [F.array(F.lit(0))]
     for side, marked in sides:
-        # Longer n-grams are made of shorter ones and the characters behind them, in linear time.
-        characters = F.split(marked, "")
-        grown = characters
-        for size in range(2, max(SIZES) + 1):
-            heads = F.slice(grown, F.lit(1), F.greatest(F.size(grown) - 1, F.lit(0)))
-            tails = F.slice(characters, F.lit(size), F.size(heads))
-            grown = F.zip_with(heads, tails, lambda head, tail: F.concat(head, tail))
-            if size in SIZES:
-                found.append(F.transform(grown, _bucket_of(side)))
+        # The characters are bound to a name, so that they are made once.
+        split = F.transform(F.array(F.split(marked, "")), _buckets_of(side))
+        found.append(F.flatten(split))
     return F.array_distinct(F.concat(*found))
 
 
