@@ -38,6 +38,7 @@ LAYOUT = _struct(
     ("param", T.IntegerType()),
     ("has_lengths", T.BooleanType()),
     ("unique_docs", T.BooleanType()),
+    ("version", T.StringType()),
 )
 
 METADATA = _struct(
@@ -51,7 +52,3 @@ QUERY_LOG = _struct(
     ("DocumentID", T.StringType()),
 )
 QUERY_SAMPLE = _struct(("QueryText", T.StringType()))
-QUERY_TERMS = _struct(
-    ("qno", T.LongType()),
-    ("qterm", T.StringType()),
-)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from math import ceil
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from termspire.model import Index, Layout
 from termspire.operators.layout import layout_dict, with_bucket
 from termspire.plans.staging import local_relation
-from termspire.sources.index_files import read_index
+from termspire.sources.index_files import read_index, read_record
 
 # Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
 POSTINGS_PER_FILE = 32_000_000
@@ -76,24 +77,45 @@ def write_index(
     postings_per_file: int = POSTINGS_PER_FILE,
     terms_per_file: int = TERMS_PER_FILE,
 ) -> Index:
-    """Write the four tables and the layout record, and open the result."""
+    """Write the four tables and the layout record, and open the result.
+
+    Every call makes a folder of its own under `root`, and the record, written last, names the one
+    that counts. So a failed run leaves the index as it was, and a reader of the version before goes
+    on reading it. `drop_old_versions` deletes those.
+    """
     spark = index.postings.sparkSession
-    index.stats.write.mode("overwrite").parquet(f"{root}/stats")
-    write_docs(index.docs, f"{root}/docs", index.stats.first()["num_docs"])
+    version = f"version-{uuid.uuid4().hex[:12]}"
+    base = f"{root}/{version}"
+    index.stats.write.parquet(f"{base}/stats")
+    write_docs(index.docs, f"{base}/docs", index.stats.first()["num_docs"])
     size = index.dict.agg(F.count(F.lit(1)), F.sum("df")).first()
-    write_dict(index.dict, f"{root}/dict", size[0], terms_per_file)
-    write_postings(index.postings, f"{root}/postings", layout, size[1] or 0, postings_per_file)
-    _write_record(spark, f"{root}/layout", layout, index)
+    write_dict(index.dict, f"{base}/dict", size[0], terms_per_file)
+    write_postings(index.postings, f"{base}/postings", layout, size[1] or 0, postings_per_file)
+    _write_record(spark, f"{root}/layout", layout, index, version)
     return read_index(spark, root)
 
 
-def _write_record(spark: SparkSession, path: str, layout: Layout, index: Index) -> None:
+def drop_old_versions(spark: SparkSession, root: str) -> None:
+    """Delete the versions under `root` that the record does not name."""
+    current = read_record(spark, root)["version"]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(conf)
+    for status in files.listStatus(path):
+        if status.getPath().getName().startswith("version-") and status.getPath().getName() != current:
+            files.delete(status.getPath(), True)
+
+
+def _write_record(
+    spark: SparkSession, path: str, layout: Layout, index: Index, version: str
+) -> None:
     record = pa.table(
         {
             "kind": pa.array([layout.kind]),
             "param": pa.array([layout.param], pa.int32()),
             "has_lengths": pa.array([index.has_lengths]),
             "unique_docs": pa.array([index.unique_docs]),
+            "version": pa.array([version]),
         }
     )
     local_relation(spark, record).write.mode("overwrite").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 from termspire import schemas
@@ -18,18 +18,24 @@ def _postings_schema(layout: Layout, has_lengths: bool) -> T.StructType:
     return T.StructType(fields)
 
 
+def read_record(spark: SparkSession, root: str) -> Row:
+    """How the index under `root` is laid out, and in which folder its tables are."""
+    return spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout").first()
+
+
 def read_index(spark: SparkSession, root: str) -> Index:
     """Open the index under `root`. Postings are read from the root of their folder, so the bucket
     stays a column and a filter on it prunes folders."""
-    record = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout").first()
+    record = read_record(spark, root)
+    base = f"{root}/{record['version']}"
     layout = Layout(record["kind"], record["param"])
     return Index(
         postings=spark.read.schema(_postings_schema(layout, record["has_lengths"])).parquet(
-            f"{root}/postings"
+            f"{base}/postings"
         ),
-        dict=spark.read.schema(schemas.DICT).parquet(f"{root}/dict"),
-        docs=spark.read.schema(schemas.DOCS).parquet(f"{root}/docs"),
-        stats=spark.read.schema(schemas.STATS).parquet(f"{root}/stats"),
+        dict=spark.read.schema(schemas.DICT).parquet(f"{base}/dict"),
+        docs=spark.read.schema(schemas.DOCS).parquet(f"{base}/docs"),
+        stats=spark.read.schema(schemas.STATS).parquet(f"{base}/stats"),
         layout=layout,
         unique_docs=record["unique_docs"],
     )
@@ -48,6 +54,7 @@ def create_tables(spark: SparkSession, database: str, root: str) -> None:
     """
     index = read_index(spark, root)
     record = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout")
+    base = f"{root}/{record.first()['version']}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
     for name, table in (index.tables() | {"layout": record}).items():
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
@@ -56,7 +63,7 @@ def create_tables(spark: SparkSession, database: str, root: str) -> None:
         spark.sql(
             f"CREATE TABLE {database}.{name} ({columns}) USING parquet "
             + ("PARTITIONED BY (thash) " if bucketed else "")
-            + f"LOCATION '{root}/{name}'"
+            + f"LOCATION '{root if name == 'layout' else base}/{name}'"
         )
         if bucketed:
             spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
