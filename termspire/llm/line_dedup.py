@@ -29,16 +29,24 @@ def boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """(host, pages, lines): per host its pages, and by hash the lines on more than `ratio` of them.
+    """(host, rows, pages, lines): per host, by hash, the lines on more than `ratio` of its pages.
 
-    A line counts once per page, so the hashes of lines are added up within tasks before the
-    shuffle and a hot host costs a row per line and task. As each page of n lines adds at most n / pages
-    to the ratios, a host has at most (its lines per page) / ratio such lines. Lines on fewer than
-    `min_pages` pages stay: on a small host a share says little.
+    A page is a distinct text of the host: a page that was copied a thousand times is no template, and
+    its lines are not boilerplate for that. A line counts once per page. Hashes are added up within
+    tasks before the shuffle, so a hot host, line or copy costs a row per task. As each page of n lines
+    adds at most n / pages to the ratios, a host has at most (its lines per page) / ratio such lines.
+    Lines on fewer than `min_pages` pages stay: on a small host a share says little.
     """
-    pages = docs.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    value = F.col(f"`{text}`")
+    distinct = stage(
+        docs.select(F.col(f"`{host}`").alias("host"), F.xxhash64(value).alias("same"), _hashes(value).alias("lines"))
+        .groupBy("host", "same")
+        .agg(F.first("lines").alias("lines"), F.count(F.lit(1)).alias("rows")),
+        "pages",
+    )
+    pages = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"))
     seen = (
-        docs.select(F.col(f"`{host}`").alias("host"), F.explode(_hashes(F.col(f"`{text}`"))).alias("line"))
+        distinct.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_pages)
@@ -53,7 +61,7 @@ def boilerplate(
     )
     return pages.alias("pages").join(
         common.alias("common"), F.col("pages.host").eqNullSafe(F.col("common.host")), "left"
-    ).select("pages.host", "pages", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
+    ).select("pages.host", "rows", "pages", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
 
 
 def with_boilerplate(docs: DataFrame, found: DataFrame, host: str = "source") -> DataFrame:
@@ -64,12 +72,12 @@ def with_boilerplate(docs: DataFrame, found: DataFrame, host: str = "source") ->
     """
     key = F.struct(F.col(f"`{host}`").alias("host"))
     docs = docs.withColumn("_host", key)
-    found = found.select(F.struct("host").alias("_host"), F.col("lines").alias("_boilerplate"), "pages")
+    found = found.select(F.struct("host").alias("_host"), F.col("lines").alias("_boilerplate"), "rows")
     if is_small(found, "_host.host"):
-        return docs.join(F.broadcast(found.drop("pages")), "_host").drop("_host")
-    total = found.agg(F.sum("pages")).first()[0]
-    frequent = frequent_keys(found, "_host", "pages", total)
-    return spread_join(docs, found.drop("pages"), "_host", frequent, ["_host"]).drop("_host")
+        return docs.join(F.broadcast(found.drop("rows")), "_host").drop("_host")
+    total = found.agg(F.sum("rows")).first()[0]
+    frequent = frequent_keys(found, "_host", "rows", total)
+    return spread_join(docs, found.drop("rows"), "_host", frequent, ["_host"]).drop("_host")
 
 
 def _kept(text: Column) -> Column:
@@ -90,7 +98,7 @@ def line_dedup(
     Returns key, `host`, `n_lines`, `n_dropped`, `text` (the kept lines, joined again). A line is
     compared without the spaces around it; blank lines are never dropped or counted as boilerplate.
     A null text stays null, with 0 lines; an empty one is one blank line. Rows without host are
-    one host. Repeated rows are pages of their own. Other columns are not looked at.
+    one host. Repeated rows are one page, and each of them is cut. Other columns are not looked at.
     """
     found = stage(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
     own = docs.select(

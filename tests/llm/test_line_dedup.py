@@ -6,7 +6,7 @@ from termspire.plans import staging
 
 def brute(rows, ratio, least):
     pages, seen = {}, {}
-    for _, host, text in rows:
+    for host, text in {(host, text) for _, host, text in rows}:
         pages[host] = pages.get(host, 0) + 1
         for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
             seen[host, line] = seen.get((host, line), 0) + 1
@@ -19,12 +19,20 @@ def brute(rows, ratio, least):
     return made
 
 
+def test_a_page_that_is_copied_keeps_its_lines(spark):
+    frame = spark.createDataFrame(sample(), "doc_id int, source string, text string")
+    found = {r.doc_id: r for r in line_dedup.line_dedup(frame).collect()}
+    assert all(found[200 + n].n_dropped == 0 for n in range(40))
+    assert found[2].n_dropped == 2
+
+
 def rows_of(frame):
     return sorted(map(tuple, frame.collect()), key=repr)
 
 
 def sample():
     rows = [(n, "big" if n % 3 else "small", f" common \nline {n}\n\nrare {n % 9}\ncommon") for n in range(60)]
+    rows += [(200 + n, "big", "copied line one\ncopied line two") for n in range(40)]
     return rows + [(100, None, "common\ncommon"), (101, None, None), (102, "big", ""), (1, "big", "line 1\n")]
 
 
