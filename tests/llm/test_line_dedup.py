@@ -23,7 +23,7 @@ def test_a_page_that_is_copied_keeps_its_lines(spark):
     frame = spark.createDataFrame(sample(), "doc_id int, source string, text string")
     found = {r.doc_id: r for r in line_dedup.line_dedup(frame).collect()}
     assert all(found[200 + n].n_dropped == 0 for n in range(40))
-    assert found[2].n_dropped == 2
+    assert found[2].n_dropped == 3  # two common lines, and a rare one that few texts make common
 
 
 def rows_of(frame):
