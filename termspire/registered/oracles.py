@@ -187,11 +187,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT termid // (1::BIGINT << s) AS thash, count(*) AS rows,
                 true AS has_files, true AS has_bytes
             FROM postings, sized GROUP BY 1""",
-        "folder_scan": f"""SELECT {language} AS language, count(*) AS records,
-            count(DISTINCT {host}) AS ids FROM pages GROUP BY 1""",
+        "folder_scan": f"""SELECT 2024::INTEGER AS year, (page_id % 2 + 1)::INTEGER AS month,
+            (page_id % 3 + 1)::INTEGER AS day, {language} AS language, count(*) AS records,
+            count(DISTINCT {host}) AS ids FROM pages GROUP BY ALL""",
         "captures": f"""SELECT {host} AS id, page_id::VARCHAR AS record_id,
               regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
-            FROM pages WHERE {language} = 'en' AND {host} = (
+            FROM pages WHERE page_id % 2 = 1 AND {language} = 'en' AND {host} = (
               SELECT {host} AS h FROM pages GROUP BY h ORDER BY count(*) DESC, h LIMIT 1)""",
         "catalog_ranking": top20,
         "catalog_raw_ranking": _ranking(20, index=_TURNS),

@@ -162,7 +162,10 @@ def shift_bucket_scan(spark, sf_dir):
 
 
 def _metadata_root(spark, sf_dir):
-    """Pages as crawl metadata, in folders by language; the id is the host, so it repeats."""
+    """Pages as crawl metadata, in folders by date and language; the id is the host, so it repeats.
+
+    The pages have no date, so their numbers stand for six days in two months.
+    """
 
     def make():
         pages = table(spark, sf_dir, "pages")
@@ -170,33 +173,40 @@ def _metadata_root(spark, sf_dir):
             F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("id"),
             F.col("page_id").cast("string").alias("record_id"),
             F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+            F.lit(2024).alias("year"),
+            (F.col("page_id") % 2 + 1).cast("int").alias("month"),
+            (F.col("page_id") % 3 + 1).cast("int").alias("day"),
             F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("language"),
         )
         root = new_folder(spark, "metadata")
-        write_parquet(metadata, root, "language")
+        write_parquet(metadata, root, "year", "month", "day", "language")
         return root
 
     return once(spark, sf_dir, "metadata", make)
 
 
-_LANGUAGE = T.StructType([T.StructField("language", T.StringType(), True)])
+_FOLDERS = T.StructType(
+    [T.StructField(key, T.IntegerType(), True) for key in ("year", "month", "day")]
+    + [T.StructField("language", T.StringType(), True)]
+)
 
 
 @query
 def folder_scan(spark, sf_dir):
-    """Records per language, with the language read from the folder names."""
+    """Records per date and language, which are read from the folder names."""
     root = _metadata_root(spark, sf_dir)
-    records = read_folder(spark, root, schemas.METADATA, _LANGUAGE)
-    return records.groupBy("language").agg(
+    records = read_folder(spark, root, schemas.METADATA, _FOLDERS)
+    return records.groupBy("year", "month", "day", "language").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("id").alias("ids")
     )
 
 
 @query
 def captures(spark, sf_dir):
-    """All English records of the host of the first page, from the English folder only."""
+    """All English records of one month of the most frequent host, from their folders only."""
     root = _metadata_root(spark, sf_dir)
-    english = read_folder(spark, root, schemas.METADATA, _LANGUAGE, "language=en")
+    folders = "year=2024/month=2/day=*/language=en"
+    english = read_folder(spark, root, schemas.METADATA, _FOLDERS, folders)
     host = F.regexp_extract("url", "^https?://([^/]+)/", 1)
     pages = table(spark, sf_dir, "pages")
     record = pages.groupBy(host.alias("id")).count().orderBy(F.desc("count"), "id").first()["id"]
