@@ -10,8 +10,9 @@ from termspire.plans.staging import stage
 
 
 def _state(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v").bitwiseXOR(F.lit(0))
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.bit_xor(F.xxhash64("v", "u"))).first())
+    """The number of the edges and two digests of them, by which rounds are compared."""
+    digests = [F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))]
+    return tuple(edges.agg(F.count(F.lit(1)), *digests).first())
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
