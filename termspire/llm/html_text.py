@@ -70,6 +70,13 @@ class Block:
     paths: list[str] = field(default_factory=list)
     text: str = ""
 
+    def links(self) -> int:
+        return sum(len(piece) for piece, path in zip(self.pieces, self.paths, strict=True) if _linked(path))
+
+
+def _linked(path: str) -> bool:
+    return "/a/" in path + "/"
+
 
 def _is_outside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in OUTSIDE or (tag in HEADERS and not in_main):
@@ -195,7 +202,7 @@ def path_ratios(blocks: list[Block]) -> dict[str, float]:
     total = sum(length.values())
     raw = []
     for path, n in nodes.items():
-        linked = 0.1 if "/a/" in path + "/" else 1.0
+        linked = 0.1 if _linked(path) else 1.0
         # The share of the page's text weighs the ratio, so one long line does not beat an article.
         raw.append(linked * (length[path] / n) * ((marks[path] + 0.5) / n) * (length[path] / total))
     smooth = {}
@@ -210,7 +217,9 @@ def main_text(source: str) -> str:
 
     Paths whose ratio reaches the threshold are content. They are fused in the smallest element that
     holds most of their text, or the article around it, and all blocks there are taken, but for those
-    in menus, notices and the like, so that a title or a short paragraph is not lost.
+    in menus, notices and the like, so that a title or a short paragraph is not lost. Content outside
+    it is not lost either: of the smallest element that holds all text on content paths, links aside,
+    all blocks are taken that are not mostly links.
     """
     blocks = [b for b in blocks_of(source) if not b.outside]
     if not blocks:
@@ -218,24 +227,28 @@ def main_text(source: str) -> str:
     ratios = path_ratios(blocks)
     least = THRESHOLD * max(ratios.values(), default=0.0)
     weight: dict[tuple[int, str], int] = {}
+    unlinked: dict[tuple[int, str], int] = {}
     depth: dict[tuple[int, str], int] = {}
-    total = 0
     for block in blocks:
-        size = sum(
-            len(piece)
-            for piece, path in zip(block.pieces, block.paths, strict=True)
-            if ratios.get(path, 0.0) >= least
-        )
-        total += size
+        chosen = [x for x in zip(block.pieces, block.paths, strict=True) if ratios.get(x[1], 0.0) >= least]
+        size = sum(len(piece) for piece, _ in chosen)
+        own = sum(len(piece.strip()) for piece, path in chosen if not _linked(path))
         for level, element in enumerate(block.around):
             weight[element] = weight.get(element, 0) + size
+            unlinked[element] = unlinked.get(element, 0) + own
             depth[element] = level
     root = blocks[0].around[0]
-    holders = [e for e in weight if e[1] in HOLDERS and weight[e] >= COVER * total]
-    best = max(holders, key=lambda e: (depth[e], -e[0]), default=root)
-    inside = next(b.around for b in blocks if best in b.around)
-    best = next((e for e in reversed(inside[: depth[best] + 1]) if e[1] in MAIN), best)
-    return "\n\n".join(b.text for b in blocks if best in b.around)
+
+    def holder(of: dict[tuple[int, str], int], share: float) -> tuple[int, str]:
+        holders = [e for e in of if e[1] in HOLDERS and of[e] >= share * of[root]]
+        best = max(holders, key=lambda e: (depth[e], -e[0]), default=root)
+        inside = next(b.around for b in blocks if best in b.around)
+        return next((e for e in reversed(inside[: depth[best] + 1]) if e[1] in MAIN), best)
+
+    most, whole = holder(weight, COVER), holder(unlinked, 1.0)
+    return "\n\n".join(
+        b.text for b in blocks if most in b.around or (whole in b.around and 2 * b.links() < len("".join(b.pieces)))
+    )
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

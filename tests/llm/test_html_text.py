@@ -38,6 +38,23 @@ def test_odd_sources():
     assert main_text(f"<article><p>{long}</article>") == long.strip()
 
 
+LONG = "A sentence, with a comma, that is part of the text. " * 40
+
+
+def test_title_lead_and_last_section_outside_the_body():
+    body = "".join(f"<p>{LONG}{n}</p>" for n in range(4))
+    title, lead, last = "The title", "A lead, in short.", "The end, at last."
+    for middle in ("", "<div class=date>1 May</div>"):
+        page = f"<div id=page><h1>{title}</h1><p>{lead}</p>{middle}<div class=body>{body}</div>"
+        page += f"<section><h2>Notes</h2><p>{last}</p></section></div>"
+        found = main_text(f"<body><ul class=top><li><a href=/>Home</a><li><a href=/b>News</a></ul>{page}").split("\n\n")
+        assert found[:2] == [title, lead] and found[-2:] == ["Notes", last]
+        assert len(found) == 8 + (middle != "") and "Home" not in found
+    for tag, around in (("div", "div"), ("section", "body"), ("article", "main")):
+        parts = f"<{tag}>{body}{body}</{tag}><{tag}><p>{LONG}</p></{tag}>"
+        assert len(main_text(f"<{around}>{parts}</{around}>").split("\n\n")) == 9
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = {r.page_id: r for r in extract(pages).collect()}
