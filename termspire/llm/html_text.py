@@ -19,12 +19,14 @@ COVER = 0.8
 
 # Elements without content, with raw text, and those that start and end blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template desc metadata".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
 )
+# Markup in which a tag that ends in a slash has no content.
+FOREIGN = frozenset("svg math".split())
 CLOSES = {
     "li": ("li", "ul ol menu dir"),
     "dt": ("dt dd", "dl"),
@@ -50,6 +52,10 @@ WORDS = frozenset(
 # Marks that count only outside an article: its own header holds the title.
 HEADERS = frozenset("header topbar".split())
 MAIN = frozenset("article main".split())
+# Elements of text, which no word of an id marks, nor, in an article, one of a class.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+# Ends the name of an element in a path that a word of class or id marks in an article.
+MARK = "~"
 # Elements that hold the blocks of a text, rather than being one of them.
 HOLDERS = MAIN | frozenset("html body section div center td".split())
 
@@ -66,6 +72,7 @@ class Block:
 
     around: tuple[tuple[int, str], ...]  # number and tag
     outside: bool
+    marked: int = 0  # number of the innermost element that a word of class or id marks in an article
     pieces: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
     text: str = ""
@@ -78,20 +85,29 @@ def _linked(path: str) -> bool:
     return "/a/" in path + "/"
 
 
-def _is_outside(tag: str, attributes: str, in_main: bool) -> bool:
+def _is_outside(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is not main text, and whether it is marked, so that its links decide.
+
+    In an article an ordinary word in a class or slug says too little to drop an element for it.
+    """
+    marked = False
     if tag in OUTSIDE or (tag in HEADERS and not in_main):
-        return True
+        return True, False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "role" and value in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("html", "body") and tag not in MAIN:
             words = set(re.split(r"[^a-z]+", value))
-            if words & WORDS or (words & HEADERS and not in_main):
-                return True
-    return False
+            if tag in TEXTS and (in_main or name == "id"):
+                continue
+            if words & WORDS and in_main:
+                marked = tag in BLOCKS
+            elif words & WORDS or (words & HEADERS and not in_main):
+                return True, False
+    return False, marked
 
 
 def blocks_of(source: str) -> list[Block]:
@@ -101,8 +117,8 @@ def blocks_of(source: str) -> list[Block]:
     at the next item, all at the end of what holds them. A closing tag without an opening one means
     nothing. A line break is white space.
     """
-    # Open elements: (tag, number, path, whether outside the main text, whether in an article).
-    stack = [("", 0, "", False, False)]
+    # Open elements: (tag, number, path, whether outside the main text, whether in an article, marked).
+    stack = [("", 0, "", False, False, 0)]
     number = 0
     blocks = [Block(((0, ""),), False)]
     border = False
@@ -116,12 +132,12 @@ def blocks_of(source: str) -> list[Block]:
     def add(text: str) -> None:
         nonlocal border
         if border and not text.isspace():
-            blocks.append(Block(tuple((e[1], e[0]) for e in stack), stack[-1][3]))
+            blocks.append(Block(tuple((e[1], e[0]) for e in stack), stack[-1][3], stack[-1][5]))
             border = False
         if border:
             return
         if stack[-1][3] != blocks[-1].outside:  # an inline element that is not main text
-            blocks.append(Block(tuple((e[1], e[0]) for e in stack), stack[-1][3]))
+            blocks.append(Block(tuple((e[1], e[0]) for e in stack), stack[-1][3], stack[-1][5]))
         blocks[-1].pieces.append(text)
         blocks[-1].paths.append(stack[-1][2])
 
@@ -171,10 +187,14 @@ def blocks_of(source: str) -> list[Block]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, position)
             position = close.end() if close else end
             continue
+        if found.group(0).endswith("/>") and any(e[0] in FOREIGN for e in stack):
+            continue
         number += 1
-        _, _, path, outside, in_main = stack[-1]
-        outside = outside or _is_outside(tag, found.group(3), in_main)
-        stack.append((tag, number, f"{path}/{tag}", outside, in_main or tag in MAIN))
+        _, _, path, outside, in_main, marked = stack[-1]
+        gone, suspect = _is_outside(tag, found.group(3), in_main)
+        path = f"{path}/{tag}{MARK if suspect else ''}"
+        stack.append((tag, number, path, outside or gone, in_main or tag in MAIN, number if suspect else marked))
+    _drop_marked(blocks)
     kept = []
     for block in blocks:
         block.text = " ".join("".join(block.pieces).split())
@@ -183,6 +203,23 @@ def blocks_of(source: str) -> list[Block]:
     return kept
 
 
+def _drop_marked(blocks: list[Block]) -> None:
+    """Marked elements of links are not main text: those of half links, or of some and no punctuation."""
+    sums: dict[int, list[int]] = {}
+    for block in blocks:
+        if block.marked and not block.outside:
+            total = sums.setdefault(block.marked, [0, 0, 0])
+            for piece, path in zip(block.pieces, block.paths, strict=True):
+                size = len(piece.strip())
+                total[0] += size
+                total[1] += size if _linked(path) else 0
+                total[2] += len(_PUNCTUATION.findall(piece))
+    for block in blocks:
+        if block.marked in sums:
+            size, linked, marks = sums[block.marked]
+            block.outside = block.outside or (linked > 0 and (2 * linked >= size or not marks))
+
+
 def path_ratios(blocks: list[Block]) -> dict[str, float]:
     """For each root-to-leaf path its text and punctuation per node, smoothed over its neighbours.
 
@@ -202,7 +239,7 @@ def path_ratios(blocks: list[Block]) -> dict[str, float]:
     total = sum(length.values())
     raw = []
     for path, n in nodes.items():
-        linked = 0.1 if _linked(path) else 1.0
+        linked = (0.1 if _linked(path) else 1.0) * (0.1 if MARK in path else 1.0)
         # The share of the page's text weighs the ratio, so one long line does not beat an article.
         raw.append(linked * (length[path] / n) * ((marks[path] + 0.5) / n) * (length[path] / total))
     smooth = {}

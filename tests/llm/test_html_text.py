@@ -55,6 +55,24 @@ def test_title_lead_and_last_section_outside_the_body():
         assert len(main_text(f"<{around}>{parts}</{around}>").split("\n\n")) == 9
 
 
+def test_words_of_ids_and_classes_do_not_drop_main_text():
+    page = f"""<h1 id=menu>Title</h1><p>{LONG}</p><h2 id=related-work>Related work</h2><p id=share>{LONG}</p>
+    <h2 id=navigation>Navigation</h2><section id=search-results><h3>Found</h3><p>{LONG}</p></section>
+    <p class=notice-period>Three months</p><div class=share-price>12 EUR</div><p>If <span class=ad>a</span> is
+    <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></math>, so.</p><svg><desc>d</desc><path d="M1"/><text>Label</text></svg>
+    <ul class=share><li><a href=/t>Tweet</a><li><a href=/m>Mail</a></ul><div class=widget><a href=/x>More</a> now</div>"""
+    expected = ["Title", LONG.strip(), "Related work", LONG.strip(), "Navigation", "Found", LONG.strip(), "Three months"]
+    expected += ["12 EUR", "If a is x=2, so.", "Label"]
+    for tag in ("article", "main"):
+        assert main_text(f"<body><div class=menu>Menu, m.</div><{tag}>{page}</{tag}></body>").split("\n\n") == expected
+    heads = f"<div><h1 id=menu>Title</h1><p id=share>{LONG}</p><h2 id=related-work>Related work</h2><p>{LONG}</p></div>"
+    assert main_text(heads).split("\n\n") == ["Title", LONG.strip(), "Related work", LONG.strip()]
+
+
+def test_many_elements_in_svg():
+    assert main_text("<p>a<svg>" + "<path d='M1'/>" * 50_000 + "</svg>b") == "ab"
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = {r.page_id: r for r in extract(pages).collect()}
