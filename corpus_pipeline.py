@@ -8,10 +8,11 @@ it again, so a stage starts from a table and a lost executor costs no more than
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates
+from termspire.plans.numbering import number_rows
 from termspire.plans.staging import is_small, stage
 
 # SQL cannot express the first stage, a trained model.
@@ -39,19 +40,21 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which the row with the smallest text stays; rows
-    without doc_id stay.
+    Rows are told apart by a number, not by doc_id: a row goes only if its own text is a near copy.
+    Numbers follow doc_id, then text; rows without doc_id come last, so one of them is kept only if
+    its group has no other. Where doc_ids are there and differ, they are the numbers.
     """
-    found = stage(near_duplicates.near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct()
+    packed = docs.select(F.struct("*").alias("row"))
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).head(1):
+        numbered = number_rows(packed, [F.asc_nulls_last("row.doc_id"), F.asc("row.text")], "number")
+    else:
+        numbered = packed.withColumn("number", F.col("row.doc_id").cast("bigint"))
+    texts = numbered.select("number", F.col("row.text").alias("text"))
+    found = near_duplicates.near_duplicates(texts, "number").where(~F.col("kept"))
+    dropped = stage(found.select("number"), "near-duplicates")
     dropped = F.broadcast(dropped) if is_small(dropped) else dropped
-    left = docs.join(dropped, docs["doc_id"] == dropped["dropped"], "left_anti")
-    ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    if not ids.where("n > 1").head(1):
-        return left
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    packed = left.select(F.struct("*").alias("row"), turn.alias("turn"))
-    return packed.where((F.col("turn") == 1) | F.col("row.doc_id").isNull()).select("row.*")
+    return numbered.join(dropped, "number", "left_anti").select("row.*")
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

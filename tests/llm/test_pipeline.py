@@ -101,3 +101,15 @@ def test_awkward_rows(spark):
     for _, function in corpus_pipeline.STAGES:
         docs = stage(function(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_rows_go_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{n}" for n in range(60)) for x in "abc")
+    near = lambda text: f"{text} more"
+    rows = [(1, a), (1, b), (1, near(b)), (2, near(a)), (3, f"{a} {b} {c}"), (None, near(a)), (None, c), (None, c), (None, near(c))]
+    frame = documents(spark, rows + [(4, None), (4, "")])
+    left = corpus_pipeline.drop_near_duplicates(spark, frame, SF)
+    assert left.schema == frame.schema
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    expected = [(1, a), (1, b), (3, f"{a} {b} {c}"), (None, c), (4, None), (4, "")]
+    assert got == sorted(expected, key=repr)
