@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, lm_score, near_duplicates, oracles, token_counts, url_filter, winnow
+from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, lm_score, near_duplicates, oracles, token_counts, toxicity, url_filter, winnow
 from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.score(docs, weights).withColumn("held_out", remainder(5) == 0)

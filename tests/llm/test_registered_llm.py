@@ -17,7 +17,7 @@ def duck():
 def test_all_are_offered():
     names = set(registered.queries()) | {"pipeline"}
     assert names <= set(driver.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
