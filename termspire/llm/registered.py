@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, lm_score, near_duplicates, oracles, token_counts, toxicity, url_filter, winnow
+from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, lm_score, near_duplicates, oracles, token_alignment, token_counts, toxicity, url_filter, winnow
 from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,12 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
     return toxicity.score(docs, weights).withColumn("held_out", remainder(5) == 0)
+
+
+@query
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = token_alignment.read_tokenizers(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    found = token_alignment.align(table(spark, sf_dir, "documents"), tokenizers, with_groups=False)
+    return found.documents().drop("groups")
