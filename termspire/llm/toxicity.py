@@ -30,6 +30,9 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 # A toxic text counts as so many others, since texts of that label are few.
 TOXIC_WEIGHT = 4.0
 
+# Text of which a task holds all features at once.
+PART_BYTES = 4 << 20
+
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -148,7 +151,7 @@ def train(
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
     # At most `sample` rows of an id and a number.
     labelled = rows.join(F.broadcast(chosen), "id")
-    found = map_parts(labelled, {"id": "id", "label": "label", "text": "text"}, _features, "id string, label int, features binary")
+    found = map_parts(labelled, {"id": "id", "label": "label", "text": "text"}, _features, "id string, label int, features binary", PART_BYTES)
     found = found.groupBy("id", "label").agg(F.min("features").alias("features"))
     found = stage(found, "labelled-features")
     epochs = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
@@ -188,5 +191,5 @@ def score(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "t
         found = scores(texts(part, 1), held["table"], shared.value.bias)
         return {"id": part.column(0), "score": found, "predicted": (found >= 0.5).astype(np.int32)}
 
-    made = map_parts(docs, {"id": key, "text": text}, judge, f"id {kind}, score double, predicted int")
+    made = map_parts(docs, {"id": key, "text": text}, judge, f"id {kind}, score double, predicted int", PART_BYTES)
     return made.withColumnRenamed("id", key)
