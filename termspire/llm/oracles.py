@@ -162,3 +162,31 @@ FROM pair LEFT JOIN print AS a ON a.r = pair.r AND a.kind = 0
 LEFT JOIN print AS b ON b.r = pair.r AND b.kind = 1
 JOIN near AS x ON x.r = pair.r AND x.kind = 1 JOIN near AS y ON y.r = pair.r AND y.kind = 0
 """
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_LEXICAL_SEARCH = f"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL
+),
+sized AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM doc WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+posting AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM doc) GROUP BY ALL),
+item AS (
+    SELECT q, item_id, term, count(*)::BIGINT AS repeats
+    FROM (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL)
+    GROUP BY ALL
+),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM posting SEMI JOIN item USING (term), totals GROUP BY term, docs
+),
+scored AS (
+    SELECT q, item_id, r, doc_id,
+        sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+    FROM item JOIN weight USING (term) JOIN posting USING (term) JOIN sized USING (r), totals GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""

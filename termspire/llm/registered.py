@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termspire.llm import bpe, decontaminate, html_text, language, line_dedup, lm_score, near_duplicates, oracles, token_alignment, token_counts, toxicity, url_filter, winnow
+from termspire.llm import bpe, decontaminate, html_text, language, lexical_search, line_dedup, lm_score, near_duplicates, oracles, token_alignment, token_counts, toxicity, url_filter, winnow
 from termspire.llm.labelled_urls import labelled_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ _oracles: dict[str, str] = {
     "op1_benchmark_decontamination": oracles.BENCHMARK_DECONTAMINATION,
     "op6_winnowing": oracles.WINNOWING,
     "op9_line_dedup": oracles.LINE_DEDUP,
+    "op11_ranked_lexical_search": oracles.RANKED_LEXICAL_SEARCH,
     "op7_minhash_near_duplicates": oracles.MINHASH_NEAR_DUPLICATES,
 }
 
@@ -134,3 +135,9 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     )
     found = token_alignment.align(table(spark, sf_dir, "documents"), tokenizers, with_groups=False)
     return found.documents().drop("groups")
+
+
+@query
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
