@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import add
@@ -28,6 +29,11 @@ from pyspark.sql import functions as F
 from termspire.llm.batches import parts, texts
 from termspire.plans.staging import stage
 
+# How byte-level BPE of this kind splits a text before it merges; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# A run of so much white space is given to the slower library.
+SPACES = 10_000
+_SPACES = re.compile(rf"\s{{{SPACES}}}")
 # Text of a part: its pairs are numbered together, and held in memory together.
 PART_BYTES = 8 << 20
 # Text that is given to a tokenizer at once; a longer text goes alone.
@@ -67,42 +73,46 @@ class Pair:
     def __init__(self, a: bytes, b: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_buffer(a)
-        self._a.encode_special_tokens = True
+        self._whole = Tokenizer.from_buffer(a)
+        self._whole.encode_special_tokens = True
         self._b = SentencePieceProcessor(model_proto=b)
         alphabet = byte_alphabet()
+        special = {x["content"] for x in json.loads(a)["added_tokens"]}
         vocabulary = json.loads(a)["model"]["vocab"]
         self.bytes_a = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, number in vocabulary.items():
-            self.bytes_a[number] = bytes(alphabet[c] for c in token)
+            self.bytes_a[number] = b"" if token in special else bytes(alphabet[c] for c in token)
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self._b.is_byte(n) else p.replace("▁", " ").encode()
             for n, p in enumerate(map(self._b.id_to_piece, range(self._b.get_piece_size())))
         ]
+        ranks = {x: n for n, x in enumerate(self.bytes_a) if x}
+        # With every byte a token, tokens of A always give back the text.
+        if any(bytes([n]) not in ranks for n in range(256)):
+            raise ValueError("the first tokenizer must have a token for each byte")
+        self._quick = Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.names_a = [str(n) for n in range(len(self.bytes_a))]
         self.heads_a = [f"{n}|" for n in range(len(self.bytes_a))]
-        self.names_b = [str(n) for n in range(len(self.bytes_b))]
+        self.names = [str(n) for n in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
     def encode(self, values: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both for each text; none where a tokenizer doesn't give back space + text."""
-        found = zip(
-            values,
-            self._a.encode_batch_fast([" " + x for x in values], add_special_tokens=False),
-            self._b.encode(values, num_threads=1),
-            strict=True,
-        )
-        for text, a, b in found:
-            whole, ids = (" " + text).encode(), a.ids
-            same = (
-                text
-                and b"".join([self.bytes_a[n] if n < len(self.bytes_a) else b"\xff" for n in ids]) == whole
-                and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            )
-            yield (ids, b) if same else ([], [])
+        """Ids of both for each text; none where B doesn't give back space + text."""
+        for text, b in zip(values, self._b.encode(values, num_threads=1), strict=True):
+            spaced = " " + text
+            if text and b"".join(map(self.bytes_b.__getitem__, b)) == spaced.encode():
+                yield self._first(spaced), b
+            else:
+                yield [], []
+
+    def _first(self, text: str) -> list[int]:
+        # The quick library merges alike and is several times faster, but fails on very long white space.
+        if len(text) > SPACES and _SPACES.search(text):
+            return self._whole.encode(text, add_special_tokens=False).ids
+        return self._quick.encode_ordinary(text)
 
 
 class Aligner:
@@ -114,13 +124,13 @@ class Aligner:
         self.ends_a, self.ends_b = np.cumsum(pair.sizes_a[self.a]), np.cumsum(pair.sizes_b[self.b])
 
     def windows(self, size: int = WINDOW) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """Parts of a text in order: groups as text, and the ids of linked tokens of A and of B."""
+        """Parts of a text in order: groups as text, and the ids of linked tokens of A and of B (in
+        any order)."""
         i = j = 0
         while i < len(self.a):
             a, b = self.a[i : i + size], self.b[j : j + size]
-            groups, left, right, ni, nj = self._window(
-                self.ends_a[i : i + size].tolist(), self.ends_b[j : j + size].tolist(), a.tolist(), b.tolist()
-            )
+            ends = self.ends_a[i : i + size].tolist(), self.ends_b[j : j + size].tolist()
+            groups, left, right, ni, nj = self._window(*ends, a.tolist(), b.tolist())
             if ni == 0:
                 size *= 2
                 continue
@@ -128,24 +138,29 @@ class Aligner:
             yield groups, a[left], b[right]
 
     def _window(self, ends_a, ends_b, ids_a, ids_b):
-        names_a = list(map(self.pair.names_a.__getitem__, ids_a))
-        heads_a = list(map(self.pair.heads_a.__getitem__, ids_a))
-        names_b = list(map(self.pair.names_b.__getitem__, ids_b))
+        heads, names = self.pair.heads_a.__getitem__, self.pair.names.__getitem__
         groups: list[str] = []
+        # Stretches of one-to-one tokens: where they start in A and B, and their lengths.
+        start_a: list[int] = []
+        start_b: list[int] = []
+        length: list[int] = []
+        # Links of the other groups.
         left: list[int] = []
         right: list[int] = []
         n_a, n_b = len(ends_a), len(ends_b)
         i = j = 0
         while i < n_a and j < n_b:
-            if ends_a[i] == ends_b[j]:
+            x, y = ends_a[i], ends_b[j]
+            if x == y:
                 n = one_to_one(ends_a, ends_b, i, j)
-                groups.extend(map(add, heads_a[i : i + n], names_b[j : j + n]))
-                left.extend(range(i, i + n))
-                right.extend(range(j, j + n))
-                i, j = i + n, j + n
+                start_a.append(i)
+                start_b.append(j)
+                length.append(n)
+                p, q = i + n, j + n
+                groups.extend(map(add, map(heads, ids_a[i:p]), map(names, ids_b[j:q])))
+                i, j = p, q
                 continue
             mark, p, q = len(left), i, j
-            x, y = ends_a[i], ends_b[j]
             left.append(p)
             right.append(q)
             try:
@@ -162,21 +177,27 @@ class Aligner:
                 # The group goes on behind the window and is found again in the next.
                 del left[mark:], right[mark:]
                 break
-            groups.append(",".join(names_a[i : p + 1]) + "|" + ",".join(names_b[j : q + 1]))
-            i, j = p + 1, q + 1
-        return groups, left, right, i, j
+            p, q = p + 1, q + 1
+            groups.append(",".join(map(names, ids_a[i:p])) + "|" + ",".join(map(names, ids_b[j:q])))
+            i, j = p, q
+        n = np.array(length, np.int64)
+        steps = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        both = (
+            np.append(np.repeat(np.array(s, np.int64), n) + steps, np.array(rest, np.int64))
+            for s, rest in ((start_a, left), (start_b, right))
+        )
+        return groups, *both, i, j
 
 
 def one_to_one(a: list[int], b: list[int], i: int, j: int) -> int:
     """How many ends from a[i] and b[j] on are equal: lengths double until a part differs, then halve."""
-    start, step, growing = i, 1, True
-    while step:
-        part = a[i : i + step]
-        if part and part == b[j : j + step]:
+    start, step = i, 4
+    while (part := a[i : i + step]) and part == b[j : j + step]:
+        i, j = i + len(part), j + len(part)
+        step *= 2
+    while step := step // 2:
+        if (part := a[i : i + step]) and part == b[j : j + step]:
             i, j = i + len(part), j + len(part)
-            step = step * 2 if growing else step // 2
-        else:
-            growing, step = False, step // 2
     return i - start
 
 
@@ -306,8 +327,8 @@ def align(
     """Aligns the tokens of both tokenizers in every text, and counts the linked pairs of ids.
 
     A encodes a space and the text, B the text, to which it adds a space itself; strings of special
-    tokens are plain text. A text that is null or empty, or whose tokens of A or B don't give back
-    space + text byte by byte, has no tokens: zeros, and '' as `groups_sha256`. `groups` is text like
+    tokens are plain text. A text that is null or empty, or whose tokens of B don't give back space +
+    text byte by byte (those of A do), has no tokens: zeros, and '' as `groups_sha256`. `groups` is text like
     `a1,a2|b1;a3|b2,b3` (null if `with_groups` is off). Rows keep their number, repeated keys count as
     documents of their own, keys may be null, and other columns aren't looked at.
     """

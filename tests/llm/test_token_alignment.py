@@ -155,3 +155,21 @@ def test_pair_counts(spark, tokenizers):
     counts = {(r.a, r.b): (r.documents, r.best) for r in token_alignment.align(docs, tokenizers).counts.collect()}
     # `hello` is one token of A and two of B.
     assert sorted(counts.values()) == [(2, True), (3, True), (3, True)]
+
+
+def test_the_quick_library_agrees_with_the_tokenizer_file(tokenizers):
+    pair = tokenizers.open()
+    points = [c for c in range(0, 0x110000, 5) if not 0xD800 <= c < 0xE000]
+    texts = [f" a{chr(c)}b 1{chr(c)}2 !{chr(c)}! {chr(c)} {chr(c)}\n" for c in points] + [" " + t for t in pool_texts(3, 2000)]
+    for text, want in zip(texts, pair._whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert pair._first(text) == want.ids
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 1_000_000 + "y", "\n \t" * 400_000, " " * 9_999, "a" * 300_000, "漢" * 200_000, "a b " * 200_000])
+def test_very_long_runs(tokenizers, text):
+    pair = tokenizers.open()
+    ((a, b),) = pair.encode([text])
+    assert not a or a == pair._whole.encode(" " + text, add_special_tokens=False).ids
+    aligner = token_alignment.Aligner(pair, a, b)
+    links = sum(len(x) for _, x, _ in aligner.windows())
+    assert links == len(a) + len(b) - aligner.n_groups
