@@ -90,6 +90,42 @@ def build_index(
     )
 
 
+def delta_index(index: Index, documents: DataFrame, docid: str = "doc_id", text: str = "text") -> Index:
+    """Index of new documents whose term ids go with those of `index`.
+
+    Terms that the index has keep their id; the others are numbered from its largest id on, in term
+    order. Frequencies are those of the new documents alone. Lengths are stored if the index has them.
+    """
+    own = build_index(documents, docid, text)
+    # Own ids were dense and in term order, so the new terms keep that order among themselves.
+    known = index.dict.select("term", F.col("termid").alias("known"))
+    small = is_small(own.dict.select("term"), "term")
+    terms = F.broadcast(own.dict) if small else own.dict
+    matched = stage(known.join(terms, "term").select("termid", "known"), "known-terms")
+    top = index.dict.agg(F.coalesce(F.max("termid"), F.lit(-1))).first()[0]
+    unknown = own.dict.join(matched, "termid", "left_anti")
+    first = F.lit(top + 1).cast("long")
+    fresh = number_rows(unknown.select("term", "termid"), ["term"], "place").select(
+        "termid", (F.col("place") + first).alias("known")
+    )
+    mapped = stage(matched.union(fresh), "term-ids")
+    terms = own.dict.join(mapped, "termid").select("term", F.col("known").alias("termid"), "df", "crange")
+    columns = ["docid", "tf", *(["len"] if index.has_lengths else [])]
+    if is_small(mapped):
+        postings = own.postings.join(F.broadcast(mapped), "termid")
+    else:
+        total = own.dict.agg(F.sum("df")).first()[0]
+        frequent = frequent_keys(own.dict.select("termid", "df"), "termid", "df", total)
+        postings = spread_join(own.postings, mapped, "termid", frequent, ["docid"])
+    return Index(
+        postings=postings.select(F.col("known").alias("termid"), *columns),
+        dict=terms,
+        docs=own.docs,
+        stats=own.stats,
+        unique_docs=own.unique_docs,
+    )
+
+
 def _with_term_ids(forward: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings with term ids and lengths: the dictionary is broadcast if measured small, else joined
     by term with the frequent terms spread, for which the dictionary already holds the counts."""

@@ -11,8 +11,8 @@ from termspire.operators.index_build import build_index
 from termspire.operators.layout import choose_shift_by_dict
 from termspire.operators.tokens import tokenize_queries
 from termspire.plans.staging import new_folder, scratch, workspace
-from termspire.sinks import write_index
-from termspire.sources import literal_queries
+from termspire.sinks import append_documents, compact, drop_superseded, write_index
+from termspire.sources import literal_queries, read_index
 
 # Query terms that occur in the given documents, one repeated, one unknown.
 PROBE_QUERIES = [
@@ -110,6 +110,41 @@ def fixed_index(spark: SparkSession, sf_dir: str) -> Index:
     return once(spark, sf_dir, "corrected", make)
 
 
+def grown_index(spark: SparkSession, sf_dir: str) -> str:
+    """Root of an index of the English `documents`, to which two segments were added: the documents of
+    other languages, then those without one. No term was renumbered, and nothing was compacted."""
+
+    def make() -> str:
+        docs, root = table(spark, sf_dir, "documents"), new_folder(spark, "grown")
+        english = F.col("lang").eqNullSafe("en")
+        with scratch(spark):
+            built = build_index(docs.where(english))
+            shift = choose_shift_by_dict(built.dict, bucket_bytes=BUCKET_BYTES, max_buckets=MAX_BUCKETS)
+            shift = shift.first()["shift"]
+            write_index(built, root, Layout() if shift is None else Layout("shift", shift))
+        append_documents(spark, root, docs.where(~english & F.col("lang").isNotNull()))
+        append_documents(spark, root, docs.where(F.col("lang").isNull()))
+        return root
+
+    return once(spark, sf_dir, "grown", make)
+
+
+def compacted_index(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of the `documents` of which the French ones were added later, compacted since."""
+
+    def make() -> Index:
+        docs, root = table(spark, sf_dir, "documents"), new_folder(spark, "compacted")
+        french = F.col("lang").eqNullSafe("fr")
+        with scratch(spark):
+            write_index(build_index(docs.where(~french)), root, Layout("hash", HASH_BUCKETS))
+        append_documents(spark, root, docs.where(french))
+        compact(spark, root)
+        drop_superseded(spark, root)
+        return read_index(spark, root)
+
+    return once(spark, sf_dir, "compacted", make)
+
+
 def probe_queries(spark: SparkSession) -> DataFrame:
     return literal_queries(spark, PROBE_QUERIES)
 

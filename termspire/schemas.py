@@ -39,6 +39,17 @@ LAYOUT = _struct(
     ("has_lengths", T.BooleanType()),
     ("unique_docs", T.BooleanType()),
     ("version", T.StringType()),
+    # Null in an index that was written at once: one segment, the version, with all tables.
+    (
+        "segments",
+        T.ArrayType(
+            _struct(
+                ("folder", T.StringType()),
+                ("tables", T.ArrayType(T.StringType())),
+                ("dropped", T.ArrayType(T.IntegerType())),
+            )
+        ),
+    ),
 )
 
 METADATA = _struct(

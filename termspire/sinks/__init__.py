@@ -1,6 +1,17 @@
 """Writers: index tables in their layouts, single tables, and query files."""
 
 from termspire.sinks.index_files import write_dict, write_index, write_postings
+from termspire.sinks.segments import append_documents, compact, drop_superseded, segment_report
 from termspire.sinks.tables import write_csv, write_parquet
 
-__all__ = ["write_csv", "write_dict", "write_index", "write_parquet", "write_postings"]
+__all__ = [
+    "append_documents",
+    "compact",
+    "drop_superseded",
+    "segment_report",
+    "write_csv",
+    "write_dict",
+    "write_index",
+    "write_parquet",
+    "write_postings",
+]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from termspire.model import Index, Layout
 from termspire.operators.layout import layout_dict, with_bucket
 from termspire.plans.staging import local_relation
-from termspire.sources.index_files import read_index, read_record
+from termspire.sources.index_files import Segment, read_index, read_segments
 
 # Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
 POSTINGS_PER_FILE = 32_000_000
@@ -91,31 +91,37 @@ def write_index(
     size = index.dict.agg(F.count(F.lit(1)), F.sum("df")).first()
     write_dict(index.dict, f"{base}/dict", size[0], terms_per_file)
     write_postings(index.postings, f"{base}/postings", layout, size[1] or 0, postings_per_file)
-    _write_record(spark, f"{root}/layout", layout, index, version)
+    write_record(spark, root, layout, index.has_lengths, index.unique_docs, [Segment(version)])
     return read_index(spark, root)
 
 
 def drop_old_versions(spark: SparkSession, root: str) -> None:
     """Delete the versions under `root` that the record does not name."""
-    current = read_record(spark, root)["version"]
+    current = {s.folder for s in read_segments(spark, root)}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(conf)
     for status in files.listStatus(path):
-        if status.getPath().getName().startswith("version-") and status.getPath().getName() != current:
+        if status.getPath().getName().startswith(("version-", "segment-")) and status.getPath().getName() not in current:
             files.delete(status.getPath(), True)
 
 
-def _write_record(
-    spark: SparkSession, path: str, layout: Layout, index: Index, version: str
+def write_record(
+    spark: SparkSession, root: str, layout: Layout, has_lengths: bool, unique_docs: bool, segments: list[Segment]
 ) -> None:
+    """Name the segments that make up the index under `root`, and how they are laid out."""
+    named = [{"folder": s.folder, "tables": list(s.tables), "dropped": list(s.dropped)} for s in segments]
+    kind = pa.struct(
+        [("folder", pa.string()), ("tables", pa.list_(pa.string())), ("dropped", pa.list_(pa.int32()))]
+    )
     record = pa.table(
         {
             "kind": pa.array([layout.kind]),
             "param": pa.array([layout.param], pa.int32()),
-            "has_lengths": pa.array([index.has_lengths]),
-            "unique_docs": pa.array([index.unique_docs]),
-            "version": pa.array([version]),
+            "has_lengths": pa.array([has_lengths]),
+            "unique_docs": pa.array([unique_docs]),
+            "version": pa.array([segments[0].folder]),
+            "segments": pa.array([named], pa.list_(kind)),
         }
     )
-    local_relation(spark, record).write.mode("overwrite").parquet(path)
+    local_relation(spark, record).write.mode("overwrite").parquet(f"{root}/layout")

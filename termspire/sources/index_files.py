@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termspire import schemas
@@ -23,19 +27,58 @@ def read_record(spark: SparkSession, root: str) -> Row:
     return spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout").first()
 
 
-def read_index(spark: SparkSession, root: str) -> Index:
-    """Open the index under `root`. Postings are read from the root of their folder, so the bucket
-    stays a column and a filter on it prunes folders."""
+ALL_TABLES = ("postings", "dict", "docs", "stats")
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A folder of an index: the tables of it that count, and the buckets of its postings that don't."""
+
+    folder: str
+    tables: tuple[str, ...] = ALL_TABLES
+    dropped: tuple[int, ...] = ()
+
+
+def read_segments(spark: SparkSession, root: str) -> list[Segment]:
+    """The folders that make up the index under `root`, in the order in which they were written."""
+    record = read_record(spark, root)
+    if record["segments"] is None:
+        return [Segment(record["version"])]
+    return [Segment(s["folder"], tuple(s["tables"]), tuple(s["dropped"])) for s in record["segments"]]
+
+
+def read_index(spark: SparkSession, root: str, segments: list[Segment] | None = None) -> Index:
+    """Open the index under `root`, or some of its segments. Postings are read from the root of their
+    folder, so the bucket stays a column and a filter on it prunes folders.
+
+    Segments share term ids. Their postings and documents are read side by side, the frequencies of a
+    term add up, and filters on terms, ids and buckets still reach the files of each.
+    """
     record = read_record(spark, root)
-    base = f"{root}/{record['version']}"
     layout = Layout(record["kind"], record["param"])
+    segments = read_segments(spark, root) if segments is None else segments
+
+    def table(name: str, schema: T.StructType) -> DataFrame:
+        parts = []
+        for segment in segments:
+            if name in segment.tables:
+                part = spark.read.schema(schema).parquet(f"{root}/{segment.folder}/{name}")
+                gone = name == "postings" and segment.dropped
+                parts.append(part.where(~F.col("thash").isin(list(segment.dropped))) if gone else part)
+        return reduce(DataFrame.unionAll, parts)
+
+    terms, stats = table("dict", schemas.DICT), table("stats", schemas.STATS)
+    if sum("dict" in s.tables for s in segments) > 1:
+        terms = terms.groupBy("term", "termid", "crange").agg(F.sum("df").alias("df"))
+        terms = terms.select("term", "termid", "df", "crange")
+        # Lengths are whole numbers, so their sum is got back without an error.
+        length = F.sum(F.round(F.col("avgdl") * F.col("num_docs")))
+        stats = stats.agg(F.sum("num_docs").alias("num_docs"), (length / F.sum("num_docs")).alias("avgdl"))
     return Index(
-        postings=spark.read.schema(_postings_schema(layout, record["has_lengths"])).parquet(
-            f"{base}/postings"
-        ),
-        dict=spark.read.schema(schemas.DICT).parquet(f"{base}/dict"),
-        docs=spark.read.schema(schemas.DOCS).parquet(f"{base}/docs"),
-        stats=spark.read.schema(schemas.STATS).parquet(f"{base}/stats"),
+        postings=table("postings", _postings_schema(layout, record["has_lengths"])),
+        dict=terms,
+        docs=table("docs", schemas.DOCS),
+        stats=stats,
         layout=layout,
         unique_docs=record["unique_docs"],
     )
@@ -53,6 +96,8 @@ def create_tables(spark: SparkSession, database: str, root: str) -> None:
     The record of the layout is a table too, so that a reader of the database need not be told.
     """
     index = read_index(spark, root)
+    if len(read_segments(spark, root)) > 1:
+        raise ValueError("tables of a database are folders: compact the index and write it anew first")
     record = spark.read.schema(schemas.LAYOUT).parquet(f"{root}/layout")
     base = f"{root}/{record.first()['version']}"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
