@@ -22,6 +22,8 @@ PROBE_QUERIES = [
     ["and", "la", "und"],
 ]
 PROBE_TERMS = ["the", "and", "la", "zzzqq"]
+# Words that no document holds.
+ABSENT_WORDS = ["thezq", "anzqd", "undqz"]
 # Ten web queries.
 SAMPLE_QUERIES = [
     "apnea masks",

@@ -6,6 +6,7 @@ The given tables hold no index, so each statement starts from the derivation of
 from __future__ import annotations
 
 from termspire.registered.fixtures import (
+    ABSENT_WORDS,
     BUCKET_BYTES,
     MAX_BUCKETS,
     PROBE_QUERIES,
@@ -149,6 +150,7 @@ def _ranking(k, queries=_PROBES, bag=False, sums=_SUMS, index=_DOCUMENTS, prefix
 
 def oracle_sql() -> dict[str, str]:
     terms = ", ".join(f"'{t}'" for t in PROBE_TERMS)
+    words = ", ".join(f"('{w}')" for w in [*ABSENT_WORDS, *PROBE_TERMS])
     docs, turns = f"WITH {_DOCUMENTS}", f"WITH {_TURNS}"
     fixed = f"{turns}, {_CORRECTED}"
     lookup = f"{docs} SELECT termid, df FROM dict WHERE term IN ({terms})"
@@ -296,5 +298,30 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'dict', count(*) FROM dict
             UNION ALL SELECT 'docs', count(*) FROM docs
             UNION ALL SELECT 'stats', count(*) FROM stats""",
+        "scan_report": f"""{docs}, {_SHIFT},
+            hit AS (SELECT df FROM dict WHERE term = 'the'),
+            many AS (SELECT count(DISTINCT termid // (1::BIGINT << s)) > 1 AS several FROM postings, sized)
+            SELECT pruned_by, coalesce((SELECT df FROM hit), 0)::BIGINT AS found,
+                several AND pruned_by <> 'none' AS fewer_files,
+                several AND pruned_by <> 'none' AS fewer_bytes, several AND pruned_by <> 'none' AS fewer_rows
+            FROM many, (VALUES ('constants'), ('join'), ('none')) kinds(pruned_by)""",
+        "absent_words": f"""{docs}
+            SELECT word, term IS NOT NULL AS known, term IS NOT NULL AS reads_rows
+            FROM (VALUES {words}) given(word) LEFT JOIN dict ON term = word""",
+        "segments": f"""{docs},
+            part AS (
+              SELECT doc_id AS docid, CASE WHEN lang = 'en' THEN 0 WHEN lang IS NULL THEN 2 ELSE 1 END AS segment
+              FROM documents),
+            entry AS (SELECT segment, termid FROM postings JOIN part USING (docid)),
+            born AS (SELECT termid, min(segment) AS segment FROM entry GROUP BY termid)
+            SELECT n::BIGINT AS segment, (SELECT count(*) FROM part WHERE segment = n) AS documents,
+                (SELECT count(*) FROM entry WHERE segment = n) AS postings,
+                (SELECT count(DISTINCT termid) FROM entry WHERE segment = n) AS terms,
+                (SELECT count(*) FROM born WHERE segment = n) AS new_terms
+            FROM (VALUES (0), (1), (2)) numbers(n)""",
+        "bm25_segments": _ranking(20, _BENCHMARK),
+        "compacted_postings": f"""{docs} SELECT term, df, count(*) AS postings, sum(tf)::BIGINT AS tokens,
+              sum(docid)::BIGINT AS docids
+            FROM postings JOIN dict USING (termid) GROUP BY ALL""",
         "sample_rows": f"{docs} SELECT docid, name, len FROM docs ORDER BY docid LIMIT 5",
     }

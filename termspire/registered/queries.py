@@ -13,6 +13,7 @@ from termspire import schemas
 from termspire.functions.keys import register_sql_functions
 from termspire.model import Layout
 from termspire.operators import batch, duplicates, lookup, profile, rank, sampling, tokens
+from termspire.operators.scan_report import scan_report as report_scans
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
 from termspire.registered.fixtures import (
@@ -21,21 +22,25 @@ from termspire.registered.fixtures import (
     SAMPLE_QUERIES,
     SAMPLE_SEED,
     SAMPLE_SIZE,
+    ABSENT_WORDS,
     benchmark_queries,
+    compacted_index,
     document_index,
     fixed_index,
+    grown_index,
     hashed_index,
     once,
     probe_queries,
     raw_index,
     table,
 )
-from termspire.sinks import write_csv, write_index, write_parquet
+from termspire.sinks import segment_report, write_csv, write_index, write_parquet
 from termspire.sources import (
     create_tables,
     literal_queries,
     number_queries,
     read_folder,
+    read_index,
     read_parquet,
     read_query_log,
     read_query_sample,
@@ -688,3 +693,71 @@ def bucket_rows(spark, sf_dir):
     """The rows of each bucket, counted from its files."""
     files = profile.file_layout(document_index(spark, sf_dir).postings, "thash")
     return files.select(F.col("thash").cast("long").alias("thash"), "rows")
+
+
+@query
+def scan_report(spark, sf_dir):
+    """What finding the postings of one word reads, by how buckets are pruned.
+
+    `found` are the rows out of the join; that folders were left unread shows in files, bytes and rows.
+    """
+    index = document_index(spark, sf_dir)
+    terms = rank.resolve_terms(index, literal_queries(spark, [["the"]]))
+    whole = index.postings.count()
+    reports = []
+    for prune in ("constants", "join", None):
+        found = rank.postings_of(index, terms, prune)
+        scans = report_scans(found).where(F.col("table") == "postings")
+        every = report_scans(index.postings).select("files", "bytes").first()
+        reports.append(
+            scans.select(
+                F.lit(prune or "none").alias("pruned_by"),
+                F.lit(found.count()).cast("long").alias("found"),
+                (F.col("files") < every["files"]).alias("fewer_files"),
+                (F.col("bytes") < every["bytes"]).alias("fewer_bytes"),
+                (F.col("rows") < whole).alias("fewer_rows"),
+            )
+        )
+    return reduce(DataFrame.union, reports)
+
+
+@query
+def absent_words(spark, sf_dir):
+    """Looking up a word that no document has reads no row of the dictionary, though every word lies
+    between the first and the last of a file."""
+    terms = document_index(spark, sf_dir).dict
+    reports = []
+    for word in [*ABSENT_WORDS, *PROBE_TERMS]:
+        found = lookup.terms_in(terms, [word])
+        reports.append(
+            report_scans(found).agg((F.sum("rows") > 0).alias("reads_rows")).select(
+                F.lit(word).alias("word"), F.lit(found.count() > 0).alias("known"), "reads_rows"
+            )
+        )
+    return reduce(DataFrame.union, reports)
+
+
+# ---------------------------------------------------------------- segments
+
+
+@query
+def segments(spark, sf_dir):
+    """Documents, postings, terms and new terms of each segment of a growing index."""
+    found = segment_report(spark, grown_index(spark, sf_dir))
+    return found.withColumn("segment", F.col("segment").cast("long"))
+
+
+@query
+def bm25_segments(spark, sf_dir):
+    """Every benchmark passage, ranked over three segments that were never merged."""
+    asked = benchmark_queries(spark, sf_dir)
+    return _scores(rank.bm25(read_index(spark, grown_index(spark, sf_dir)), asked, k=20))
+
+
+@query
+def compacted_postings(spark, sf_dir):
+    """Postings by term of an index that grew and was compacted, against those of one build."""
+    index = compacted_index(spark, sf_dir)
+    return index.postings.join(index.dict, "termid").groupBy("term", "df").agg(
+        F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.sum("docid").alias("docids")
+    )

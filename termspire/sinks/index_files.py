@@ -6,7 +6,7 @@ import uuid
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.model import Index, Layout
@@ -18,6 +18,9 @@ from termspire.sources.index_files import Segment, read_index, read_segments
 POSTINGS_PER_FILE = 32_000_000
 TERMS_PER_FILE = 8_000_000
 DOCS_PER_FILE = 8_000_000
+# Bloom filters: how often an absent value may seem present, and the largest filter of a row group.
+BLOOM_FALSE = 0.001
+BLOOM_BYTES = 32 << 20
 # A small table is cut finer, to use the whole cluster, but not below this many rows per file.
 MIN_PER_FILE = 100_000
 
@@ -27,6 +30,21 @@ def _files(spark: SparkSession, rows: int, rows_per_file: int) -> int:
     return max(1, ceil(rows / rows_per_file), min(slots, rows // MIN_PER_FILE))
 
 
+def _with_bloom(writer: DataFrameWriter, column: str, values: int) -> DataFrameWriter:
+    """Give each row group a Bloom filter of a column whose values differ, sized for `values` of them.
+
+    A dictionary of a column of distinct values is as large as the column, and Parquet leaves a Bloom
+    filter out where it has one, so it is switched off.
+    """
+    return (
+        writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{column}", max(values, 1))
+        .option(f"parquet.bloom.filter.fpp#{column}", BLOOM_FALSE)
+        .option("parquet.bloom.filter.max.bytes", BLOOM_BYTES)
+        .option(f"parquet.enable.dictionary#{column}", "false")
+    )
+
+
 def write_postings(
     postings: DataFrame, path: str, layout: Layout, rows: int, rows_per_file: int = POSTINGS_PER_FILE
 ) -> None:
@@ -47,27 +65,27 @@ def write_postings(
 def write_dict(
     terms: DataFrame, path: str, rows: int, rows_per_file: int = TERMS_PER_FILE
 ) -> None:
-    """Dictionary sorted by (crange, termid), so that row groups hold narrow ranges of both."""
+    """Dictionary sorted by (crange, termid), so that row groups hold narrow ranges of both, with Bloom
+    filters of its terms: a scan for a word that isn't there reads no row."""
     files = _files(terms.sparkSession, rows, rows_per_file)
-    (
+    ordered = (
         layout_dict(terms)
         .repartitionByRange(files, "crange", "termid")
         .sortWithinPartitions("crange", "termid")
-        .write.mode("overwrite")
-        .parquet(path)
     )
+    _with_bloom(ordered.write.mode("overwrite"), "term", ceil(rows / files)).parquet(path)
 
 
 def write_docs(docs: DataFrame, path: str, rows: int, rows_per_file: int = DOCS_PER_FILE) -> None:
-    """Documents sorted by docid, so that names of a few are found by the files' statistics."""
+    """Documents sorted by docid, so that names of a few are found by the files' statistics, and with
+    Bloom filters of docid, so that ids between those of a file are known to be absent."""
     files = _files(docs.sparkSession, rows, rows_per_file)
-    (
+    ordered = (
         docs.select("docid", "name", "len")
         .repartitionByRange(files, "docid")
         .sortWithinPartitions("docid")
-        .write.mode("overwrite")
-        .parquet(path)
     )
+    _with_bloom(ordered.write.mode("overwrite"), "docid", ceil(rows / files)).parquet(path)
 
 
 def write_index(
