@@ -16,6 +16,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import add
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termspire.llm.batches import parts, texts
+from termspire.llm.batches import Numbers, parts, texts
 from termspire.plans.staging import stage
 
 # How byte-level BPE of this kind splits a text before it merges; a fixed value.
@@ -34,6 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # A run of so much white space is given to the slower library.
 SPACES = 10_000
 _SPACES = re.compile(rf"\s{{{SPACES}}}")
+# Ends that are compared first in a stretch of one-to-one tokens.
+PROBE = 8
 # Text of a part: its pairs are numbered together, and held in memory together.
 PART_BYTES = 8 << 20
 # Text that is given to a tokenizer at once; a longer text goes alone.
@@ -115,12 +118,17 @@ class Pair:
         return self._quick.encode_ordinary(text)
 
 
+def _numbers(values: list[int]) -> np.ndarray:
+    return np.frombuffer(array("q", values), np.int64)
+
+
 class Aligner:
     """Groups and links of one text, found from left to right."""
 
     def __init__(self, pair: Pair, a: list[int], b: list[int]) -> None:
         self.pair, self.n_groups = pair, 0
-        self.a, self.b = np.array(a, np.int64), np.array(b, np.int64)
+        self.ids_a, self.ids_b = a, b
+        self.a, self.b = _numbers(a), _numbers(b)
         self.ends_a, self.ends_b = np.cumsum(pair.sizes_a[self.a]), np.cumsum(pair.sizes_b[self.b])
 
     def windows(self, size: int = WINDOW) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
@@ -130,7 +138,7 @@ class Aligner:
         while i < len(self.a):
             a, b = self.a[i : i + size], self.b[j : j + size]
             ends = self.ends_a[i : i + size].tolist(), self.ends_b[j : j + size].tolist()
-            groups, left, right, ni, nj = self._window(*ends, a.tolist(), b.tolist())
+            groups, left, right, ni, nj = self._window(*ends, self.ids_a[i : i + size], self.ids_b[j : j + size])
             if ni == 0:
                 size *= 2
                 continue
@@ -177,27 +185,36 @@ class Aligner:
                 # The group goes on behind the window and is found again in the next.
                 del left[mark:], right[mark:]
                 break
-            p, q = p + 1, q + 1
-            groups.append(",".join(map(names, ids_a[i:p])) + "|" + ",".join(map(names, ids_b[j:q])))
-            i, j = p, q
-        n = np.array(length, np.int64)
+            if p == i + 1 and q == j:
+                groups.append(f"{ids_a[i]},{ids_a[p]}|{ids_b[j]}")
+            elif p == i and q == j + 1:
+                groups.append(f"{ids_a[i]}|{ids_b[j]},{ids_b[q]}")
+            else:
+                groups.append(",".join(map(names, ids_a[i : p + 1])) + "|" + ",".join(map(names, ids_b[j : q + 1])))
+            i, j = p + 1, q + 1
+        n = _numbers(length)
         steps = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         both = (
-            np.append(np.repeat(np.array(s, np.int64), n) + steps, np.array(rest, np.int64))
+            np.append(np.repeat(_numbers(s), n) + steps, _numbers(rest))
             for s, rest in ((start_a, left), (start_b, right))
         )
         return groups, *both, i, j
 
 
 def one_to_one(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from a[i] and b[j] on are equal: lengths double until a part differs, then halve."""
-    start, step = i, 4
+    """How many ends from a[i] and b[j] on are equal: the compared lengths double until a part differs,
+    then halve; the last PROBE ends are looked at one by one."""
+    start, step = i, PROBE
     while (part := a[i : i + step]) and part == b[j : j + step]:
         i, j = i + len(part), j + len(part)
         step *= 2
-    while step := step // 2:
+    while step > PROBE:
+        step //= 2
         if (part := a[i : i + step]) and part == b[j : j + step]:
             i, j = i + len(part), j + len(part)
+    last = min(len(a), len(b) - j + i)
+    while i < last and a[i] == b[j]:
+        i, j = i + 1, j + 1
     return i - start
 
 
@@ -237,8 +254,11 @@ def _align_part(pair: Pair, values: list[str], number: int, with_groups: bool) -
     """The rows of a part's documents, then the row of its pairs."""
     made: dict[str, list] = {name: [] for name, _ in _ROW}
     width = len(pair.bytes_b)
-    keys, times, sizes = [], [], []
-    for batch in _batches(values):
+    keys, times = [], []
+    # Copies within a part are aligned once.
+    same = Numbers()
+    of = [same[text] for text in values]
+    for batch in _batches(list(same)):
         for a, b in pair.encode(batch):
             aligner, digest, own = Aligner(pair, a, b), hashlib.sha256(), []
             said: list[str] = []
@@ -252,13 +272,16 @@ def _align_part(pair: Pair, values: list[str], number: int, with_groups: bool) -
             key, count = np.unique(links, return_counts=True)
             keys.append(key)
             times.append(count.astype(np.int32))
-            sizes.append(len(key))
             made["n_a"].append(len(a))
             made["n_b"].append(len(b))
             made["n_groups"].append(aligner.n_groups)
             made["n_links"].append(len(links))
             made["groups_sha256"].append(digest.hexdigest() if a else "")
             made["groups"].append("".join(said) if with_groups else None)
+    for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"):
+        made[name] = [made[name][n] for n in of]
+    keys, times = [keys[n] for n in of], [times[n] for n in of]
+    sizes = [len(k) for k in keys]
     every = np.concatenate(keys)
     distinct, place, held = np.unique(every, return_inverse=True, return_counts=True)
     cuts = np.cumsum(sizes)[:-1]
