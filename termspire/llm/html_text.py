@@ -42,22 +42,33 @@ CLOSES = {
 # Elements, roles and words of class or id that mark what is not the main text.
 OUTSIDE = frozenset("head nav footer aside form button select dialog menu script style label object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside widget footer masthead cookie "
-    "cookies consent gdpr notice notices popup modal overlay comment comments disqus respond replies share "
-    "sharing social related recommended newsletter subscribe subscription login signup search pagination "
-    "pager toolbar skip".split()
+# What readers wrote, notices, adverts and the like: gone wherever they stand.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion "
+    "banner breadcrumb breadcrumbs sidebar sidenav masthead cookie cookies consent gdpr notice notices popup popups "
+    "modal overlay comment comments disqus respond replies newsletter newsletters subscribe signup".split()
+)
+# Menus, tools and lists of links: inside an article their links decide.
+LIKELY = frozenset(
+    "nav navbar navigation menu menus aside widget widgets footer share sharing social related recommended "
+    "subscription login search pagination pager toolbar skip topbar".split()
+)
+# Words that say nothing beside those: `comment-list` is comments, `share-price` is neither.
+BESIDE = frozenset(
+    "a and the site page main post posts article articles story stories entry blog user users reader readers top bottom "
+    "left right middle header head foot body content text inner outer wrap wrapper container holder box block "
+    "section area region panel bar list lists item items row col column group grid link links button buttons icon "
+    "icons form input field title label slot unit zone space frame primary secondary global local sticky fixed "
+    "mobile desktop small large big new old more all count thread reply author meta trail message alert".split()
 )
-# Marks that count only outside an article: its own header holds the title.
-HEADERS = frozenset("header topbar".split())
 MAIN = frozenset("article main".split())
-# Elements of text, which no word of an id marks, nor, in an article, one of a class.
+# Elements of text, which no word of an id marks.
 TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
-# Ends the name of an element in a path that a word of class or id marks in an article.
-MARK = "~"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that hold the blocks of a text, rather than being one of them.
 HOLDERS = MAIN | frozenset("html body section div center td".split())
+# Elements that hold all of a page, so that a header in them may be the page's.
+WHOLE = frozenset(["", "html", "body"])
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S
@@ -66,169 +77,231 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\
 _PUNCTUATION = re.compile("[.,;:!?…、。！？；：，،؟।]")
 
 
+@dataclass
+class Path:
+    """A root-to-leaf path of tags: whether it passes a link, or an element whose links decide."""
+
+    linked: bool = False
+    marked: bool = False
+    below: dict[tuple[str, bool], int] = field(default_factory=dict)
+
+
 @dataclass
 class Block:
-    """A run of text between block borders, with the elements around it."""
+    """A run of text between block borders: its element, and its pieces with the numbers of their paths."""
 
-    around: tuple[tuple[int, str], ...]  # number and tag
-    outside: bool
-    marked: int = 0  # number of the innermost element that a word of class or id marks in an article
+    element: int
     pieces: list[str] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
+    paths: list[int] = field(default_factory=list)
     text: str = ""
 
-    def links(self) -> int:
-        return sum(len(piece) for piece, path in zip(self.pieces, self.paths, strict=True) if _linked(path))
 
+@dataclass
+class Element:
+    tag: str
+    parent: int
+    path: int
+    outside: bool
+    in_main: bool
+    marked: int  # number of the innermost element around, or itself, whose links decide; 0 if none
+    header: int  # number of the outermost header around, or itself, outside articles; 0 if none
+    heading: bool
 
-def _linked(path: str) -> bool:
-    return "/a/" in path + "/"
+
+def _mark(value: str) -> str:
+    """What a class or id says: "sure" or "likely" if one of its names has only such words, else ""."""
+    found = ""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
+        if all(w in SURE or w in LIKELY or w in BESIDE for w in words):
+            if any(w in SURE for w in words):
+                return "sure"
+            if any(w in LIKELY for w in words):
+                found = "likely"
+    return found
 
 
 def _is_outside(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element is not main text, and whether it is marked, so that its links decide.
 
-    In an article an ordinary word in a class or slug says too little to drop an element for it.
+    Names that only have words of marks, or words that say nothing beside them, mark an element:
+    adverts, notices and comments are gone anywhere, menus and the like outside an article. Names with
+    other words mark nothing, and ids mark no heading and no paragraph.
     """
-    marked = False
-    if tag in OUTSIDE or (tag in HEADERS and not in_main):
+    if tag in OUTSIDE:
         return True, False
+    marked = False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True, False
-        if name == "role" and value in ROLES:
+        if name == "role" and value.lower() in ROLES:
             return True, False
         if name in ("class", "id") and tag not in ("html", "body") and tag not in MAIN:
-            words = set(re.split(r"[^a-z]+", value))
-            if tag in TEXTS and (in_main or name == "id"):
+            if tag in TEXTS and name == "id" or in_main and tag not in BLOCKS:
                 continue
-            if words & WORDS and in_main:
-                marked = tag in BLOCKS
-            elif words & WORDS or (words & HEADERS and not in_main):
+            found = _mark(value)
+            if found == "sure" or (found and not in_main):
                 return True, False
+            marked = marked or bool(found)
     return False, marked
 
 
-def blocks_of(source: str) -> list[Block]:
-    """The blocks of a page in order, empty ones left out.
+class Page:
+    """The blocks of a page in order, its elements by number (parents first), and its paths.
 
     Elements that are never closed end where HTML ends them: a paragraph at the next block, an item
     at the next item, all at the end of what holds them. A closing tag without an opening one means
-    nothing. A line break is white space.
+    nothing. A line break is white space. Work and memory grow with the source, however deep it nests.
     """
-    # Open elements: (tag, number, path, whether outside the main text, whether in an article, marked).
-    stack = [("", 0, "", False, False, 0)]
-    number = 0
-    blocks = [Block(((0, ""),), False)]
-    border = False
-
-    def cut_to(depth: int) -> None:
-        nonlocal border
-        if any(e[0] in BLOCKS for e in stack[depth:]):
-            border = True
-        del stack[depth:]
-
-    def add(text: str) -> None:
-        nonlocal border
-        if border and not text.isspace():
-            blocks.append(Block(tuple((e[1], e[0]) for e in stack), stack[-1][3], stack[-1][5]))
-            border = False
-        if border:
-            return
-        if stack[-1][3] != blocks[-1].outside:  # an inline element that is not main text
-            blocks.append(Block(tuple((e[1], e[0]) for e in stack), stack[-1][3], stack[-1][5]))
-        blocks[-1].pieces.append(text)
-        blocks[-1].paths.append(stack[-1][2])
-
-    position, end = 0, len(source)
-    while position < end:
-        found = _TOKEN.search(source, position)
-        stop = found.start() if found else end
-        if stop > position:
-            add(html.unescape(source[position:stop]))
-        if not found:
-            break
-        position = found.end()
-        if found.group(2) is None:
-            continue
-        tag = found.group(2).lower()
-        if found.group(1):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    cut_to(depth)
-                    break
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag in BLOCKS:
-            border = True
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    cut_to(depth)
-                elif stack[depth][0] in BLOCKS:
-                    break
-        if tag in CLOSES:
-            closed, within = (x.split() for x in CLOSES[tag])
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in within:
-                    break
-                if stack[depth][0] in closed:
-                    cut_to(depth)
-        elif tag == "body":
-            for depth in range(1, len(stack)):
-                if stack[depth][0] == "head":
-                    cut_to(depth)
-                    break
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, position)
-            position = close.end() if close else end
-            continue
-        if found.group(0).endswith("/>") and any(e[0] in FOREIGN for e in stack):
-            continue
-        number += 1
-        _, _, path, outside, in_main, marked = stack[-1]
-        gone, suspect = _is_outside(tag, found.group(3), in_main)
-        path = f"{path}/{tag}{MARK if suspect else ''}"
-        stack.append((tag, number, path, outside or gone, in_main or tag in MAIN, number if suspect else marked))
-    _drop_marked(blocks)
-    kept = []
-    for block in blocks:
-        block.text = " ".join("".join(block.pieces).split())
-        if block.text:
-            kept.append(block)
-    return kept
 
-
-def _drop_marked(blocks: list[Block]) -> None:
-    """Marked elements of links are not main text: those of half links, or of some and no punctuation."""
-    sums: dict[int, list[int]] = {}
-    for block in blocks:
-        if block.marked and not block.outside:
-            total = sums.setdefault(block.marked, [0, 0, 0])
-            for piece, path in zip(block.pieces, block.paths, strict=True):
-                size = len(piece.strip())
-                total[0] += size
-                total[1] += size if _linked(path) else 0
-                total[2] += len(_PUNCTUATION.findall(piece))
-    for block in blocks:
-        if block.marked in sums:
-            size, linked, marks = sums[block.marked]
-            block.outside = block.outside or (linked > 0 and (2 * linked >= size or not marks))
-
-
-def path_ratios(blocks: list[Block]) -> dict[str, float]:
+    def __init__(self, source: str) -> None:
+        self.elements = [Element("", 0, 0, False, False, 0, 0, False)]
+        self.paths = [Path()]
+        self.blocks = [Block(0)]
+        self._stack = [0]
+        # Where in the stack elements of a tag are, lowest first.
+        self._open: dict[str, list[int]] = {}
+        self._border = False
+        self._parse(source)
+        for block in self.blocks:
+            block.text = " ".join("".join(block.pieces).split())
+        self.blocks = [b for b in self.blocks if b.text]
+        self._judge_marked()
+
+    def outside(self, block: Block) -> bool:
+        return self.elements[block.element].outside
+
+    def sum_up(self, values: dict[int, int]) -> list[int]:
+        """For each element the sum of values of elements in it, itself included."""
+        sums = [values.get(n, 0) for n in range(len(self.elements))]
+        for n in range(len(sums) - 1, 0, -1):
+            sums[self.elements[n].parent] += sums[n]
+        return sums
+
+    def within(self, top: int) -> list[bool]:
+        found = [top == 0] * len(self.elements)
+        for n in range(1, len(found)):
+            found[n] = n == top or found[self.elements[n].parent]
+        return found
+
+    def _top(self, tags) -> int:
+        """The highest place in the stack of an open element of some tags; 0 if there is none."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+
+    def _cut_to(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            tag = self.elements[self._stack.pop()].tag
+            self._open[tag].pop()
+            self._border = self._border or tag in BLOCKS
+
+    def _add(self, text: str) -> None:
+        blank = text.isspace()
+        if self._border and blank:
+            return
+        at = self._stack[-1]
+        # An inline element that is not main text is a block of its own.
+        if self._border or self.elements[at].outside != self.outside(self.blocks[-1]):
+            self.blocks.append(Block(at))
+            self._border = False
+        self.blocks[-1].pieces.append(text)
+        self.blocks[-1].paths.append(self.elements[at].path)
+        if not blank and self._top(HEADINGS) and not self._top("a"):
+            self._heading(at)
+
+    def _heading(self, at: int) -> None:
+        if header := self.elements[at].header:
+            self.elements[header].heading = True
+
+    def _push(self, tag: str, attributes: str) -> None:
+        number, parent = len(self.elements), self._stack[-1]
+        above = self.elements[parent]
+        gone, suspect = _is_outside(tag, attributes, above.in_main)
+        path = self.paths[above.path].below.get((tag, suspect))
+        if path is None:
+            path = self.paths[above.path].below[tag, suspect] = len(self.paths)
+            before = self.paths[above.path]
+            self.paths.append(Path(before.linked or tag == "a", before.marked or suspect))
+        header = above.header or (number if tag == "header" and not above.in_main else 0)
+        marked = number if suspect else above.marked
+        self.elements.append(
+            Element(tag, parent, path, above.outside or gone, above.in_main or tag in MAIN, marked, header, False)
+        )
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(number)
+
+    def _parse(self, source: str) -> None:
+        position, end = 0, len(source)
+        while position < end:
+            found = _TOKEN.search(source, position)
+            stop = found.start() if found else end
+            if stop > position:
+                self._add(html.unescape(source[position:stop]))
+            if not found:
+                break
+            position = found.end()
+            if found.group(2) is None:
+                continue
+            tag = found.group(2).lower()
+            if found.group(1):
+                if depth := self._top([tag]):
+                    self._cut_to(depth)
+                continue
+            if tag == "br":
+                self._add(" ")
+                continue
+            if tag in BLOCKS:
+                self._border = True
+                # Each block ends an open paragraph, so no other block lies above one.
+                if depth := self._top("p"):
+                    self._cut_to(depth)
+            if tag in CLOSES:
+                closed, within = (x.split() for x in CLOSES[tag])
+                # A row that ends takes its cells with it.
+                while (depth := self._top(closed)) > self._top(within):
+                    self._cut_to(depth)
+            elif tag == "body" and (depth := self._top(["head"])):
+                self._cut_to(depth)
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, position)
+                position = close.end() if close else end
+                continue
+            if found.group(0).endswith("/>") and self._top(FOREIGN):
+                continue
+            self._push(tag, found.group(3))
+
+    def _judge_marked(self) -> None:
+        """Marked elements of links are not main text: those of half links, or of some and no punctuation."""
+        sums: dict[int, list[int]] = {}
+        for block in self.blocks:
+            element = self.elements[block.element]
+            if element.marked and not element.outside:
+                total = sums.setdefault(element.marked, [0, 0, 0])
+                for piece, path in zip(block.pieces, block.paths, strict=True):
+                    size = len(piece.strip())
+                    total[0] += size
+                    total[1] += size if self.paths[path].linked else 0
+                    total[2] += len(_PUNCTUATION.findall(piece))
+        gone = {e for e, (size, linked, marks) in sums.items() if linked and (2 * linked >= size or not marks)}
+        if gone:
+            for element in self.elements:
+                element.outside = element.outside or element.marked in gone
+
+    def links(self, block: Block) -> int:
+        return sum(len(x) for x, path in zip(block.pieces, block.paths, strict=True) if self.paths[path].linked)
+
+
+def path_ratios(page: Page, blocks: list[Block]) -> dict[int, float]:
     """For each root-to-leaf path its text and punctuation per node, smoothed over its neighbours.
 
     Neighbours are the paths that first appear just before and after it, so a path between two of
     content gains, and one among links loses.
     """
-    nodes: dict[str, int] = {}
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
+    nodes: dict[int, int] = {}
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
     for block in blocks:
         for piece, path in zip(block.pieces, block.paths, strict=True):
             size = len(piece.strip())
@@ -239,7 +312,7 @@ def path_ratios(blocks: list[Block]) -> dict[str, float]:
     total = sum(length.values())
     raw = []
     for path, n in nodes.items():
-        linked = (0.1 if _linked(path) else 1.0) * (0.1 if MARK in path else 1.0)
+        linked = (0.1 if page.paths[path].linked else 1.0) * (0.1 if page.paths[path].marked else 1.0)
         # The share of the page's text weighs the ratio, so one long line does not beat an article.
         raw.append(linked * (length[path] / n) * ((marks[path] + 0.5) / n) * (length[path] / total))
     smooth = {}
@@ -256,36 +329,49 @@ def main_text(source: str) -> str:
     holds most of their text, or the article around it, and all blocks there are taken, but for those
     in menus, notices and the like, so that a title or a short paragraph is not lost. Content outside
     it is not lost either: of the smallest element that holds all text on content paths, links aside,
-    all blocks are taken that are not mostly links.
+    all blocks are taken that are not mostly links. A header is taken if it lies in what is taken, less
+    than the page, and has a heading that is no link.
     """
-    blocks = [b for b in blocks_of(source) if not b.outside]
+    page = Page(source)
+    shown = [b for b in page.blocks if not page.outside(b)]
+    blocks = [b for b in shown if not page.elements[b.element].header]
     if not blocks:
         return ""
-    ratios = path_ratios(blocks)
+    ratios = path_ratios(page, blocks)
     least = THRESHOLD * max(ratios.values(), default=0.0)
-    weight: dict[tuple[int, str], int] = {}
-    unlinked: dict[tuple[int, str], int] = {}
-    depth: dict[tuple[int, str], int] = {}
+    weight: dict[int, int] = {}
+    unlinked: dict[int, int] = {}
     for block in blocks:
-        chosen = [x for x in zip(block.pieces, block.paths, strict=True) if ratios.get(x[1], 0.0) >= least]
-        size = sum(len(piece) for piece, _ in chosen)
-        own = sum(len(piece.strip()) for piece, path in chosen if not _linked(path))
-        for level, element in enumerate(block.around):
-            weight[element] = weight.get(element, 0) + size
-            unlinked[element] = unlinked.get(element, 0) + own
-            depth[element] = level
-    root = blocks[0].around[0]
-
-    def holder(of: dict[tuple[int, str], int], share: float) -> tuple[int, str]:
-        holders = [e for e in of if e[1] in HOLDERS and of[e] >= share * of[root]]
-        best = max(holders, key=lambda e: (depth[e], -e[0]), default=root)
-        inside = next(b.around for b in blocks if best in b.around)
-        return next((e for e in reversed(inside[: depth[best] + 1]) if e[1] in MAIN), best)
-
-    most, whole = holder(weight, COVER), holder(unlinked, 1.0)
-    return "\n\n".join(
-        b.text for b in blocks if most in b.around or (whole in b.around and 2 * b.links() < len("".join(b.pieces)))
-    )
+        at = block.element
+        for piece, path in zip(block.pieces, block.paths, strict=True):
+            if ratios.get(path, 0.0) >= least:
+                weight[at] = weight.get(at, 0) + len(piece)
+                unlinked[at] = unlinked.get(at, 0) + (0 if page.paths[path].linked else len(piece.strip()))
+    depth = [0] * len(page.elements)
+    for n in range(1, len(depth)):
+        depth[n] = depth[page.elements[n].parent] + 1
+    used = page.sum_up({b.element: 1 for b in blocks})
+
+    def holder(sums: list[int], share: float) -> int:
+        holders = [n for n, e in enumerate(page.elements) if e.tag in HOLDERS and used[n] and sums[n] >= share * sums[0]]
+        at = best = max(holders, key=lambda n: (depth[n], -n), default=0)
+        while at and page.elements[at].tag not in MAIN:
+            at = page.elements[at].parent
+        return at or best
+
+    tops = [holder(page.sum_up(weight), COVER), holder(page.sum_up(unlinked), 1.0)]
+    in_most, in_whole = (page.within(top) for top in tops)
+    taken = []
+    for block in shown:
+        header, at = page.elements[block.element].header, block.element
+        if header:
+            inside = in_whole if page.elements[tops[1]].tag not in WHOLE else in_most
+            top = tops[1] if inside is in_whole else tops[0]
+            if page.elements[top].tag in WHOLE or not inside[header] or not page.elements[header].heading:
+                continue
+        if in_most[at] or (in_whole[at] and 2 * page.links(block) < len("".join(block.pieces))):
+            taken.append(block.text)
+    return "\n\n".join(taken)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

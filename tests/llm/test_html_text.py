@@ -1,7 +1,10 @@
 import html
 import re
+import time
 
-from termspire.llm.html_text import blocks_of, extract, main_text
+import pytest
+
+from termspire.llm.html_text import Page, extract, main_text
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,7 +36,7 @@ def test_odd_sources():
     assert main_text("<nav>menu</nav>") == ""
     assert main_text("<p>x" * 3) == "x\n\nx\n\nx"
     assert main_text("<body><script>never closed <p>a") == ""
-    assert [b.text for b in blocks_of("<!-- a <p> --><p>b<!-- open")] == ["b"]
+    assert [b.text for b in Page("<!-- a <p> --><p>b<!-- open").blocks] == ["b"]
     long = "word, " * 100_000
     assert main_text(f"<article><p>{long}</article>") == long.strip()
 
@@ -69,6 +72,76 @@ def test_words_of_ids_and_classes_do_not_drop_main_text():
     assert main_text(heads).split("\n\n") == ["Title", LONG.strip(), "Related work", LONG.strip()]
 
 
+ASIDES = [
+    "<div class=comments><p>Great post, I like it. Very, very much.</p><p>Me too, indeed, so much.</p></div>",
+    "<section id=comments><h2>Comments</h2><p>Great post, I like it. Very, very much.</p></section>",
+    "<ol class='comment-list'><li>First, of all.</li><li>Second, of all.</li></ol>",
+    "<div class=cookie-notice>We use cookies, on this page. Accept, please.</div>",
+    "<div class='advert'>Buy this, and that. Now, or never.</div>",
+    "<div id=adSlot3>Buy this, and that. Now, or never.</div>",
+    "<p class=newsletter>Get our letter, each week, for free.</p>",
+    "<div class='box sponsored'><p>Paid for, by someone, who sells. Things, too.</p></div>",
+    "<div role=alert>A notice, to all, who read.</div>",
+]
+KEPT = [
+    ("<div class=share-price>12 EUR</div>", "12 EUR"),
+    ("<section id=search-results><h3>Found</h3><p>Words, found.</p></section>", "Found\n\nWords, found."),
+    ("<p class=notice-period>Three months</p>", "Three months"),
+    ("<h2 id=comments>On comments</h2>", "On comments"),
+    ("<section class=cookie-recipes><p>Butter, sugar, flour.</p></section>", "Butter, sugar, flour."),
+    ("<div class=menu-engineering>Engineering, of menus.</div>", "Engineering, of menus."),
+]
+BODY = "".join(f"<p>{LONG}{n}</p>" for n in range(3))
+TEXT = "\n\n".join(f"{LONG}{n}" for n in range(3))
+AROUND = [
+    "<body>{}</body>", "<body><div id=page>{}</div></body>", "<article>{}</article>", "<main>{}</main>",
+    "<div><div class=post>{}</div><div class=sidebar><p>Side, text.</div></div>",
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("aside", ASIDES)
+def test_comments_notices_and_adverts_go_anywhere(around, aside):
+    page = around.format(f"<h1>Title</h1>{BODY}{aside}<p>{LONG}end</p>")
+    assert main_text(page) == f"Title\n\n{TEXT}\n\n{LONG}end"
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize(("piece", "text"), KEPT)
+def test_names_with_other_words_mark_nothing(around, piece, text):
+    page = around.format(f"<h1>Title</h1>{BODY}{piece}<p>{LONG}end</p>")
+    assert main_text(page) == f"Title\n\n{TEXT}\n\n{text}\n\n{LONG}end"
+
+
+def test_a_header_with_the_title_stays_and_that_of_the_site_goes():
+    site = "<header><h1><a href=/>Site</a></h1><p>A site, of sorts.</p></header>"
+    own = "<header><h1>Title</h1><p>By someone, today.</p></header>"
+    for page in (
+        f"<body>{site}<div class=post>{own}{BODY}</div></body>",
+        f"<body>{site}<article>{own}{BODY}</article></body>",
+        f"<body><div id=page>{site}<section>{own}{BODY}</section></div></body>",
+    ):
+        assert main_text(page) == f"Title\n\nBy someone, today.\n\n{TEXT}"
+    assert main_text(f"<body><header><h1>Site</h1></header>{BODY}</body>") == TEXT
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 100_000 + "deep" + "</div>" * 100_000,
+        "<b>" * 50_000 + "deep" + "</i>" * 50_000,
+        "<b>" * 50_000 + "<div>x</div>" * 20_000,
+        "<ul><li>" + "<b>" * 30_000 + "<ul><li>x</ul>" * 10_000,
+        "<table>" + "<tr><td>x" * 50_000,
+        "<div><p>x, y.</p>" * 30_000,
+    ],
+)
+def test_deep_pages_take_time_by_their_length(source):
+    began = time.process_time()
+    assert main_text(source)
+    assert time.process_time() - began < 10
+
+
 def test_many_elements_in_svg():
     assert main_text("<p>a<svg>" + "<path d='M1'/>" * 50_000 + "</svg>b") == "ab"
 
