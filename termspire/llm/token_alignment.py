@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -53,7 +54,13 @@ class Tokenizers:
     b: bytes
 
     def open(self) -> Pair:
-        return Pair(self.a, self.b)
+        return _opened(self.a, self.b)
+
+
+@lru_cache(maxsize=1)
+def _opened(a: bytes, b: bytes) -> Pair:
+    """Opened once in a worker's life, not once a task: it takes a second and a hundred megabytes."""
+    return Pair(a, b)
 
 
 def read_tokenizers(a: str, b: str) -> Tokenizers:
@@ -357,16 +364,14 @@ def align(
     """
     kind = docs.schema[key].dataType
     shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
-    opened: list[Pair] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not opened:
-            opened.append(shared.value.open())
+        pair = shared.value.open()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in parts(batch, 1, PART_BYTES):
                 ids = part.column(0)
-                for made in _align_part(opened[0], texts(part, 1), number, with_groups):
+                for made in _align_part(pair, texts(part, 1), number, with_groups):
                     own = ids if made["pairs"][0] is None else pa.nulls(1, ids.type)
                     arrays = [own, *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], t) for n, t in _ROW)]
                     yield pa.RecordBatch.from_arrays(arrays, ["id", *(n for n, _ in _ROW)])
