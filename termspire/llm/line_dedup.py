@@ -9,7 +9,8 @@ from termspire.plans.skew import frequent_keys, spread_join
 from termspire.plans.staging import is_small, stage
 
 RATIO = 0.1
-MIN_PAGES = 5
+# A line of one page alone is no boilerplate, however few pages the host has.
+MIN_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
@@ -29,13 +30,12 @@ def boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """(host, rows, pages, lines): per host, by hash, the lines on more than `ratio` of its pages.
+    """(host, pages, lines): per host, by hash, the lines on more than `ratio` of its pages.
 
-    A page is a distinct text of the host: a page that was copied a thousand times is no template, and
-    its lines are not boilerplate for that. A line counts once per page. Hashes are added up within
-    tasks before the shuffle, so a hot host, line or copy costs a row per task. As each page of n lines
-    adds at most n / pages to the ratios, a host has at most (its lines per page) / ratio such lines.
-    Lines on fewer than `min_pages` pages stay: on a small host a share says little.
+    A page is a row, and a line counts once per page. Equal texts of a host are counted as one row of
+    a table first, and hashes are added up within tasks before the shuffle, so a hot host, line or copy
+    costs a row per task. As each page of n lines adds at most n / pages to the ratios, a host has at
+    most (its lines per page) / ratio such lines. Lines on fewer than `min_pages` pages stay.
     """
     value = F.col(f"`{text}`")
     distinct = stage(
@@ -44,11 +44,11 @@ def boilerplate(
         .agg(F.first("lines").alias("lines"), F.count(F.lit(1)).alias("rows")),
         "pages",
     )
-    pages = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"))
+    pages = distinct.groupBy("host").agg(F.sum("rows").alias("pages"))
     seen = (
-        distinct.select("host", F.explode("lines").alias("line"))
+        distinct.select("host", "rows", F.explode("lines").alias("line"))
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("rows").alias("n"))
         .where(F.col("n") >= min_pages)
     )
     pages, again = stage(pages, "hosts"), F.col("seen.host").eqNullSafe(F.col("pages.host"))
@@ -61,7 +61,7 @@ def boilerplate(
     )
     return pages.alias("pages").join(
         common.alias("common"), F.col("pages.host").eqNullSafe(F.col("common.host")), "left"
-    ).select("pages.host", "rows", "pages", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
+    ).select("pages.host", "pages", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))
 
 
 def with_boilerplate(docs: DataFrame, found: DataFrame, host: str = "source") -> DataFrame:
@@ -72,12 +72,12 @@ def with_boilerplate(docs: DataFrame, found: DataFrame, host: str = "source") ->
     """
     key = F.struct(F.col(f"`{host}`").alias("host"))
     docs = docs.withColumn("_host", key)
-    found = found.select(F.struct("host").alias("_host"), F.col("lines").alias("_boilerplate"), "rows")
+    found = found.select(F.struct("host").alias("_host"), F.col("lines").alias("_boilerplate"), "pages")
     if is_small(found, "_host.host"):
-        return docs.join(F.broadcast(found.drop("rows")), "_host").drop("_host")
-    total = found.agg(F.sum("rows")).first()[0]
-    frequent = frequent_keys(found, "_host", "rows", total)
-    return spread_join(docs, found.drop("rows"), "_host", frequent, ["_host"]).drop("_host")
+        return docs.join(F.broadcast(found.drop("pages")), "_host").drop("_host")
+    total = found.agg(F.sum("pages")).first()[0]
+    frequent = frequent_keys(found, "_host", "pages", total)
+    return spread_join(docs, found.drop("pages"), "_host", frequent, ["_host"]).drop("_host")
 
 
 def _kept(text: Column) -> Column:
@@ -98,7 +98,7 @@ def line_dedup(
     Returns key, `host`, `n_lines`, `n_dropped`, `text` (the kept lines, joined again). A line is
     compared without the spaces around it; blank lines are never dropped or counted as boilerplate.
     A null text stays null, with 0 lines; an empty one is one blank line. Rows without host are
-    one host. Repeated rows are one page, and each of them is cut. Other columns are not looked at.
+    one host. Repeated rows are pages of their own. Other columns are not looked at.
     """
     found = stage(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
     own = docs.select(
@@ -124,10 +124,12 @@ def drop_lines(
     length: str | None = "n_chars",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    keep_whole: bool = False,
 ) -> DataFrame:
     """The documents with all their columns, their boilerplate lines dropped from the text.
 
-    Texts without such lines are unchanged. `length`, where the frame has it, becomes the number of
+    Texts without such lines are unchanged, and so are, with `keep_whole`, those of which nothing else
+    but white space would be left. `length`, where the frame has it, becomes the number of
     code points of a text that has changed.
     """
     found = stage(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
@@ -135,6 +137,8 @@ def drop_lines(
     packed = docs.select(row.alias("row"), F.col(f"`{host}`").alias("host"))
     old = F.col("row").getField(text)
     left = F.when(F.size("_boilerplate") == 0, old).otherwise(F.array_join(_kept(old), "\n"))
+    if keep_whole:
+        left = F.when(F.trim(left) == "", old).otherwise(left)
     made = with_boilerplate(packed, found, "host").withColumn("left", left)
     columns = []
     for name, kind in docs.dtypes:

@@ -78,15 +78,11 @@ LINE_DEDUP = r"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
 line AS (SELECT r, source, unnest(generate_series(1, len(l))) AS p, unnest(l) AS line
     FROM (SELECT r, source, string_split(text, chr(10)) AS l FROM doc WHERE text IS NOT NULL)),
-page AS (SELECT source, min(r) AS r FROM doc GROUP BY source, text),
-pages AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
-seen AS (
-    SELECT source, trim(line) AS line, count(DISTINCT r) AS n
-    FROM line SEMI JOIN page USING (r) WHERE trim(line) <> '' GROUP BY ALL
-),
+pages AS (SELECT source, count(*) AS pages FROM doc GROUP BY source),
+seen AS (SELECT source, trim(line) AS line, count(DISTINCT r) AS n FROM line WHERE trim(line) <> '' GROUP BY ALL),
 common AS (
     SELECT DISTINCT seen.source, seen.line FROM seen JOIN pages ON seen.source IS NOT DISTINCT FROM pages.source
-    WHERE n >= 5 AND n > pages * 0.1::DOUBLE
+    WHERE n >= 2 AND n > pages * 0.1::DOUBLE
 ),
 marked AS (
     SELECT line.*, common.line IS NOT NULL AS gone FROM line LEFT JOIN common

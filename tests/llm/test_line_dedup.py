@@ -6,7 +6,7 @@ from termspire.plans import staging
 
 def brute(rows, ratio, least):
     pages, seen = {}, {}
-    for host, text in {(host, text) for _, host, text in rows}:
+    for _, host, text in rows:
         pages[host] = pages.get(host, 0) + 1
         for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
             seen[host, line] = seen.get((host, line), 0) + 1
@@ -19,11 +19,25 @@ def brute(rows, ratio, least):
     return made
 
 
-def test_a_page_that_is_copied_keeps_its_lines(spark):
+def test_one_ratio_at_every_size(spark):
+    """A line on more than a tenth of the pages goes, on hosts of three pages as on one of a thousand."""
+    rows = []
+    for pages in (1, 3, 9, 19, 21, 1000):
+        held = pages // 10 + 1
+        for n in range(pages):
+            common = "common" if n < held or pages == 1 else f"other {n}"
+            rows.append((len(rows), f"h{pages}", f"{common}\nnearly {n % 11}\nown {n}"))
+    frame = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    found = rows_of(line_dedup.line_dedup(frame))
+    assert found == sorted(brute(rows, 0.1, 2), key=repr)
+    gone = {r.host for r in line_dedup.line_dedup(frame).where("n_dropped > 0").collect()}
+    assert gone == {"h19", "h21", "h1000"}
+
+
+def test_copies_are_pages(spark):
     frame = spark.createDataFrame(sample(), "doc_id int, source string, text string")
     found = {r.doc_id: r for r in line_dedup.line_dedup(frame).collect()}
-    assert all(found[200 + n].n_dropped == 0 for n in range(40))
-    assert found[2].n_dropped == 3  # two common lines, and a rare one that few texts make common
+    assert all(found[200 + n].text == "" and found[200 + n].n_dropped == 2 for n in range(40))
 
 
 def rows_of(frame):
@@ -38,7 +52,7 @@ def sample():
 
 def test_agrees_with_brute_force_with_and_without_broadcast(spark, monkeypatch):
     frame = spark.createDataFrame(sample(), "doc_id int, source string, text string")
-    expected = sorted(brute(sample(), 0.1, 5), key=repr)
+    expected = sorted(brute(sample(), 0.1, 2), key=repr)
     assert rows_of(line_dedup.line_dedup(frame)) == expected
     monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 0)
     assert rows_of(line_dedup.line_dedup(frame)) == expected
