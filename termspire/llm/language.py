@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ SWITCH = 8.0
 # A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
+# A document is of a language if at least this share of its letters is.
+LEAST_SHARE = 0.5
 PART_BYTES = 3 << 20
 
 # First code points of script ranges, and the scripts that start there.
@@ -285,15 +288,36 @@ def identify(
     return made.withColumnRenamed("key", key)
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents whose text has a language, with all their columns; others (`und`) go."""
+def keep_identified(
+    docs: DataFrame,
+    model: Model,
+    text: str = "text",
+    lang: str = "lang",
+    languages: list[str] | None = None,
+    least: float = LEAST_SHARE,
+) -> DataFrame:
+    """The documents in one of some languages (default: all that were learned), with all their columns.
+
+    A document goes if its text has no letter, if the language of most of its letters is not among
+    `languages`, or if less than `least` of its letters are in spans of it: too mixed to be of a
+    language. A null `lang` becomes the language that was found; others stay as they are. With no
+    language learned nothing tells languages apart, and only texts without a letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    at, own = docs.columns.index(text), docs.columns.index(lang)
+    wanted = frozenset(model.languages if languages is None else languages)
 
     def run(batches):
         for batch in batches:
             for part in parts(batch, at, PART_BYTES):
-                made = label_texts(texts(part, at), shared.value)
-                yield part.filter(pa.array([m[0] != UNKNOWN for m in made]))
+                values = texts(part, at)
+                if shared.value.languages:
+                    made = label_texts(values, shared.value)
+                    kept = pa.array([m[0] in wanted and m[1] >= least for m in made])
+                    found = pa.array([m[0] for m in made], part.schema.field(own).type)
+                    part = part.set_column(own, part.schema.field(own), pc.coalesce(part.column(own), found))
+                else:
+                    kept = pa.array([any(map(str.isalpha, v)) for v in values])
+                yield part.filter(kept)
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,8 +10,9 @@ from test_line_dedup import brute as brute_lines
 from test_near_duplicates import brute as brute_groups
 
 import corpus_pipeline
-from termspire.llm import bpe
+from termspire.llm import bpe, language
 from termspire.llm.decontaminate import removal_spans, without
+from termspire.plans import staging
 from termspire.plans.staging import stage
 
 SF = "/root/testdata/sf0.01"
@@ -38,15 +39,47 @@ def test_columns_stay_until_the_last(stages):
 
 
 def test_language(stages):
-    assert rows(stages[1]) == [r for r in rows(stages[0]) if r[1] and any(map(str.isalpha, r[1]))]
+    """Against the decisions of `identify`, whose own tests compare them with brute force."""
+    model = language.train(stages[0])
+    found = {r.doc_id: r for r in language.identify(stages[0], model).collect()}
+    kept = {k for k, r in found.items() if r.lang_pred != language.UNKNOWN and r.score >= language.LEAST_SHARE}
+    assert rows(stages[1]) == [r for r in rows(stages[0]) if r[0] in kept]
+    given = {r.doc_id: r.lang for r in stages[0].collect()}
+    for r in stages[1].collect():
+        assert r.lang == (given[r.doc_id] or found[r.doc_id].lang_pred)
+
+
+def test_mixed_texts_go_and_labels_are_filled_in(spark):
+    english = "the quick brown fox and the lazy dog went over there with that other thing "
+    german = "der schnelle braune Fuchs und der faule Hund gingen nicht ohne ihre Freunde weg "
+    rows = [(n, english * 3, "en") for n in range(20)] + [(20 + n, german * 3, "de") for n in range(20)]
+    rows += [(50, german, None), (51, english, None), (52, "123 ... 456", "en"), (53, None, None)]
+    rows += [(54, english * 4 + german * 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert left[50] == "de" and left[51] == "en" and set(range(40)) <= set(left)
+    assert not {52, 53} & set(left)
+    model = language.train(docs)
+    strict = {r.doc_id for r in language.keep_identified(docs, model, least=0.9).collect()}
+    assert strict == {*range(40), 50, 51}
+    english_only = {r.doc_id for r in language.keep_identified(docs, model, languages=["en"], least=0.9).collect()}
+    assert english_only == {*range(20), 51}
+
+
+def test_without_labels_all_letters_go_on(spark):
+    rows = [(1, "some words", None), (2, "42", None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == rows[:1]
 
 
 def test_lines(stages):
     before = rows(stages[1])
-    left = brute_lines([(k, s, t) for k, t, s, _ in before], 0.1, 5)
+    left = brute_lines([(k, s, t) for k, t, s, _ in before], 0.1, 2)
     cut = {k: t for k, _, _, _, t in left}
     expected = []
     for key, text, source, n in before:
+        if not cut[key].strip(" "):
+            cut[key] = text  # nothing but common lines: it stays whole
         if cut[key].strip(" "):
             expected.append((key, cut[key], source, n if cut[key] == text else len(cut[key])))
     assert rows(stages[2]) == expected and expected != before
@@ -86,8 +119,10 @@ def test_tokens(stages):
 
 
 def test_run_is_the_stages_in_order(spark, stages):
+    before = len(staging._staged)
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == sorted(tuple(r) for r in stages[-1].collect())
+    assert len(staging._staged) == before  # tables of the stages are deleted
 
 
 def test_awkward_rows(spark):
