@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from termspire.llm import bpe, decontaminate, language, line_dedup, near_duplicates
 from termspire.plans.numbering import number_rows
-from termspire.plans.staging import is_small, stage
+from termspire.plans.staging import is_small, new_folder, scratch, stage
 
 # SQL cannot express the first stage, a trained model.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those whose text is null or has no letter.
+    """Drops documents that are of no learned language: without a letter, or too mixed.
 
-    The model is learned from all documents that have a `lang`.
+    The model is learned from all documents that have a `lang`; the others get the one that is found.
     """
     model = language.train(docs)
     return language.keep_identified(docs, model)
@@ -31,10 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that more than a tenth of a source's documents contain.
 
-    A document of which no text is left goes.
+    A document that consists of such lines keeps them: it is one of many copies, which are the next
+    stage's. A document without text goes.
     """
-    cut = line_dedup.drop_lines(docs)
-    return cut.where(F.trim("text") != "")
+    return line_dedup.drop_lines(docs, keep_whole=True).where(F.trim("text") != "")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +78,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, as a table in the shared folder; the tables before it are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    path = new_folder(spark, "pipeline")
+    with scratch(spark):
+        for name, function in STAGES:
+            docs = function(spark, docs, sf_dir)
+            if name != STAGES[-1][0]:
+                docs = stage(docs, f"pipeline-{name}")
+        docs.write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
