@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.model import Index, Layout
+from termspire.operators.block_max import Impacts
 from termspire.operators.duplicates import corrected_index
 from termspire.operators.index_build import build_index
 from termspire.operators.layout import choose_shift_by_dict
 from termspire.operators.tokens import tokenize_queries
 from termspire.plans.staging import new_folder, scratch, workspace
-from termspire.sinks import append_documents, compact, drop_superseded, write_index
+from termspire.sinks import append_documents, compact, drop_superseded, write_impacts, write_index
 from termspire.sources import literal_queries, read_index
 
 # Query terms that occur in the given documents, one repeated, one unknown.
@@ -41,6 +42,8 @@ SAMPLE_QUERIES = [
 BUCKET_BYTES = 256 << 10
 MAX_BUCKETS = 1024
 HASH_BUCKETS = 40
+# Blocks of eight documents, for the same reason.
+SMALL_BLOCK_BITS = 3
 SAMPLE_SIZE = 100
 SAMPLE_SEED = 37
 
@@ -74,6 +77,15 @@ def document_index(spark: SparkSession, sf_dir: str) -> Index:
     return once(spark, sf_dir, "documents", make)
 
 
+def document_impacts(spark: SparkSession, sf_dir: str) -> Impacts:
+    """Bounds of the blocks of the index of `documents`."""
+
+    def make() -> Impacts:
+        return write_impacts(document_index(spark, sf_dir), new_folder(spark, "impacts"), SMALL_BLOCK_BITS)
+
+    return once(spark, sf_dir, "impacts", make)
+
+
 def hashed_index(spark: SparkSession, sf_dir: str) -> Index:
     """The same index with postings in buckets by hash, and without lengths beside them."""
 

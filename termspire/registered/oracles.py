@@ -319,6 +319,10 @@ def oracle_sql() -> dict[str, str]:
                 (SELECT count(DISTINCT termid) FROM entry WHERE segment = n) AS terms,
                 (SELECT count(*) FROM born WHERE segment = n) AS new_terms
             FROM (VALUES (0), (1), (2)) numbers(n)""",
+        "bm25_block_max": _ranking(20, _BENCHMARK),
+        "block_max_report": f"""WITH {_DOCUMENTS}, {_BENCHMARK}
+            SELECT qno, sum(df)::BIGINT AS postings, true AS no_more, true AS fewer
+            FROM (SELECT DISTINCT qno, qterm FROM q) JOIN dict ON term = qterm GROUP BY qno""",
         "bm25_segments": _ranking(20, _BENCHMARK),
         "compacted_postings": f"""{docs} SELECT term, df, count(*) AS postings, sum(tf)::BIGINT AS tokens,
               sum(docid)::BIGINT AS docids

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from termspire import schemas
 from termspire.functions.keys import register_sql_functions
 from termspire.model import Layout
-from termspire.operators import batch, duplicates, lookup, profile, rank, sampling, tokens
+from termspire.operators import batch, block_max, duplicates, lookup, profile, rank, sampling, tokens
 from termspire.operators.scan_report import scan_report as report_scans
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
@@ -25,6 +25,7 @@ from termspire.registered.fixtures import (
     ABSENT_WORDS,
     benchmark_queries,
     compacted_index,
+    document_impacts,
     document_index,
     fixed_index,
     grown_index,
@@ -761,3 +762,24 @@ def compacted_postings(spark, sf_dir):
     return index.postings.join(index.dict, "termid").groupBy("term", "df").agg(
         F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens"), F.sum("docid").alias("docids")
     )
+
+
+# ---------------------------------------------------------------- pruning by block
+
+
+@query
+def bm25_block_max(spark, sf_dir):
+    """Every benchmark passage; only blocks of documents that can hold one of the 20 best are scored."""
+    index, impacts = document_index(spark, sf_dir), document_impacts(spark, sf_dir)
+    return _scores(block_max.bm25_block_max(index, impacts, benchmark_queries(spark, sf_dir), k=20))
+
+
+@query
+def block_max_report(spark, sf_dir):
+    """The postings of each passage's terms, and whether the best hits were found with four fifths of all."""
+    index, impacts = document_index(spark, sf_dir), document_impacts(spark, sf_dir)
+    asked = benchmark_queries(spark, sf_dir)
+    _, weights, kept = block_max.surviving_blocks(index, impacts, asked, k=1)
+    found = block_max.postings_scored(impacts, weights, kept)
+    share = found.select(F.sum("scored") / F.sum("postings")).scalar()
+    return found.select("qno", "postings", (F.col("scored") <= F.col("postings")).alias("no_more"), (share < 0.8).alias("fewer"))

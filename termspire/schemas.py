@@ -32,6 +32,15 @@ STATS = _struct(
     ("num_docs", T.LongType()),
     ("avgdl", T.DoubleType()),
 )
+# Bounds of the postings of a term in a block of 2^bits docids (see operators.block_max).
+IMPACTS = _struct(
+    ("termid", T.LongType()),
+    ("block", T.LongType()),
+    ("postings", T.LongType()),
+    ("max_tf", T.IntegerType()),
+    ("min_len", T.LongType()),
+    ("bits", T.IntegerType()),
+)
 # One row written beside the index, so that readers never guess how it was laid out.
 LAYOUT = _struct(
     ("kind", T.StringType()),

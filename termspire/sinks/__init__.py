@@ -1,6 +1,6 @@
 """Writers: index tables in their layouts, single tables, and query files."""
 
-from termspire.sinks.index_files import write_dict, write_index, write_postings
+from termspire.sinks.index_files import write_dict, write_impacts, write_index, write_postings
 from termspire.sinks.segments import append_documents, compact, drop_superseded, segment_report
 from termspire.sinks.tables import write_csv, write_parquet
 
@@ -11,6 +11,7 @@ __all__ = [
     "segment_report",
     "write_csv",
     "write_dict",
+    "write_impacts",
     "write_index",
     "write_parquet",
     "write_postings",

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from termspire.model import Index, Layout
+from termspire.operators.block_max import BLOCK_BITS, Impacts, block_impacts
 from termspire.operators.layout import layout_dict, with_bucket
-from termspire.plans.staging import local_relation
-from termspire.sources.index_files import Segment, read_index, read_segments
+from termspire.plans.staging import local_relation, stage
+from termspire.sources.index_files import Segment, read_impacts, read_index, read_segments
 
 # Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
 POSTINGS_PER_FILE = 32_000_000
@@ -88,6 +89,16 @@ def write_docs(docs: DataFrame, path: str, rows: int, rows_per_file: int = DOCS_
     _with_bloom(ordered.write.mode("overwrite"), "docid", ceil(rows / files)).parquet(path)
 
 
+def write_impacts(index: Index, path: str, bits: int = BLOCK_BITS, rows_per_file: int = POSTINGS_PER_FILE) -> Impacts:
+    """Bounds of the blocks of an index, sorted by (termid, block), and open them."""
+    spark = index.postings.sparkSession
+    rows = stage(block_impacts(index, bits), "impacts")
+    files = _files(spark, rows.count(), rows_per_file)
+    ordered = rows.withColumn("bits", F.lit(bits)).repartitionByRange(files, "termid", "block")
+    ordered.sortWithinPartitions("termid", "block").write.mode("overwrite").parquet(path)
+    return read_impacts(spark, path)
+
+
 def write_index(
     index: Index,
     root: str,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from termspire import schemas
 from termspire.model import Index, Layout
+from termspire.operators.block_max import BLOCK_BITS, Impacts
 
 
 def _postings_schema(layout: Layout, has_lengths: bool) -> T.StructType:
@@ -84,6 +85,13 @@ def read_index(spark: SparkSession, root: str, segments: list[Segment] | None =
     )
 
 
+def read_impacts(spark: SparkSession, path: str) -> Impacts:
+    """Open the bounds that `write_impacts` wrote."""
+    rows = spark.read.schema(schemas.IMPACTS).parquet(path)
+    first = rows.select("bits").first()
+    return Impacts(rows.drop("bits"), first["bits"] if first else BLOCK_BITS)
+
+
 def register_views(index: Index, prefix: str = "") -> None:
     """Offer the four tables to SQL as temporary views, replacing earlier ones of the same name."""
     for name, table in index.tables().items():
