@@ -148,9 +148,33 @@ def _ranking(k, queries=_PROBES, bag=False, sums=_SUMS, index=_DOCUMENTS, prefix
     return f"WITH {index}, {queries}, {_hits(bag, prefix)}, {sums} {_named(k, prefix)}"
 
 
+def _two_versions() -> str:
+    """CTEs terms and entries: the dictionaries and the postings of documents and turns, side by side."""
+    change = "CASE WHEN {0} IS NULL THEN 'gained' WHEN {1} IS NULL THEN 'lost' WHEN {0} = {1} THEN 'same' ELSE 'changed' END"
+    sides = []
+    for name, table, docid in (("before", "documents", "doc_id"), ("after", "conversations", "conv_id")):
+        sides.append(f"""
+    {name}_tok AS MATERIALIZED (
+      SELECT cap, docid, term FROM (
+        SELECT cap, docid, unnest({_normalised('text')}) AS term
+        FROM (SELECT row_number() OVER () AS cap, {docid} AS docid, text FROM {table})) WHERE term <> ''),
+    {name}_dict AS MATERIALIZED (
+      SELECT term, count(*) AS df_{name} FROM (SELECT DISTINCT cap, term FROM {name}_tok) GROUP BY term),
+    {name}_entry AS MATERIALIZED (
+      SELECT term, docid, count(*) AS tf_{name} FROM {name}_tok GROUP BY term, docid)""")
+    return f"""{", ".join(sides)},
+    terms AS (
+      SELECT term, df_before, df_after, {change.format('df_before', 'df_after')} AS change
+      FROM before_dict FULL JOIN after_dict USING (term)),
+    entries AS (
+      SELECT term, docid, {change.format('tf_before', 'tf_after')} AS change
+      FROM before_entry FULL JOIN after_entry USING (term, docid))"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = ", ".join(f"'{t}'" for t in PROBE_TERMS)
     words = ", ".join(f"('{w}')" for w in [*ABSENT_WORDS, *PROBE_TERMS])
+    two = _two_versions()
     docs, turns = f"WITH {_DOCUMENTS}", f"WITH {_TURNS}"
     fixed = f"{turns}, {_CORRECTED}"
     lookup = f"{docs} SELECT termid, df FROM dict WHERE term IN ({terms})"
@@ -323,6 +347,13 @@ def oracle_sql() -> dict[str, str]:
         "block_max_report": f"""WITH {_DOCUMENTS}, {_BENCHMARK}
             SELECT qno, sum(df)::BIGINT AS postings, true AS no_more, true AS fewer
             FROM (SELECT DISTINCT qno, qterm FROM q) JOIN dict ON term = qterm GROUP BY qno""",
+        "changed_terms": f"""WITH {two}
+            SELECT term, df_before, df_after, change FROM terms WHERE change <> 'same'""",
+        "change_report": f"""WITH {two}
+            SELECT 'dict' AS table_name, change, count(*) AS rows FROM terms GROUP BY change
+            UNION ALL SELECT 'postings', change, count(*) FROM entries GROUP BY change""",
+        "renumbered_postings": f"""{docs} SELECT term, 'same' AS change, count(*) AS postings, sum(tf)::BIGINT AS tokens
+            FROM postings JOIN dict USING (termid) GROUP BY term""",
         "bm25_segments": _ranking(20, _BENCHMARK),
         "compacted_postings": f"""{docs} SELECT term, df, count(*) AS postings, sum(tf)::BIGINT AS tokens,
               sum(docid)::BIGINT AS docids

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from termspire import schemas
 from termspire.functions.keys import register_sql_functions
 from termspire.model import Layout
-from termspire.operators import batch, block_max, duplicates, lookup, profile, rank, sampling, tokens
+from termspire.operators import batch, block_max, duplicates, lookup, profile, rank, sampling, tokens, versions
 from termspire.operators.scan_report import scan_report as report_scans
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
@@ -783,3 +783,26 @@ def block_max_report(spark, sf_dir):
     found = block_max.postings_scored(impacts, weights, kept)
     share = found.select(F.sum("scored") / F.sum("postings")).scalar()
     return found.select("qno", "postings", (F.col("scored") <= F.col("postings")).alias("no_more"), (share < 0.8).alias("fewer"))
+
+
+# ---------------------------------------------------------------- versions with other term ids
+
+
+@query
+def changed_terms(spark, sf_dir):
+    """Terms of the documents and of the conversation turns, as two versions with ids of their own."""
+    return versions.changed_terms(document_index(spark, sf_dir), raw_index(spark, sf_dir))
+
+
+@query
+def change_report(spark, sf_dir):
+    """Terms and postings that the second of two such versions gained, lost, changed or kept."""
+    return versions.change_report(document_index(spark, sf_dir), raw_index(spark, sf_dir))
+
+
+@query
+def renumbered_postings(spark, sf_dir):
+    """Postings of the grown index against those of one build: other term ids, no difference."""
+    grown = read_index(spark, grown_index(spark, sf_dir))
+    found = versions.compared_postings(document_index(spark, sf_dir), grown)
+    return found.groupBy("term", "change").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf_after").alias("tokens"))

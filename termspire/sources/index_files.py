@@ -122,6 +122,29 @@ def create_tables(spark: SparkSession, database: str, root: str) -> None:
             spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
 
 
+def create_bucketed_tables(index: Index, database: str, root: str, buckets: int) -> None:
+    """Make a database of copies of the tables, with postings and documents in buckets by docid.
+
+    Both sides of a join by docid are then where they belong, so ranking with lengths from `docs`, or
+    over postings without lengths, moves neither. In exchange, postings are not pruned by term.
+    """
+    spark = index.postings.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
+    for name, table in index.tables().items():
+        if name == "postings":
+            table = table.drop("thash")
+        writer = table.write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
+        if name in ("postings", "docs"):
+            order = ["docid", "termid"] if name == "postings" else ["docid"]
+            # One task a bucket, so a bucket is one file.
+            writer = table.repartition(buckets, "docid").write.mode("overwrite").format("parquet")
+            writer = writer.option("path", f"{root}/{name}").bucketBy(buckets, "docid").sortBy(*order)
+        writer.saveAsTable(f"{database}.{name}")
+    row = [("none", 0, index.has_lengths, index.unique_docs, "", None)]
+    record = spark.createDataFrame(row, schemas.LAYOUT)
+    record.write.mode("overwrite").format("parquet").option("path", f"{root}/layout").saveAsTable(f"{database}.layout")
+
+
 def read_tables(spark: SparkSession, database: str) -> Index:
     """Open the index in a database that `create_tables` made, laid out as its record says."""
 
