@@ -100,63 +100,64 @@ FROM doc LEFT JOIN joined USING (r)
 
 WINNOWING = r"""
 WITH doc AS (
-    SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '') DESC) AS r, doc_id,
+    SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')) DESC) AS r, doc_id,
         coalesce(text, '') AS text, length(coalesce(text, '')) AS n
     FROM documents
 ),
 pair AS (
-    SELECT a.r, a.doc_id, a.text, a.n, b.r AS next_r,
-        left(a.text, a.n - a.n // 3) || left(b.text, a.n // 3) AS edited
+    SELECT a.r, a.doc_id, a.n, b.r AS next_r, a.text, left(a.text, a.n - a.n // 3) || left(b.text, a.n // 3) AS edited
     FROM doc AS a JOIN doc AS b ON b.r = a.r % (SELECT count(*) FROM doc) + 1
 ),
-version AS (SELECT r, 0 AS kind, text FROM pair UNION ALL SELECT r, 1, edited FROM pair),
-word AS (
-    SELECT r, kind, unnest(generate_series(1, len(w))) AS p, len(w) AS n, unnest(w) AS w
-    FROM (SELECT r, kind, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM version)
+version AS (
+    SELECT r, kind, length(text) AS n, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
+    FROM (SELECT r, 0 AS kind, text FROM pair UNION ALL SELECT r, 1, edited FROM pair)
 ),
-hashed AS (SELECT r, kind, p, n, ('0x' || left(md5(w), 8))::BIGINT % 2147483647 AS h FROM word),
-rolled AS (
-    SELECT r, kind, p, n, h, lead(h, 1) OVER run AS h1, lead(h, 2) OVER run AS h2
-    FROM hashed WINDOW run AS (PARTITION BY r, kind ORDER BY p)
+unit AS (
+    SELECT r, kind, 0 AS small,
+        flatten(list_transform(w, lambda x: CASE WHEN length(x) > 16 THEN regexp_extract_all(x, '(?s).') ELSE [x] END)) AS u
+    FROM version
+    UNION ALL
+    SELECT r, kind, 1, regexp_extract_all(array_to_string(w, ''), '(?s).') FROM version WHERE n < 300
 ),
-gram AS (
-    SELECT r, kind, p, greatest(n - 2, 1) AS grams,
-        CASE WHEN n >= 3 THEN ((h * 1000003 + h1) % 2147483647 * 1000003 + h2) % 2147483647
-             WHEN n = 2 THEN (h * 1000003 + h1) % 2147483647 ELSE h END * 2147483648 + 2147483648 - p AS g
-    FROM rolled WHERE p <= greatest(n - 2, 1)
+hashed AS (
+    SELECT r, kind, small, list_transform(u, lambda x: ('0x' || left(md5(x), 8))::BIGINT % 2147483647) AS h FROM unit
 ),
-least AS (
-    SELECT r, kind, p, grams, min(g) OVER (PARTITION BY r, kind ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS g
-    FROM gram
+gram AS (
+    SELECT r, kind, small, CASE
+        WHEN len(h) = 0 THEN []::BIGINT[]
+        WHEN len(h) = 1 THEN h
+        WHEN len(h) = 2 THEN [(h[1] * 1000003 + h[2]) % 2147483647]
+        ELSE list_transform(h[1 : len(h) - 2],
+            lambda x, i: ((x * 1000003 + h[i + 1]) % 2147483647 * 1000003 + h[i + 2]) % 2147483647) END AS g
+    FROM hashed
+),
+packed AS (SELECT r, kind, small, list_transform(g, lambda x, i: x * 2147483648 + 2147483648 - i) AS p FROM gram),
+pick AS (
+    SELECT r, kind, small, CASE WHEN len(p) = 0 THEN []::BIGINT[]
+        ELSE list_distinct(list_transform(p[1 : greatest(len(p) - 3, 1)], lambda x, i: list_min(p[i : i + 3]))) END AS p
+    FROM packed
 ),
-pick AS (SELECT DISTINCT r, kind, g FROM least WHERE p <= greatest(grams - 3, 1)),
 print AS (
-    SELECT r, kind, string_agg((2147483647 - g % 2147483648) || ':' || g // 2147483648, ',' ORDER BY -(g % 2147483648)) AS f
-    FROM pick GROUP BY ALL
-),
-hash AS (SELECT DISTINCT r, kind, g // 2147483648 AS h FROM pick),
-size AS (SELECT r, kind, count(*) AS n FROM hash GROUP BY ALL),
-compared AS (
-    SELECT r, 1 AS kind, r AS other FROM pair UNION ALL SELECT r, 0, next_r FROM pair
-),
-shared AS (
-    SELECT c.r, c.kind, count(*) AS n
-    FROM compared AS c JOIN hash AS a ON a.r = c.r AND a.kind = 0
-    JOIN hash AS b ON b.r = c.other AND b.kind = c.kind AND b.h = a.h
-    GROUP BY ALL
-),
-near AS (
-    SELECT c.r, c.kind, CASE WHEN coalesce(x.n, 0) + coalesce(y.n, 0) = 0 THEN 1.0::DOUBLE
-        ELSE coalesce(s.n, 0)::DOUBLE / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(s.n, 0)) END AS likeness
-    FROM compared AS c LEFT JOIN size AS x ON x.r = c.r AND x.kind = 0
-    LEFT JOIN size AS y ON y.r = c.other AND y.kind = c.kind
-    LEFT JOIN shared AS s ON s.r = c.r AND s.kind = c.kind
-)
-SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, coalesce(a.f, '') AS fingerprint,
-    coalesce(b.f, '') AS edited_fingerprint, x.likeness AS near_edited, y.likeness AS near_next
-FROM pair LEFT JOIN print AS a ON a.r = pair.r AND a.kind = 0
-LEFT JOIN print AS b ON b.r = pair.r AND b.kind = 1
-JOIN near AS x ON x.r = pair.r AND x.kind = 1 JOIN near AS y ON y.r = pair.r AND y.kind = 0
+    SELECT r, kind, small, array_to_string(list_transform(
+        list_sort(list_transform(p, lambda x: (2147483647 - x % 2147483648) * 2147483648 + x // 2147483648)),
+        lambda y: (y // 2147483648) || ':' || (y % 2147483648)), ',') AS f, p
+    FROM pick
+),
+whole AS (
+    SELECT a.r, a.kind, a.f || CASE WHEN coalesce(len(b.p), 0) > 0 THEN ';' || b.f ELSE '' END AS f,
+        list_distinct(list_transform(list_concat(a.p, coalesce(b.p, []::BIGINT[])), lambda x: x // 2147483648)) AS h
+    FROM print AS a LEFT JOIN print AS b ON b.r = a.r AND b.kind = a.kind AND b.small = 1 WHERE a.small = 0
+),
+three AS (
+    SELECT pair.*, x.f AS fx, y.f AS fy, x.h AS hx, y.h AS hy, z.h AS hz
+    FROM pair JOIN whole AS x ON x.r = pair.r AND x.kind = 0 JOIN whole AS y ON y.r = pair.r AND y.kind = 1
+    JOIN whole AS z ON z.r = pair.next_r AND z.kind = 0
+),
+near AS (SELECT *, len(list_intersect(hx, hy)) AS sy, len(list_intersect(hx, hz)) AS sz FROM three)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fx AS fingerprint, fy AS edited_fingerprint,
+    CASE WHEN len(hx) + len(hy) = 0 THEN 1.0::DOUBLE ELSE sy::DOUBLE / (len(hx) + len(hy) - sy) END AS near_edited,
+    CASE WHEN len(hx) + len(hz) = 0 THEN 1.0::DOUBLE ELSE sz::DOUBLE / (len(hx) + len(hz) - sz) END AS near_next
+FROM near
 """
 
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
