@@ -17,7 +17,7 @@ from termspire.llm.fm_index import FMIndex
 
 WINDOW = 10
 # Text of one shard, whose words are indexed together.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 # Benchmark text that the driver and a task hold at once. More of it is searched in further passes.
 BLOCK_BYTES = 64 << 20
 
