@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from awkward import ROWS, documents, empty
 
 from termspire.llm import near_duplicates as nd
@@ -113,3 +114,36 @@ def test_components_of_paths_stars_and_loops(spark):
     linked = {n for a, b in edges if a != b for n in (a, b)}
     got = [(r.node, r.component) for r in components(frame, "a", "b").collect()]
     assert sorted(got) == sorted((n, root(n)) for n in linked)
+
+
+def meet(a, b):
+    """Whether two sets share a table entry: a key of each collection."""
+    keys = nd.slots([np.sort(a), np.sort(b)])
+    same = keys[0] == keys[1]
+    return same[: nd.KEYS].any() and same[nd.KEYS :].any()
+
+
+def pair(rng, similarity, size=400):
+    union = rng.integers(0, 1 << 63, size, np.uint64)
+    common = round(similarity * size)
+    rest = (size - common) // 2
+    return union[: common + rest], np.append(union[:common], union[common + rest :])
+
+
+@pytest.mark.parametrize(("similarity", "least", "most"), [(0.75, 0.99, 1), (0.8, 0.995, 1), (0.3, 0, 0.3), (0.2, 0, 0.06)])
+def test_pairs_meet_by_their_similarity(similarity, least, most):
+    rng = np.random.default_rng(12)
+    share = np.mean([meet(*pair(rng, similarity)) for _ in range(400)])
+    assert least <= share <= most
+
+
+def test_a_chain_of_weak_neighbours_stays_in_small_groups(spark):
+    """Neighbours are about 0.4 alike and no link; candidates that reach on through them stay few."""
+    width, step = 700, 300
+    texts = [" ".join(f"w{n}" for n in range(k * step, k * step + width)) for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = nd.signatures(docs, "doc_id", "text")
+    groups = nd.candidate_groups(rows.select("id", "slots"))
+    sizes = [r["count"] for r in groups.groupBy("component").count().collect()]
+    assert max(sizes, default=1) <= 40
+    assert nd.near_duplicates(docs).where("NOT kept").count() == 0
