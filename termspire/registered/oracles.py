@@ -298,6 +298,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS asked, count(f.qno) AS answered, count(*) - count(f.qno) AS skipped
             FROM (SELECT DISTINCT conv_id * 1000 + turn AS qno FROM conversations) a
             LEFT JOIN found f USING (qno)""",
+        "batch_means": f"""WITH {_DOCUMENTS}, {_BENCHMARK}, {_hits()}, {_SUMS},
+            placed AS (
+              SELECT qno, score, row_number() OVER (PARTITION BY qno ORDER BY floor(score * 1e9 + 0.5) DESC, docid) AS rank
+              FROM totals),
+            each AS (SELECT qno, count(*) AS hits, max(score) AS best FROM placed WHERE rank <= 5 GROUP BY qno)
+            SELECT (SELECT count(DISTINCT item_id) FROM benchmark) AS asked, count(*) AS answered,
+              (SELECT count(DISTINCT item_id) FROM benchmark) - count(*) AS skipped, sum(hits)::BIGINT AS hits,
+              round(avg(hits), 6) AS mean_hits, round(avg(best), 6) AS mean_best
+            FROM each""",
         "duplicate_ids": f"""{turns}, per_id AS (SELECT docid, count(*) AS captures FROM docs GROUP BY docid)
             SELECT count(*) FILTER (captures > 1) AS ndup FROM per_id""",
         "corrected_dict": f"{fixed} SELECT term, termid, df FROM cdict",

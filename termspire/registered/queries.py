@@ -598,6 +598,16 @@ def batch_report(spark, sf_dir):
     return batch.batch_report(document_index(spark, sf_dir), asked, asked=turns)
 
 
+@query
+def batch_means(spark, sf_dir):
+    """Totals and means over the answered queries of the benchmark batch, without its seconds."""
+    index, passages = document_index(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    asked = passages.select(F.col("item_id").alias("qno"))
+    _, report = batch.timed_batch(index, benchmark_queries(spark, sf_dir), k=5, asked=asked)
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_hits", "mean_best")]
+    return report.select("asked", "answered", "skipped", "hits", *rounded)
+
+
 # ---------------------------------------------------------------- repeated documents
 
 
