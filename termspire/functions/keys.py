@@ -26,7 +26,7 @@ def hash_bucket(termid: Column, buckets: int) -> Column:
 def register_sql_functions(spark: SparkSession, shift: int = 17) -> None:
     """Offer `cr(term)`, `p(termid)` and `tokenize(text)` to SQL users, as temporary functions.
 
-    `tokenize` works as `functions.text.tokenize`, but leaves Hangul that is written in letters.
+    `tokenize` gives the same terms as `functions.text.tokenize`, which builds the index.
     """
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION cr(term STRING) RETURNS INT "

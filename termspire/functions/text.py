@@ -101,6 +101,24 @@ def tokenize(text: Column) -> Column:
     return _without_empty(F.split(normalise(text.cast("string")), _SEPARATOR_RUN))
 
 
+def _sql_compose(text: str) -> str:
+    """`compose_hangul` as SQL."""
+    last, code = "ascii(right(done, 1))", "ascii(char)"
+    lead, vowel, trail = f"({last} - {_LEAD})", f"({code} - {_VOWEL})", f"({code} - {_TRAIL})"
+    syllable = f"({last} - {_SYLLABLE})"
+    pair = f"{lead} BETWEEN 0 AND {_LEADS - 1} AND {vowel} BETWEEN 0 AND {_VOWELS - 1}"
+    open_end = f"{syllable} BETWEEN 0 AND {_LEADS * _VOWELS * _TRAILS - 1} AND {syllable} % {_TRAILS} = 0"
+    joins_end = f"{open_end} AND {trail} BETWEEN 0 AND {_TRAILS - 1}"
+    made = [f"({lead} * {_VOWELS} + {vowel}) * {_TRAILS} + {_SYLLABLE}", f"{last} + {trail}"]
+    written = [f"decode(unhex(lpad(hex({m}), 4, '0')), 'UTF-16BE')" for m in made]
+    before = "substring(done, 1, char_length(done) - 1)"
+    step = (
+        f"CASE WHEN {pair} THEN concat({before}, {written[0]}) "
+        f"WHEN {joins_end} THEN concat({before}, {written[1]}) ELSE concat(done, char) END"
+    )
+    return f"aggregate(split({text}, ''), '', (done, char) -> {step})"
+
+
 def sql_tokenize() -> str:
     """The body of a SQL function `tokenize(text)` that does the same."""
 
@@ -109,7 +127,8 @@ def sql_tokenize() -> str:
 
     source, target = accent_table()
     plain = f"translate(cast(text AS STRING), {quoted(source)}, {quoted(target)})"
-    lowered = f"lower(replace({plain}, 'Σ', 'σ'))"
+    composed = f"CASE WHEN {plain} RLIKE '[\u1100-\u11FF]' THEN {_sql_compose(plain)} ELSE {plain} END"
+    lowered = f"lower(replace({composed}, 'Σ', 'σ'))"
     return f"array_remove(split({lowered}, {quoted(_SEPARATOR_RUN)}), '')"
 
 

@@ -85,3 +85,14 @@ def test_sql_functions(spark):
     strings(spark, list(TRICKY)).createOrReplaceTempView("tricky")
     rows = spark.sql("SELECT s, tokenize(s) AS t FROM tricky").collect()
     assert {r["s"]: r["t"] for r in rows} == TRICKY
+
+
+def test_sql_tokenize_agrees_with_the_column(spark):
+    rng = random.Random(21)
+    pools = ["\u1100\u1101\u1112\u1161\u1162\u1175\u11a7\u11a8\u11c2", "가나각하힣", "aÉéß ΣσÀ", " -'1.,", "\u0301\u0308", "漢字"]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 25))) for _ in range(800)] + [None, "", "   "]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    register_sql_functions(spark)
+    rows = frame.selectExpr("text", "tokenize(text) AS by_sql").select("by_sql", tokenize(F.col("text")).alias("by_column"))
+    assert all(r.by_sql == r.by_column for r in rows.collect())
+    assert spark.sql("SELECT tokenize('\u1112\u1161\u11ab\u1100\u1173\u11af')").first()[0] == ["한글"]
