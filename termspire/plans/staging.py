@@ -52,6 +52,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path, with the settings of the session."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, found = file_system(spark, path)
+    files.delete(found, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder."""
+    files, found = file_system(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(found)]
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete the tables that are staged within the block when it ends.
@@ -62,10 +79,8 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        context = spark.sparkContext
         for name in _staged[first:]:
-            path = context._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, name)
         del _staged[first:]
 
 

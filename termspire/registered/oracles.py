@@ -367,5 +367,10 @@ def oracle_sql() -> dict[str, str]:
         "compacted_postings": f"""{docs} SELECT term, df, count(*) AS postings, sum(tf)::BIGINT AS tokens,
               sum(docid)::BIGINT AS docids
             FROM postings JOIN dict USING (termid) GROUP BY ALL""",
+        "store_row_counts": f"""{docs}
+            SELECT 'postings' AS table_name, count(*) AS row_count, 'viewfs' AS scheme FROM postings
+            UNION ALL SELECT 'dict', count(*), 'viewfs' FROM dict
+            UNION ALL SELECT 'docs', count(*), 'viewfs' FROM docs
+            UNION ALL SELECT 'stats', count(*), 'viewfs' FROM stats""",
         "sample_rows": f"{docs} SELECT docid, name, len FROM docs ORDER BY docid LIMIT 5",
     }

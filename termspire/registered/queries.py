@@ -14,6 +14,7 @@ from termspire.functions.keys import register_sql_functions
 from termspire.model import Layout
 from termspire.operators import batch, block_max, duplicates, lookup, profile, rank, sampling, tokens, versions
 from termspire.operators.scan_report import scan_report as report_scans
+from termspire.operators.index_build import build_index
 from termspire.operators.layout import choose_shift, choose_shift_by_dict, layout_shift, with_lengths
 from termspire.plans.staging import new_folder
 from termspire.registered.fixtures import (
@@ -35,7 +36,7 @@ from termspire.registered.fixtures import (
     raw_index,
     table,
 )
-from termspire.sinks import segment_report, write_csv, write_index, write_parquet
+from termspire.sinks import drop_old_versions, segment_report, write_csv, write_index, write_parquet
 from termspire.sources import (
     create_tables,
     literal_queries,
@@ -47,6 +48,7 @@ from termspire.sources import (
     read_query_sample,
     read_tables,
     register_views,
+    store_session,
     temporary_table,
 )
 
@@ -682,6 +684,27 @@ def row_counts(spark, sf_dir):
     return profile.row_counts(document_index(spark, sf_dir))
 
 
+@query
+def store_row_counts(spark, sf_dir):
+    """Row counts of an index that lies in a store known to one session only, by another scheme."""
+
+    def make():
+        folder = new_folder(spark, "store")
+        target = folder if ":/" in folder else f"file://{folder}"
+        host = "store" + folder.rsplit("-", 1)[-1]
+        store = store_session(spark, {f"fs.viewfs.mounttable.{host}.link./kept": target})
+        root = f"viewfs://{host}/kept/index"
+        docs = table(store, sf_dir, "documents")
+        for _ in range(2):
+            write_index(build_index(docs), root, Layout("shift", 12))
+        drop_old_versions(store, root)
+        return store, root
+
+    store, root = once(spark, sf_dir, "store", make)
+    counts = profile.row_counts(read_index(store, root))
+    return counts.withColumn("scheme", F.lit(root.split(":")[0]))
+
+
 @query
 def sample_rows(spark, sf_dir):
     return profile.sample_rows(document_index(spark, sf_dir).docs, 5, "docid")

@@ -1,12 +1,13 @@
 """Writers: index tables in their layouts, single tables, and query files."""
 
-from termspire.sinks.index_files import write_dict, write_impacts, write_index, write_postings
+from termspire.sinks.index_files import drop_old_versions, write_dict, write_impacts, write_index, write_postings
 from termspire.sinks.segments import append_documents, compact, drop_superseded, segment_report
 from termspire.sinks.tables import write_csv, write_parquet
 
 __all__ = [
     "append_documents",
     "compact",
+    "drop_old_versions",
     "drop_superseded",
     "segment_report",
     "write_csv",

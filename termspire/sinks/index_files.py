@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from termspire.model import Index, Layout
 from termspire.operators.block_max import BLOCK_BITS, Impacts, block_impacts
 from termspire.operators.layout import layout_dict, with_bucket
-from termspire.plans.staging import local_relation, stage
+from termspire.plans.staging import delete, folders, local_relation, stage
 from termspire.sources.index_files import Segment, read_impacts, read_index, read_segments
 
 # Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
@@ -127,12 +127,9 @@ def write_index(
 def drop_old_versions(spark: SparkSession, root: str) -> None:
     """Delete the versions under `root` that the record does not name."""
     current = {s.folder for s in read_segments(spark, root)}
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(conf)
-    for status in files.listStatus(path):
-        if status.getPath().getName().startswith(("version-", "segment-")) and status.getPath().getName() not in current:
-            files.delete(status.getPath(), True)
+    for name in folders(spark, root):
+        if name.startswith(("version-", "segment-")) and name not in current:
+            delete(spark, f"{root}/{name}")
 
 
 def write_record(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termspire.model import Index
 from termspire.operators.index_build import delta_index
-from termspire.plans.staging import scratch
+from termspire.plans.staging import delete, folders, scratch
 from termspire.sinks.index_files import (
     POSTINGS_PER_FILE,
     TERMS_PER_FILE,
@@ -106,20 +106,16 @@ def compact(
 
 def drop_superseded(spark: SparkSession, root: str) -> None:
     """Delete the folders that the record doesn't name, and the tables and buckets it doesn't use."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    files = top.getFileSystem(conf)
     used = {s.folder: s for s in read_segments(spark, root)}
-    for status in files.listStatus(top):
-        name = status.getPath().getName()
+    for name in folders(spark, root):
         if name.startswith(("version-", "segment-")) and name not in used:
-            files.delete(status.getPath(), True)
+            delete(spark, f"{root}/{name}")
     for name, segment in used.items():
         gone = [t for t in ("dict", "stats", "postings", "docs") if t not in segment.tables]
         if "postings" in segment.tables:
             gone += [f"postings/thash={bucket}" for bucket in segment.dropped]
         for part in gone:
-            files.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{part}"), True)
+            delete(spark, f"{root}/{name}/{part}")
 
 
 def segment_report(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from termspire.sources.index_files import create_bucketed_tables, create_tables, read_impacts, read_index, read_tables, register_views
 from termspire.sources.queries import literal_queries, number_queries, read_query_log, read_query_sample
-from termspire.sources.tables import read_folder, read_parquet, temporary_table
+from termspire.sources.tables import read_folder, read_parquet, store_session, temporary_table
 
 __all__ = [
     "create_bucketed_tables",
@@ -17,5 +17,6 @@ __all__ = [
     "read_query_sample",
     "read_tables",
     "register_views",
+    "store_session",
     "temporary_table",
 ]

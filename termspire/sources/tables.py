@@ -11,6 +11,21 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
+def store_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with Hadoop settings of its own, such as the endpoint and the keys of one object store.
+
+    Frames that it reads, and what is made of them, are read and written with these settings, by tasks
+    as well as by the driver; other sessions of the application don't see them, so two indexes can lie
+    in two stores with different keys. Frames of other sessions don't get them: read the documents of an
+    index with the session that writes it. Hadoop keeps an open file system for scheme and host, so the
+    settings of a host are those it was first opened with.
+    """
+    session = spark.newSession()
+    for key, value in settings.items():
+        session.conf.set(key, value)
+    return session
+
+
 def read_folder(
     spark: SparkSession, root: str, schema: T.StructType, keys: T.StructType, *subfolders: str
 ) -> DataFrame:
