@@ -14,6 +14,8 @@ from termspire.llm.bpe import parse_ranks, read_vocabulary
 # Words whose counts a task remembers between parts; beyond it, the memory starts anew.
 REMEMBERED = 400_000
 PART_BYTES = 6 << 20
+# A longer word is scored by itself, along an array of its prefixes, and isn't kept in a trie.
+LONG = 1 << 12
 
 
 class Unigrams:
@@ -22,7 +24,36 @@ class Unigrams:
     def __init__(self, ranks: dict[bytes, int]):
         norm = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.scores = {token: -math.log(r + 1) - norm for token, r in ranks.items()}
-        self.longest = max(map(len, ranks))
+        # Every end of a token: its score if it is one itself, else None.
+        self.ends: dict[bytes, float | None] = dict.fromkeys(t[n:] for t in ranks for n in range(len(t)))
+        self.ends.update(self.scores)
+
+    def last_token(self, word: bytes, end: int, score: list[float], count: list[int]) -> tuple[float, int]:
+        """The best (score, tokens) of the first `end` bytes, from those of all shorter prefixes.
+
+        The last token is sought from its end backwards, and as soon as no token ends so, none that
+        is longer does: a few bytes are looked at, however long the word is.
+        """
+        best, fewest, ends = -math.inf, 0, self.ends
+        for start in range(end - 1, -1, -1):
+            piece = word[start:end]
+            if piece not in ends:
+                break
+            own = ends[piece]
+            if own is not None:
+                value, n = score[start] + own, count[start] + 1
+                if value > best or (value == best and n < fewest):
+                    best, fewest = value, n
+        return best, fewest
+
+    def forward(self, word: bytes) -> tuple[int, float]:
+        """Tokens and score of one word, without a trie."""
+        score, count = [0.0], [0]
+        for end in range(1, len(word) + 1):
+            best, fewest = self.last_token(word, end, score, count)
+            score.append(best)
+            count.append(fewest)
+        return count[-1], score[-1]
 
 
 class Trie:
@@ -41,25 +72,19 @@ class Trie:
 
     def insert(self, word: bytes) -> int:
         """The node of a word; forward scores are computed for the prefixes that are new."""
-        children, score, count = self.children, self.score, self.count
-        scores, longest = self.model.scores, self.model.longest
-        node, path = 0, [0]
+        children = self.children
+        node, scores, counts = 0, [0.0], [0]
         for depth, byte in enumerate(word, 1):
             edge = 256 * node + byte
             after = children.get(edge)
             if after is None:
-                best, fewest = -math.inf, 0
-                for start in range(max(0, depth - longest), depth):
-                    own = scores.get(word[start:depth])
-                    if own is not None:
-                        value, n = score[path[start]] + own, count[path[start]] + 1
-                        if value > best or (value == best and n < fewest):
-                            best, fewest = value, n
-                after = children[edge] = len(score)
-                score.append(best)
-                count.append(fewest)
+                best, fewest = self.model.last_token(word, depth, scores, counts)
+                after = children[edge] = len(self.score)
+                self.score.append(best)
+                self.count.append(fewest)
             node = after
-            path.append(node)
+            scores.append(self.score[node])
+            counts.append(self.count[node])
         return node
 
 
@@ -75,7 +100,11 @@ class Counter:
             self.known.clear()
         trie = Trie(self.model)
         for word in words:
-            if word not in self.known:
+            if word in self.known:
+                continue
+            if len(word) > LONG:
+                self.known[word] = self.model.forward(b" " + word)
+            else:
                 node = trie.insert(b" " + word)
                 self.known[word] = (trie.count[node], trie.score[node])
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import public_tokenizers
 from awkward import ROWS, documents, empty
@@ -49,3 +50,27 @@ def test_awkward_rows(spark):
     for a, b in zip(got, sorted(expected), strict=True):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=1e-6)
     assert token_counts(empty(spark), FILE).count() == 0
+
+
+def test_long_words_take_time_by_their_length():
+    model, rng = Unigrams(parse_ranks(read_vocabulary(FILE))), random.Random(4)
+    for word in (bytes(rng.choices(range(33, 127), k=900_000)), b"a" * 300_000, "漢字".encode() * 100_000):
+        counter, began = Counter(model), time.process_time()
+        counter.learn({word})
+        assert time.process_time() - began < 15
+    words = {bytes(rng.choices(b"abcdetion", k=n)) for n in (4090, 4096, 4097, 5000)}
+    counter = Counter(model)
+    counter.learn(words)
+    for word in words:
+        score, n = 0.0, 0
+        table = [(0.0, 0)]
+        for end in range(1, len(word) + 2):
+            whole = b" " + word
+            options = [
+                (table[s][0] + model.scores[whole[s:end]], -(table[s][1] + 1))
+                for s in range(max(0, end - 40), end)
+                if whole[s:end] in model.scores
+            ]
+            score, n = max(options)
+            table.append((score, -n))
+        assert counter.known[word][0] == -n and math.isclose(counter.known[word][1], score)
