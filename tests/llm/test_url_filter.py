@@ -78,3 +78,28 @@ def test_words_that_the_table_does_not_have(spark, weights):
 def test_an_empty_table_allows(spark):
     empty = spark.createDataFrame([], "url string, block int")
     assert set(url_filter.train(empty)) == {0.0}
+
+
+# Hosts that are not made from the lists or the templates of the labelled table.
+HELD_OUT_BLOCK = """http://royalcasino777.bet/play https://texasholdem-pokerroom.io/lobby https://buyviagra-discount.biz/order
+http://livesexcamgirls.tv/ http://win-freeiphones.club/claim?id=3 http://cdn.adserverzone.co/banner/44
+http://fastpaydayloan.info/apply http://megaslotsjackpots.eu/spin https://warezcrack.to/keygens/1 http://pornhubs.xxx/v/9
+https://onlinebettingtips.win/today http://cialispills4you.ru/ https://trackerpixels.net/click http://malware-phishing.top/login
+https://replicawatchesoutlet.store/ http://cryptodouble-profit.cash/""".split()
+HELD_OUT_ALLOW = """https://stadtbibliothek.koeln/katalog https://collections.cityhistorymuseum.edu/objects/12 https://www.localweatherservice.uk/today
+https://biologydepartment.ac.at/courses https://riverviewschool.k12.us/calendar https://mountainhiking.ch/huts/7
+https://openpoetryreview.lit/issue/3 https://www.cathedralmusicians.fr/concerts https://astronomynotes.info/stars
+https://gardenersdigest.co/tomatoes https://parliamentwatch.eu/votes https://thevillagebakers.ie/bread
+https://translation-studies.org/journal https://northernharbourpilots.no/tides https://chemistryforall.in/lessons
+https://oldbridgephotos.it/1920""".split()
+
+
+def test_held_out_hosts(spark):
+    weights = url_filter.train(labelled_urls(spark))
+    rows = [(n, u) for n, u in enumerate(HELD_OUT_BLOCK + HELD_OUT_ALLOW)]
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id int, url string"), weights, []).collect()
+    right = {"block": 0, "allow": 0}
+    for r in found:
+        want = "block" if r.page_id < len(HELD_OUT_BLOCK) else "allow"
+        right[want] += r.verdict == want
+    assert right["block"] >= 12 and right["allow"] >= 12, right
