@@ -36,7 +36,7 @@ from termspire.registered.fixtures import (
     raw_index,
     table,
 )
-from termspire.sinks import drop_old_versions, segment_report, write_csv, write_index, write_parquet
+from termspire.sinks import drop_old_versions, publish_views, segment_report, write_csv, write_index, write_parquet
 from termspire.sources import (
     create_tables,
     literal_queries,
@@ -788,6 +788,22 @@ def bm25_segments(spark, sf_dir):
     return _scores(rank.bm25(read_index(spark, grown_index(spark, sf_dir)), asked, k=20))
 
 
+@query
+def published_terms(spark, sf_dir):
+    """The dictionary by SQL, over the permanent views of an index of three segments."""
+
+    def make():
+        root = grown_index(spark, sf_dir)
+        database = "published_" + root.rsplit("-", 1)[-1]
+        return database, publish_views(spark, database, root)
+
+    database, state = once(spark, sf_dir, "published", make)
+    return spark.sql(
+        f"SELECT d.term, d.df, count(*) AS postings, sum(p.tf) AS tokens "
+        f"FROM {database}.dict_{state} d JOIN {database}.postings_{state} p USING (termid) GROUP BY ALL"
+    )
+
+
 @query
 def compacted_postings(spark, sf_dir):
     """Postings by term of an index that grew and was compacted, against those of one build."""
