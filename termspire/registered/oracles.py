@@ -206,6 +206,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS rows, sum(tf)::BIGINT AS tokens FROM postings, sized
             WHERE (termid // (1::BIGINT << s)) =
                   (SELECT termid FROM dict WHERE term = 'the') // (1::BIGINT << s)""",
+        "posting_bytes": f"{docs} SELECT count(*) AS postings, true AS packed FROM postings",
         "bucket_rows": f"""{docs}, {_SHIFT}
             SELECT termid // (1::BIGINT << s) AS thash, count(*) AS rows
             FROM postings, sized GROUP BY 1""",

@@ -722,6 +722,15 @@ def file_layout(spark, sf_dir):
     )
 
 
+@query
+def posting_bytes(spark, sf_dir):
+    """Postings, and whether one takes less than the 16 bytes of a long and two integers, lengths included."""
+    files = profile.file_layout(document_index(spark, sf_dir).postings, "thash")
+    return files.agg(
+        F.sum("rows").alias("postings"), (F.sum("bytes") < 16 * F.sum("rows")).alias("packed")
+    )
+
+
 @query
 def bucket_rows(spark, sf_dir):
     """The rows of each bucket, counted from its files."""

@@ -19,6 +19,13 @@ from termspire.sources.index_files import Segment, read_impacts, read_index, rea
 POSTINGS_PER_FILE = 32_000_000
 TERMS_PER_FILE = 8_000_000
 DOCS_PER_FILE = 8_000_000
+# Postings are sorted, so the differences of ids are small: blocks of delta-coded numbers, which Spark's
+# reader decodes, take less than dictionaries of ids.
+PACKED = {
+    "parquet.writer.version": "v2",
+    "parquet.enable.dictionary#termid": "false",
+    "parquet.enable.dictionary#docid": "false",
+}
 # Bloom filters: how often an absent value may seem present, and the largest filter of a row group.
 BLOOM_FALSE = 0.001
 BLOOM_BYTES = 32 << 20
@@ -53,13 +60,13 @@ def write_postings(
 
     Files are cut by ranges of (bucket, termid, docid), not by bucket: a bucket or a term that holds
     a third of all rows is written by a third of the tasks, and each file still covers a narrow
-    range, so the statistics in its footer prune well.
+    range, so the statistics in its footer prune well. Ids are delta-coded (see PACKED).
     """
     order = [*(["thash"] if layout.kind != "none" else []), "termid", "docid"]
     keyed = with_bucket(postings, layout)
     files = _files(postings.sparkSession, rows, rows_per_file)
     sorted_rows = keyed.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    writer = sorted_rows.write.mode("overwrite")
+    writer = sorted_rows.write.mode("overwrite").options(**PACKED)
     (writer.partitionBy("thash") if layout.kind != "none" else writer).parquet(path)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +237,15 @@ def test_a_hot_bucket_is_written_by_several_tasks(spark):
     )
     files = profile.file_layout(index.postings, "thash").collect()
     assert len(files) == 1 and files[0]["files"] >= 4 and files[0]["rows"] == 5_000
+
+
+def test_packed_postings_are_small_and_whole(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choices([f"w{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(400)], k=60)) for _ in range(1500)]
+    docs = micro.corpus(spark, texts).select((F.col("doc_id") * 1_000_003 - 5_000).alias("doc_id"), "text")
+    built = build_index(docs)
+    index = write_index(built, new_folder(spark, "packed"), Layout("shift", 8))
+    columns = ["termid", "docid", "tf", "len"]
+    assert sorted(map(tuple, index.postings.select(columns).collect())) == sorted(map(tuple, built.postings.select(columns).collect()))
+    rows, size = profile.file_layout(index.postings, "thash").agg(F.sum("rows"), F.sum("bytes")).first()
+    assert size < 8 * rows
