@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from termspire.llm.batches import map_parts, texts
 
 # Words whose encoding a task remembers between parts; beyond it, the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 PART_BYTES = 2 << 20
 _KEY = 1 << 20
 _NONE = np.int32(2**31 - 1)
