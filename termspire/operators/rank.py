@@ -17,8 +17,10 @@ from termspire.plans.staging import MAX_BROADCAST_ROWS, local_relation, stage
 # The sum of floating-point scores depends on the order of the rows in its last digits. Ranking by
 # nine decimals makes scores that are equal on paper tie, and the docid then decides.
 RANK_STEPS = 1e9
-# Rows (query, posting) that one task sums; a task of this size fits in memory without spilling much.
-PAIRS_PER_TASK = 8_000_000
+# Rows (query, posting) that one task sums, in some hundred bytes each: a task of this size doesn't spill.
+PAIRS_PER_TASK = 2_000_000
+# A task isn't started for less than this.
+MIN_PAIRS = 50_000
 # Default of spark.sql.optimizer.windowGroupLimitThreshold.
 MAX_TRIMMED_BY_SPARK = 1_000
 
@@ -233,10 +235,19 @@ def _meet(postings: DataFrame, terms: QueryTerms) -> DataFrame:
 
 
 def _by_document(scored: DataFrame, pairs: int) -> DataFrame:
-    """Shuffle by docid, into more tasks than the session's default if the known rows need them."""
-    default = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Shuffle by docid, into as many tasks as the known pairs need."""
+    return scored.repartition(tasks_for(scored, pairs), "docid")
+
+
+def tasks_for(df: DataFrame, pairs: int) -> int:
+    """Tasks for so many pairs: at least the session's default, but no more than pairs need by far.
+
+    The number is given with the shuffle, so that it stays. Adaptive execution would merge tasks by the
+    bytes that it sees, which are those before each row meets its queries.
+    """
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = ceil(pairs / PAIRS_PER_TASK)
-    return scored.repartition("docid") if needed <= default else scored.repartition(needed, "docid")
+    return max(needed, min(default, ceil(pairs / MIN_PAIRS)), 1)
 
 
 def term_scores(

@@ -213,3 +213,10 @@ def test_term_ids_and_documents(spark, corpus_index):
     assert found["none"] == (False, -1) and found["the"][0]
     docs = lookup.docs_for_terms(corpus_index, words).collect()
     assert len(docs) == 150 and {r["word"] for r in docs} == {"the"}
+
+
+def test_pairs_keep_their_tasks(spark):
+    """Adaptive execution merged the tasks by the bytes of the postings, which are few before they meet queries."""
+    scored = spark.range(10_000).withColumnRenamed("id", "docid")
+    assert rank._by_document(scored, 5 * rank.PAIRS_PER_TASK).rdd.getNumPartitions() >= 5
+    assert rank._by_document(scored, 10).rdd.getNumPartitions() == 1
