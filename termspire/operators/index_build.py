@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from termspire.functions.keys import crange
 from termspire.functions.text import tokenize
 from termspire.model import Index
 from termspire.plans.numbering import number_rows
-from termspire.plans.skew import frequent_keys, spread_join
+from termspire.plans.skew import frequent_keys, head_keys, spread_join
 from termspire.plans.staging import is_small, stage, widen
 
 
@@ -59,6 +61,14 @@ def build_index(
     The tokenised rows are staged once, then read column by column: lengths for `docs`, terms for
     `dict`, terms and frequencies for `postings`. Term ids are dense, from 0, in term order.
     """
+    forward, index = _counted(documents, docid, text, name, unique_docs)
+    return replace(index, postings=_with_term_ids(forward, index.dict))
+
+
+def _counted(
+    documents: DataFrame, docid: str, text: str, name: Column | None = None, unique_docs: bool | None = None
+) -> tuple[DataFrame, Index]:
+    """The forward table of the documents, staged, and their index but for its postings."""
     name = F.concat(F.lit("d"), F.col(docid)) if name is None else name
     rows = documents.select(
         F.col(docid).alias("docid"), name.alias("name"), F.col(text).alias("text")
@@ -81,13 +91,7 @@ def build_index(
     terms = number_rows(counted, ["term"], "termid").select(
         "term", "termid", "df", crange(F.col("term")).alias("crange")
     )
-    return Index(
-        postings=_with_term_ids(forward, terms),
-        dict=terms,
-        docs=docs,
-        stats=totals,
-        unique_docs=unique_docs,
-    )
+    return forward, Index(forward, terms, docs, totals, unique_docs=unique_docs)
 
 
 def delta_index(index: Index, documents: DataFrame, docid: str = "doc_id", text: str = "text") -> Index:
@@ -96,7 +100,7 @@ def delta_index(index: Index, documents: DataFrame, docid: str = "doc_id", text:
     Terms that the index has keep their id; the others are numbered from its largest id on, in term
     order. Frequencies are those of the new documents alone. Lengths are stored if the index has them.
     """
-    own = build_index(documents, docid, text)
+    forward, own = _counted(documents, docid, text)
     # Own ids were dense and in term order, so the new terms keep that order among themselves.
     known = index.dict.select("term", F.col("termid").alias("known"))
     small = is_small(own.dict.select("term"), "term")
@@ -111,30 +115,25 @@ def delta_index(index: Index, documents: DataFrame, docid: str = "doc_id", text:
     mapped = stage(matched.union(fresh), "term-ids")
     terms = own.dict.join(mapped, "termid").select("term", F.col("known").alias("termid"), "df", "crange")
     columns = ["docid", "tf", *(["len"] if index.has_lengths else [])]
-    if is_small(mapped):
-        postings = own.postings.join(F.broadcast(mapped), "termid")
-    else:
-        total = own.dict.agg(F.sum("df")).first()[0]
-        frequent = frequent_keys(own.dict.select("termid", "df"), "termid", "df", total)
-        postings = spread_join(own.postings, mapped, "termid", frequent, ["docid"])
-    return Index(
-        postings=postings.select(F.col("known").alias("termid"), *columns),
-        dict=terms,
-        docs=own.docs,
-        stats=own.stats,
-        unique_docs=own.unique_docs,
-    )
+    # The postings get their last ids at once, so they're not joined by their own ids and then again.
+    terms = stage(terms, "renumbered")
+    return replace(own, postings=_with_term_ids(forward, terms).select("termid", *columns), dict=terms)
 
 
 def _with_term_ids(forward: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings with term ids and lengths: the dictionary is broadcast if measured small, else joined
-    by term with the frequent terms spread, for which the dictionary already holds the counts."""
+    """Postings with term ids and lengths: the dictionary is broadcast if measured small. If not, its
+    most frequent terms are, which own most postings, and the others are joined by term with those of
+    many postings spread, for which the dictionary already holds the counts."""
     rows = forward.select("docid", "len", F.inline("terms"))
     ids = terms.select("term", "termid")
     if is_small(ids, "term"):
         joined = rows.join(F.broadcast(ids), "term")
     else:
         total = terms.agg(F.sum("df")).first()[0]
+        head = head_keys(terms, "term", "df", "term").select("term", "termid")
+        met = rows.join(F.broadcast(head), "term")
+        rows, terms = (t.join(F.broadcast(head.select("term")), "term", "left_anti") for t in (rows, terms))
+        ids = terms.select("term", "termid")
         # Frequent terms are told by a hash, so that their list is small however long they are. Two
         # terms of one hash are both spread, which does no harm.
         hashed = F.xxhash64("term").alias("_term")
@@ -143,4 +142,5 @@ def _with_term_ids(forward: DataFrame, terms: DataFrame) -> DataFrame:
         rows, ids = rows.withColumn("_term", hashed), ids.withColumn("_term", hashed)
         ids = ids.withColumnRenamed("term", "_word")
         joined = spread_join(rows, ids, "_term", frequent, ["docid"]).where("term = _word")
+        joined = joined.select(met.columns).union(met)
     return joined.select("termid", "docid", F.col("tf").cast("int").alias("tf"), "len")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termspire.model import Index
-from termspire.plans.skew import frequent_keys, spread_join
+from termspire.plans.skew import frequent_keys, head_join, head_keys
 from termspire.plans.staging import is_small, stage
 
 
@@ -40,12 +40,13 @@ def _renumbered(index: Index, ids: DataFrame) -> DataFrame:
     of a posting are added up within tasks.
     """
     postings = index.postings.select("termid", "docid", "tf")
+    counts = index.dict.select("termid", "df")
     if is_small(ids):
         joined = postings.join(F.broadcast(ids), "termid")
     else:
         total = index.dict.agg(F.sum("df")).first()[0] or 0
-        frequent = frequent_keys(index.dict.select("termid", "df"), "termid", "df", total)
-        joined = spread_join(postings, ids, "termid", frequent, ["docid"])
+        frequent = frequent_keys(counts, "termid", "df", total)
+        joined = head_join(postings, ids, "termid", head_keys(counts, "termid", "df"), frequent, ["docid"])
     return joined.groupBy("common", "docid").agg(F.sum("tf").cast("long").alias("tf"))
 
 
@@ -74,7 +75,7 @@ def compared_postings(before: Index, after: Index) -> DataFrame:
         met = stage(met, "compared")
         counts = met.groupBy("common").agg(F.count(F.lit(1)).alias("rows"))
         frequent = frequent_keys(counts, "common", "rows", met.count())
-        named = spread_join(met, names, "common", frequent, ["docid"])
+        named = head_join(met, names, "common", head_keys(counts, "common", "rows"), frequent, ["docid"])
     return named.select("term", "docid", "tf_before", "tf_after", "change")
 
 

@@ -87,3 +87,16 @@ def test_frequent_keys_are_bounded(spark, monkeypatch):
     assert len(kept) < 8
     even = spark.range(8).select("id", F.lit(5).alias("rows"))
     assert skew.frequent_keys(even, "id", "rows", 40).count() == 0
+
+
+def test_frequent_terms_are_not_shuffled(spark, monkeypatch):
+    """With a dictionary too large to broadcast, the postings of its most frequent terms meet their ids in place."""
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    texts = [f"every most{'xy'[n % 2]} rare{words[n]} other{words[n // 3]}" for n in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(map(tuple, build_index(docs).postings.collect()))
+    monkeypatch.setattr(staging, "MAX_BROADCAST_ROWS", 5)
+    met, join = [], index_build.spread_join
+    monkeypatch.setattr(index_build, "spread_join", lambda big, *rest: met.append(big) or join(big, *rest))
+    assert sorted(map(tuple, build_index(docs).postings.collect())) == want
+    assert {r.term[:4] for r in met[0].select("term").collect()} == {"rare", "othe"}

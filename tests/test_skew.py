@@ -1,6 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from termspire.plans import skew, staging
 from termspire.plans.skew import SLOTS, frequent_pairs, grid_join
 
 
@@ -29,3 +30,22 @@ def test_grid_join_makes_each_pair_once_and_spreads_them(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_head_join(spark, monkeypatch):
+    big = spark.range(3000).selectExpr("if(id % 3 = 0, id, id % 2) as k", "id")
+    lookup = spark.range(2000).selectExpr("id as k", "id * 10 as v")
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    want = sorted(map(tuple, big.join(lookup, "k").select("k", "id", "v").collect()))
+    monkeypatch.setattr(skew, "HEAD_ROWS", 2)
+    head = skew.head_keys(counts, "k", "rows")
+    assert sorted(r.k for r in head.collect()) == [0, 1]
+    frequent = skew.frequent_keys(counts, "k", "rows", 3000)
+    joined = skew.head_join(big, lookup, "k", head, frequent, ["id"])
+    assert sorted(map(tuple, joined.select("k", "id", "v").collect())) == want
+    # Short strings only: nothing is left for the head.
+    words = counts.withColumn("word", F.repeat(F.lit("x"), 100))
+    monkeypatch.setattr(staging, "MAX_BROADCAST_BYTES", 10)
+    assert skew.head_keys(words, "k", "rows", "word").isEmpty()
+    monkeypatch.setattr(skew, "HEAD_ROWS", 10_000)
+    assert skew.head_keys(counts, "k", "rows") is None
