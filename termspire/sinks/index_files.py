@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from termspire.model import Index, Layout
 from termspire.operators.block_max import BLOCK_BITS, Impacts, block_impacts
 from termspire.operators.layout import layout_dict, with_bucket
-from termspire.plans.staging import delete, folders, local_relation, stage
+from termspire.plans.staging import delete, folders, local_relation
 from termspire.sources.index_files import Segment, read_impacts, read_index, read_segments
 
-# Rows per file: about half a gigabyte of postings, and a few hundred megabytes of terms.
-POSTINGS_PER_FILE = 32_000_000
+# Rows per file. One task sorts the rows of a file, so they must fit in its memory: a posting takes about
+# a hundred bytes there, and few in the file.
+POSTINGS_PER_FILE = 4_000_000
+# A bound is grouped and sorted in the task that writes it.
+BOUNDS_PER_FILE = 2_000_000
 TERMS_PER_FILE = 8_000_000
 DOCS_PER_FILE = 8_000_000
 # Postings are sorted, so the differences of ids are small: blocks of delta-coded numbers, which Spark's
@@ -96,12 +99,11 @@ def write_docs(docs: DataFrame, path: str, rows: int, rows_per_file: int = DOCS_
     _with_bloom(ordered.write.mode("overwrite"), "docid", ceil(rows / files)).parquet(path)
 
 
-def write_impacts(index: Index, path: str, bits: int = BLOCK_BITS, rows_per_file: int = POSTINGS_PER_FILE) -> Impacts:
+def write_impacts(index: Index, path: str, bits: int = BLOCK_BITS, rows_per_file: int = BOUNDS_PER_FILE) -> Impacts:
     """Bounds of the blocks of an index, sorted by (termid, block), and open them."""
     spark = index.postings.sparkSession
-    rows = stage(block_impacts(index, bits), "impacts")
-    files = _files(spark, rows.count(), rows_per_file)
-    ordered = rows.withColumn("bits", F.lit(bits)).repartitionByRange(files, "termid", "block")
+    files = _files(spark, index.dict.agg(F.sum("df")).first()[0] or 0, rows_per_file)
+    ordered = block_impacts(index, bits, files).withColumn("bits", F.lit(bits))
     ordered.sortWithinPartitions("termid", "block").write.mode("overwrite").parquet(path)
     return read_impacts(spark, path)
 

@@ -88,3 +88,18 @@ def test_empty_index(spark):
     empty = build_index(micro.corpus(spark, ["a"]).limit(0))
     found = write_impacts(write_index(empty, new_folder(spark, "none")), new_folder(spark, "impacts"))
     assert block_max.bm25_block_max(empty, found, literal_queries(spark, [["a"]]), 3).count() == 0
+
+
+def test_many_blocks_meet_the_queries_as_bits(spark, index, impacts, monkeypatch):
+    """Chosen blocks aren't written with every term of their queries; the 70 queries need two words of bits."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    asked = literal_queries(spark, [[words[n], words[n + 7], "every", words[(13 * n) % 100]] for n in range(70)])
+    want, labels, stage = rows(rank.bm25(index, asked, 3)), [], block_max.stage
+    _, weights, kept = block_max.surviving_blocks(index, impacts, asked, 3)
+    counted = sorted(map(tuple, block_max.postings_scored(impacts, weights, kept).collect()))
+    monkeypatch.setattr(block_max, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    monkeypatch.setattr(block_max, "MAX_BROADCAST_ROWS", 0)
+    assert rows(block_max.bm25_block_max(index, impacts, asked, 3)) == want
+    assert "blocks" not in labels and "query-bits" in labels
+    # Joined by query and block, as for batches that aren't broadcast.
+    assert sorted(map(tuple, block_max.postings_scored(impacts, weights, kept).collect())) == counted
