@@ -6,7 +6,9 @@ import heapq
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,12 @@ RATE = 0.2
 # Where the squares of AdaGrad start for rows of frequent words and nodes, which few tokens change.
 SQUARE = 1.0
 SEED = 20_240_229
-# Tokens that the model is trained on, about; counts are of all tokens, whatever their number.
+# Tokens of the sample that the model starts from, and of each shard of all training rows, about.
 TRAIN_TOKENS = 8_000_000
 PART_BYTES = 4 << 20
 FLUSH = 300_000
+# Rows of a group that are added up one after the other.
+FEW = 8
 # Rows of parameters that a task returns together.
 ROWS = 1024
 
@@ -178,7 +182,7 @@ class Tree:
         sizes = self.size[numbers]
         place = np.repeat(np.arange(len(numbers)), sizes)
         at = np.repeat(self.first[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(place))
-        return place, self.nodes[at], self.sides[at]
+        return place, self.nodes.take(at), self.sides.take(at)
 
 
 def new_tree(counts: Counts) -> Tree:
@@ -222,15 +226,15 @@ class Model:
         return [self.context, self.weight, self.output, self.bias]
 
     def vectors(self, numbers: np.ndarray) -> np.ndarray:
-        return self.context[self.tree.output[numbers]] + self.words[np.maximum(numbers - START, 0)]
+        return self.context.take(self.tree.output.take(numbers), 0) + self.words.take(np.maximum(numbers - START, 0), 0)
 
     def predicted(self, histories: np.ndarray) -> np.ndarray:
         return sum(self.weight[p] * self.vectors(histories[:, p]) for p in range(CONTEXT))
 
     def inside(self, predicted: np.ndarray, place: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Scores of nodes, each for the prediction of its place."""
-        inner = self.inner[nodes]
-        return np.einsum("ij,ij->i", predicted[place], inner[:, :SIZE]) + inner[:, SIZE]
+        inner = self.inner.take(nodes, 0)
+        return np.einsum("ij,ij->i", predicted.take(place, 0), inner[:, :SIZE]) + inner[:, SIZE]
 
     def __reduce__(self) -> tuple:
         inner = self.inner.copy()
@@ -300,10 +304,31 @@ def numbered(batch: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarr
 
 def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Add each row to the row of `total` that it belongs to."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    total[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+    width = total.shape[1]
+    cells = (at[:, None] * width + np.arange(width)).ravel()
+    total += np.bincount(cells, rows.ravel(), total.size).reshape(total.shape)
+
+
+def sum_groups(rows: np.ndarray, first: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of consecutive rows, in `order` if given, from each place of `first` to the next.
+
+    Most groups are small: they are added up place by place, all groups at once.
+    """
+    sizes = np.diff(first, append=len(rows))
+    rows_at = (lambda at: rows.take(at, 0)) if order is None else (lambda at: rows.take(order.take(at), 0))
+    total, left = rows_at(first), np.arange(len(first))
+    for k in range(1, FEW):
+        left = left[sizes[left] > k]
+        if not len(left):
+            return total
+        total[left] += rows_at(first[left] + k)
+    left = left[sizes[left] > FEW]
+    if len(left):
+        more = sizes[left] - FEW
+        start = np.cumsum(more) - more
+        at = np.repeat(first[left] + FEW - start, more) + np.arange(more.sum())
+        total[left] += np.add.reduceat(rows_at(at), start, axis=0)
+    return total
 
 
 class Trainer:
@@ -324,38 +349,39 @@ class Trainer:
 
     def step(self, words: np.ndarray, histories: np.ndarray) -> None:
         model, output = self.model, self.model.tree.output
-        numbers, words = words, output[words]
+        numbers, words = words, output.take(words)
         others = np.searchsorted(self.draw, self.rng.random(NOISE) * self.draw[-1]).clip(max=OUTPUTS - 1)
         vectors = [model.vectors(histories[:, p]) for p in range(CONTEXT)]
-        predicted = sum(model.weight[p] * vectors[p] for p in range(CONTEXT))
-        score = np.einsum("ij,ij->i", predicted, model.output[words]) + model.bias[words]
-        miss = 1 / (1 + np.exp(np.clip(score - self.noise[words], -30, 30)))
-        scores = predicted @ model.output[others].T + model.bias[others] - self.noise[others]
+        ones = np.ones((len(words), SIZE + 1), np.float32)
+        predicted = ones[:, :SIZE]
+        predicted[:] = sum(model.weight[p] * vectors[p] for p in range(CONTEXT))
+        outputs = model.output.take(words, 0)
+        score = np.einsum("ij,ij->i", predicted, outputs) + model.bias.take(words)
+        miss = 1 / (1 + np.exp(np.clip(score - self.noise.take(words), -30, 30)))
+        scores = predicted @ model.output[others].T + (model.bias[others] - self.noise[others])
         false = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
         steps = [np.zeros_like(a) for a in model.arrays()]
         add_rows(steps[2], words, miss[:, None] * predicted)
         add_rows(steps[2], others, false.T @ predicted)
-        add_rows(steps[3], words, miss)
-        add_rows(steps[3], others, false.sum(0))
-        back = miss[:, None] * model.output[words] + false @ model.output[others]
+        steps[3] += np.bincount(words, miss, OUTPUTS) + np.bincount(others, false.sum(0), OUTPUTS)
+        back = miss[:, None] * outputs + false @ model.output[others]
         place, nodes, sides = model.tree.ways(numbers)
         if len(place):
-            inner, ahead = model.inner[nodes], np.ones((len(place), SIZE + 1), np.float32)
-            ahead[:, :SIZE] = predicted[place]
+            inner, ahead = model.inner.take(nodes, 0), ones.take(place, 0)
             score = np.einsum("ij,ij->i", inner, ahead)
             wrong = (sides - 1 / (1 + np.exp(-np.clip(score, -30, 30))))[:, None]
             inner *= wrong
             starts = np.flatnonzero(np.diff(place, prepend=-1))
-            back[place[starts]] += np.add.reduceat(inner, starts, axis=0)[:, :SIZE]
+            back[place[starts]] += sum_groups(inner, starts)[:, :SIZE]
             ahead *= wrong
             self.change(1, nodes, ahead)
         own = []
         for p in range(CONTEXT):
-            steps[1][p] = (back * vectors[p]).sum(0)
+            steps[1][p] = np.einsum("ij,ij->j", back, vectors[p])
             change = back * model.weight[p]
-            add_rows(steps[0], output[histories[:, p]], change)
+            add_rows(steps[0], output.take(histories[:, p]), change)
             frequent = np.flatnonzero(histories[:, p] > START)
-            own.append((histories[frequent, p] - START, change[frequent]))
+            own.append((histories[frequent, p] - START, change.take(frequent, 0)))
         at, change = (np.concatenate(x) for x in zip(*own, strict=True))
         if len(at):
             self.change(0, at, change)
@@ -366,19 +392,50 @@ class Trainer:
 
     def change(self, which: int, at: np.ndarray, rows: np.ndarray) -> None:
         array, square = self.sparse[which]
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        bits = len(at).bit_length()
+        order = np.sort((at.astype(np.int64) << bits) | np.arange(len(at)))
+        at = order >> bits
+        order &= (1 << bits) - 1
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        change, ids = np.add.reduceat(rows[order], first, axis=0), at[first]
+        change, ids = sum_groups(rows, first, order), at[first]
         square[ids] += np.einsum("ij,ij->i", change, change) / change.shape[1]
-        array[ids] += change * (RATE / np.sqrt(square[ids]))[:, None]
+        change *= (RATE / np.sqrt(square[ids]))[:, None]
+        array[ids] = array.take(ids, 0) + change
+
+    def learn(self, batches: Iterator[pa.RecordBatch], classes: Classes) -> None:
+        """Steps over the first column's texts, part by part."""
+        for batch in batches:
+            for part in parts(batch, 0, PART_BYTES):
+                words, histories, _, _ = numbered(raw_texts(part, 0), classes)
+                order = self.rng.permutation(len(words))
+                for at in range(0, len(order), BATCH):
+                    rows = order[at : at + BATCH]
+                    self.step(words[rows], histories[rows])
+
+    def rows(self) -> list[np.ndarray]:
+        """The model's rows, each with its square if it has one, and the squares of the first arrays."""
+        context, weight, output, words, inner = self.model.rows()
+        squares = Model(*self.squares, self.model.words, self.model.inner, self.model.tree).rows()[:3]
+        plain = lambda a: np.hstack((a, np.zeros((len(a), 1), np.float32)))
+        own = [np.hstack((a, square[:, None])) for a, (_, square) in zip((words, inner), self.sparse, strict=True)]
+        return [plain(a) for a in (context, weight, output, *squares)] + own
+
+    def put(self, whole: np.ndarray) -> None:
+        """Take over what `rows` returned, as one array."""
+        sizes = [OUTPUTS + 1, CONTEXT, OUTPUTS] * 2 + [len(self.model.words)]
+        *dense, words, inner = np.split(whole, np.cumsum(sizes))
+        for arrays, made in ((self.model.arrays(), dense[:3]), (self.squares, dense[3:])):
+            for array, new in zip(arrays, (*(a[:, :SIZE] for a in made), made[2][:, SIZE]), strict=True):
+                array[:] = new
+        for (array, square), new in zip(self.sparse, (words, inner), strict=True):
+            array[:], square[:] = new[:, : array.shape[1]], new[:, SIZE + 1]
 
 
 def sample_texts(docs: DataFrame, text: str, counts: Counts, tokens: int = TRAIN_TOKENS) -> DataFrame:
-    """(text) that the model is trained on: distinct texts of about `tokens` tokens, by their hashes.
+    """(text) that the model starts from: distinct texts of about `tokens` tokens, by their hashes.
 
     Which texts these are doesn't depend on ids, nor on how the table is split. A text that occurs
-    often is one text, so copies don't crowd out the others; counts are of all rows.
+    often is one text, so copies don't crowd out the others; `train` then goes through all rows.
     """
     steps = 1 << 20
     share = steps if counts.tokens <= tokens else steps * tokens // counts.tokens
@@ -387,46 +444,72 @@ def sample_texts(docs: DataFrame, text: str, counts: Counts, tokens: int = TRAIN
     return stage(chosen.distinct(), "trained-on")
 
 
-def train(docs: DataFrame, text: str, counts: Counts, tokens: int = TRAIN_TOKENS) -> Model:
-    """The model, trained on a sample of about `tokens` tokens in the order of their texts' hashes.
-
-    One task goes through the sample, part by part, so the result is the same however the table is
-    split, and its cost doesn't grow with the table. It returns the rows of parameters that it changed.
+def changed_rows(before: np.ndarray, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(base, met, values): the rows that differ, ROWS at a time."""
+    for base in range(0, len(after), ROWS):
+        met = np.flatnonzero((after[base : base + ROWS] != before[base : base + ROWS]).any(1))
+        if len(met):
+            row = [base], [met.astype(np.int16).tobytes()], [after[base + met].tobytes()]
+            made = [pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(made, ["base", "met", "values"])
+
+
+def mean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one base, each the mean of the shards that changed it."""
+    total, shards = np.zeros((ROWS, SIZE + 2)), np.zeros(ROWS)
+    for batch in batches:
+        bases = batch.column(0)
+        for met, values in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            at = np.frombuffer(met, np.int16)
+            total[at] += np.frombuffer(values, np.float32).reshape(-1, SIZE + 2)
+            shards[at] += 1
+    met = np.flatnonzero(shards)
+    values = (total[met] / shards[met, None]).astype(np.float32)
+    made = [bases[:1], pa.array([met.astype(np.int16).tobytes()]), pa.array([values.tobytes()])]
+    yield pa.RecordBatch.from_arrays(made, ["base", "met", "values"])
+
+
+def train(docs: DataFrame, text: str, counts: Counts, tokens: int = TRAIN_TOKENS, key: str = "doc_id") -> Model:
+    """The model, learned from all rows.
+
+    It starts from a sample of about `tokens` tokens, which one task goes through in the order of the
+    texts' hashes. All rows, copies and those of the sample too, are then dealt by hashes of key and
+    text to shards of about `tokens` tokens. A task goes through each shard from that start, and each
+    row of parameters becomes its mean over the shards that changed it. So the result is the same
+    however the table is split, and no task grows with the table.
     """
-    start = new_model(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((start.tree, log_unigrams(counts), Classes(counts)))
-
-    def run(batches):
-        tree, noise, classes = shared.value
-        model = start_model(tree, noise)
-        trainer = Trainer(model, noise, SEED)
-        for batch in batches:
-            for part in parts(batch, 0, PART_BYTES):
-                words, histories, _, _ = numbered(raw_texts(part, 0), classes)
-                order = trainer.rng.permutation(len(words))
-                for at in range(0, len(order), BATCH):
-                    rows = order[at : at + BATCH]
-                    trainer.step(words[rows], histories[rows])
-        before = 0
-        for values, old in zip(model.rows(), start_model(tree, noise).rows(), strict=True):
-            for at in range(0, len(values), ROWS):
-                met = np.flatnonzero((values[at : at + ROWS] != old[at : at + ROWS]).any(1))
-                row = [before + at], [met.astype(np.int16).tobytes()], [values[at + met].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names)
-            before += len(values)
-
-    names, kinds = ["base", "met", "values"], [pa.int32(), pa.binary(), pa.binary()]
-    ordered = sample_texts(docs, text, counts, tokens).coalesce(1).sortWithinPartitions(F.xxhash64("text"), "text")
-    found = ordered.mapInArrow(run, "base int, met binary, values binary").toArrow()
-    shared.destroy()
-    rows = start.rows()
-    whole = np.concatenate(rows)
-    for base, met, values in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        at = base + np.frombuffer(met, np.int16).astype(np.int64)
-        whole[at] = np.frombuffer(values, np.float32).reshape(-1, SIZE + 1)
-    context, weight, output, words, inner = np.split(whole, np.cumsum([len(r) for r in rows])[:-1])
-    parts_of = (context[:, :SIZE], weight[:, :SIZE], output[:, :SIZE], output[:, SIZE], words[:, :SIZE], inner)
-    return Model(*[np.ascontiguousarray(a) for a in parts_of], start.tree)
+    spark = docs.sparkSession
+    trainer = Trainer(new_model(counts), log_unigrams(counts), SEED)
+    whole = np.concatenate(trainer.rows())
+    common = spark.sparkContext.broadcast((trainer.model.tree, log_unigrams(counts), Classes(counts)))
+    sample = sample_texts(docs, text, counts, tokens).select("text", F.lit(0).alias("shard"), F.xxhash64("text").alias("hash"))
+    count = max(1, -(-counts.tokens // tokens))
+    number = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    every = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), number.alias("hash"))
+    every = every.select("text", F.pmod("hash", F.lit(count)).cast("int").alias("shard"), "hash")
+    for given in (sample.coalesce(1), every.repartitionById(count, "shard")):
+        before = spark.sparkContext.broadcast(whole)
+
+        def run(batches, before=before):
+            tree, noise, classes = common.value
+            for first in batches:
+                learned = Trainer(start_model(tree, noise), noise, SEED + first.column(1)[0].as_py())
+                learned.put(before.value)
+                learned.learn(chain([first], batches), classes)
+                yield from changed_rows(before.value, np.concatenate(learned.rows()))
+
+        ordered = given.sortWithinPartitions("hash", "text").select("text", "shard")
+        found = ordered.mapInArrow(run, "base int, met binary, values binary").groupBy("base").applyInArrow(
+            mean_rows, "base int, met binary, values binary"
+        ).toArrow()
+        before.destroy()
+        whole = whole.copy()
+        for base, met, values in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            at = base + np.frombuffer(met, np.int16).astype(np.int64)
+            whole[at] = np.frombuffer(values, np.float32).reshape(-1, SIZE + 2)
+    common.destroy()
+    trainer.put(whole)
+    return trainer.model
 
 
 def distinct_histories(histories: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -434,18 +517,30 @@ def distinct_histories(histories: np.ndarray, model: Model) -> tuple[np.ndarray,
     key = histories[:, 0].astype(np.int64)
     for p in range(1, CONTEXT):
         key = key * len(model.tree.output) + histories[:, p]
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    return model.predicted(histories[first]).astype(np.float32), which
+    bits = len(key).bit_length()
+    if len(model.tree.output) ** CONTEXT >= 1 << (63 - bits):
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        return model.predicted(histories[first]).astype(np.float32), which
+    # Sorted together with their places, in one word each, which is faster than an index sort.
+    order = np.sort((key << bits) | np.arange(len(key)))
+    key = order >> bits
+    order &= (1 << bits) - 1
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return model.predicted(histories.take(order[new], 0)).astype(np.float32), which
 
 
 def log_outputs(words: np.ndarray, predicted: np.ndarray, which: np.ndarray, model: Model) -> np.ndarray:
     norms = np.empty(len(predicted), np.float32)
     longest = np.sqrt(np.einsum("ij,ij->i", model.output, model.output)).max(initial=0)
     highest, ones = model.bias.max(initial=0), np.ones(len(model.bias), np.float32)
-    for at in range(0, len(predicted), 512):
-        some = predicted[at : at + 512]
-        scores = some @ model.output.T
-        scores += model.bias
+    output = np.vstack((model.output.T, model.bias))
+    ahead, room = np.ones((256, SIZE + 1), np.float32), np.empty((256, len(model.bias)), np.float32)
+    for at in range(0, len(predicted), 256):
+        some = predicted[at : at + 256]
+        ahead[: len(some), :SIZE] = some
+        scores = np.matmul(ahead[: len(some)], output, out=room[: len(some)])
         # No score is above this; only one that could overflow is taken off.
         top = np.sqrt(np.einsum("ij,ij->i", some, some)) * longest + highest
         top[top < 60] = 0
@@ -453,12 +548,12 @@ def log_outputs(words: np.ndarray, predicted: np.ndarray, which: np.ndarray, mod
         if len(high):
             top[high] = scores[high].max(1)
             scores[high] -= top[high, None]
-        norms[at : at + 512] = np.log(np.exp(scores, out=scores) @ ones) + top
+        norms[at : at + 256] = np.log(np.exp(scores, out=scores) @ ones) + top
     score = np.empty(len(words), np.float64)
-    for at in range(0, len(words), 1 << 16):
-        rows = slice(at, at + (1 << 16))
-        score[rows] = np.einsum("ij,ij->i", predicted[which[rows]], model.output[words[rows]])
-    return score + model.bias[words] - norms[which]
+    for at in range(0, len(words), 1 << 13):
+        rows = slice(at, at + (1 << 13))
+        score[rows] = np.einsum("ij,ij->i", predicted.take(which[rows], 0), model.output.take(words[rows], 0))
+    return score + model.bias.take(words) - norms.take(which)
 
 
 def log_probabilities(words: np.ndarray, histories: np.ndarray, model: Model) -> np.ndarray:
@@ -472,12 +567,14 @@ def log_probabilities(words: np.ndarray, histories: np.ndarray, model: Model) ->
 def log_words(numbers: np.ndarray, histories: np.ndarray, model: Model) -> np.ndarray:
     """Natural log probabilities of words by number: of the output, then of the way inside the class."""
     predicted, which = distinct_histories(histories, model)
-    logs = log_outputs(model.tree.output[numbers], predicted, which, model)
-    for at in range(0, len(numbers), 1 << 14):
-        place, nodes, sides = model.tree.ways(numbers[at : at + (1 << 14)])
-        ahead = model.inside(predicted, which[at : at + (1 << 14)][place], nodes)
-        taken = np.log1p(np.exp(np.clip(np.where(sides == 1, -ahead, ahead), -80, 80)))
-        logs[at : at + (1 << 14)] -= np.bincount(place, taken, len(logs[at : at + (1 << 14)]))
+    logs = log_outputs(model.tree.output.take(numbers), predicted, which, model)
+    for at in range(0, len(numbers), 1 << 12):
+        rows = slice(at, at + (1 << 12))
+        place, nodes, sides = model.tree.ways(numbers[rows])
+        ahead = model.inside(predicted, which[rows].take(place), nodes)
+        ahead *= 1 - 2 * sides
+        taken = np.log1p(np.exp(np.clip(ahead, -80, 80)))
+        logs[rows] -= np.bincount(place, taken, len(logs[rows]))
     return logs
 
 
@@ -491,23 +588,22 @@ class Scorer:
         for word, n in counts.frequent.items():
             self.log[self.classes[word]], self.known[self.classes[word]] = math.log10(n + 0.5), True
 
-    def score(self, batch: list[bytes]) -> list[dict]:
+    def score(self, batch: list[bytes]) -> list[pa.Array]:
+        """Tokens, known ones, base, model and the other words with their counts, of each text."""
         words, histories, sizes, listed = numbered(batch, self.classes)
-        logs = log_words(words, histories, self.model) / math.log(10) - self.model.tree.rest[words]
-        text = np.repeat(np.arange(len(batch)), sizes)
-        sums = [np.bincount(text, x, len(batch)).tolist() for x in (self.known[words], self.log[words], logs)]
-        rare: list[Counter] = [Counter() for _ in batch]
-        for at in np.flatnonzero(~self.known[words]).tolist():
-            rare[text[at]][listed[at]] += 1
+        logs = log_words(words, histories, self.model) / math.log(10) - self.model.tree.rest.take(words)
+        text, known = np.repeat(np.arange(len(batch)), sizes), self.known.take(words)
+        sums = [np.bincount(text, x, len(batch)) for x in (known, self.log.take(words), logs)]
+        at = np.flatnonzero(~known)
+        rare = Counter(zip(text[at].tolist(), map(listed.__getitem__, at.tolist()), strict=True))  # by text, as first met
+        own = np.bincount(np.fromiter((t for t, _ in rare), np.int64, len(rare)), minlength=len(batch))
+        pairs = [pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())]
+        ends = pa.array(np.concatenate(([0], np.cumsum(own))), pa.int32())
         return [
-            {
-                "n_tokens": size,
-                "known": int(known),
-                "base": base,
-                "model": total,
-                "rare": [{"word": w, "n": n} for w, n in own.items()],
-            }
-            for size, known, base, total, own in zip(sizes.tolist(), *sums, rare, strict=True)
+            pa.array(sizes, pa.int64()),
+            pa.array(sums[0].astype(np.int64)),
+            *map(pa.array, sums[1:]),
+            pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(pairs, ["word", "n"])),
         ]
 
 
@@ -518,9 +614,8 @@ def score(
 
     Counts and the model are learned from the rows where `learn` holds. Returns key, `n_tokens`,
     `n_known` (tokens that the training texts have), `train_tokens`, `base_score` (of the smoothed
-    counts) and `score` (of the log-bilinear model, which `train` learns from a sample of the texts; counts
-    are of all). The `frequent` words have vectors of their own, as
-    outputs and as context. A token outside them has the probability of the rest of its class times its
+    counts) and `score` (of the log-bilinear model, which `train` learns from all of them, as are the
+    counts). The `frequent` words have vectors of their own, as outputs and as context. A token outside them has the probability of the rest of its class times its
     smoothed share of that rest, so probabilities of tokens add up to one.
     A null or empty text is one end. Without training rows every token is unknown. Repeated rows and
     null keys stay; other columns are not looked at. Broadcast are `frequent` words and the model;
@@ -529,25 +624,16 @@ def score(
     training = docs.where(learn)
     table = stage(count_words(training, text), "word-counts")
     counts = collect_counts(table, frequent)
-    model = train(training, text, counts)
+    model = train(training, text, counts, key=key)
     shared = docs.sparkSession.sparkContext.broadcast((counts, model))
 
     def run(batches):
         scorer = Scorer(*shared.value)
         for batch in batches:
             for part in parts(batch, 2, PART_BYTES):
-                made = scorer.score(raw_texts(part, 2))
-                arrays = [part.column(0), part.column(1)]
-                arrays += [pa.array([m[n] for m in made], kind) for n, kind in kinds.items()]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", *kinds])
-
-    kinds = {
-        "n_tokens": pa.int64(),
-        "known": pa.int64(),
-        "base": pa.float64(),
-        "model": pa.float64(),
-        "rare": pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])),
-    }
+                arrays = [part.column(0), part.column(1), *scorer.score(raw_texts(part, 2))]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "n_tokens", "known", "base", "model", "rare"])
+
     schema = (
         f"row bigint, key {docs.schema[key].dataType.simpleString()}, n_tokens bigint, known bigint, "
         "base double, model double, rare array<struct<word:binary,n:bigint>>"

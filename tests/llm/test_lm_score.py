@@ -120,6 +120,22 @@ def test_the_sample_is_of_texts_and_bounded(spark):
     assert chosen == {r.text for r in lm.sample_texts(docs.repartition(9), "text", counts, counts.tokens // 10).collect()}
 
 
+def test_all_rows_shape_the_model(spark):
+    """Words of rows outside the sample get vectors too, copies count, and shards don't follow partitions or need keys."""
+    texts = [f"a{n}x b{n}x " * 5 for n in range(900)]
+    docs = spark.createDataFrame([(n if n % 3 else None, t) for n, t in enumerate(texts)], "doc_id bigint, text string")
+    counts = lm.collect_counts(lm.count_words(docs, "text"))
+    tokens = counts.tokens // 7
+    assert lm.sample_texts(docs, "text", counts, tokens).count() < 300
+    model = lm.train(docs, "text", counts, tokens)
+    assert len(model.words) > 1200
+    assert (model.words[1:] != 0).any(1).all()
+    again = lm.train(docs.repartition(9), "text", counts, tokens)
+    assert all(np.allclose(a, b, rtol=1e-5, atol=1e-6) for a, b in zip(again.rows(), model.rows(), strict=True))
+    copies = lm.train(docs.union(docs.where("doc_id < 100")), "text", counts, tokens)
+    assert not np.allclose(copies.words, model.words, rtol=1e-3)
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(2)
     words = {f"w{n}".encode(): 2000 - n for n in range(1500)}
