@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ SEED = 20_240_229
 TRAIN_TOKENS = 8_000_000
 PART_BYTES = 4 << 20
 FLUSH = 300_000
+# Numbers of words whose pairs are normalised once for all texts of a task.
+PAIRS = 2048
 # Rows of a group that are added up one after the other.
 FEW = 8
 # Rows of parameters that a task returns together.
@@ -55,6 +59,38 @@ def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+def words_of(batch: list[bytes]) -> pa.LargeBinaryArray:
+    """The tokens of all texts, as `tokens_of` gives them, one text after the other."""
+    data = b" \n ".join([*(text.translate(_TABLE) for text in batch), b""])
+    letters = np.frombuffer(data, np.uint8)
+    gaps = letters == 32
+    sizes = np.diff(np.flatnonzero(gaps), prepend=-1) - 1
+    ends = np.cumsum(np.concatenate(([0], sizes[sizes > 0])))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters[~gaps])])
+
+
+def word_bytes(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends, and the bytes of all."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+    return ends, np.frombuffer(data or b"", np.uint8)
+
+
+@cache
+def _tails() -> tuple[np.ndarray, np.ndarray]:
+    """The classes of words of one byte, and of words by their last two."""
+    one = [tail_of(bytes((b,))) for b in range(256)]
+    return np.array(one, np.int32), np.array([tail_of(bytes((a, b))) for a in range(256) for b in range(256)], np.int32)
+
+
+def tails_of(words: pa.LargeBinaryArray) -> np.ndarray:
+    """`tail_of` each word."""
+    (ends, data), (one, two) = word_bytes(words), _tails()
+    last = data.take(ends[1:] - 1).astype(np.int32)
+    # Before a word of one byte may be nothing at all.
+    return np.where(np.diff(ends) > 1, two.take((data.take(ends[1:] - 2, mode="wrap").astype(np.int32) << 8) | last), one.take(last))
+
+
 @dataclass
 class Counts:
     """What the training tokens say: frequent words with their counts, and totals of all."""
@@ -73,25 +109,24 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, tail, n): counts over all texts, added up in each task before the shuffle."""
 
     def run(batches):
-        counts: Counter = Counter()
+        counts = None
 
         def rows():
-            words = list(counts)
-            made = [
-                pa.array(words, pa.binary()),
-                pa.array([tail_of(w) for w in words], pa.int32()),
-                pa.array(list(counts.values()), pa.int64()),
-            ]
-            counts.clear()
+            words = counts["word"].combine_chunks()
+            made = [words.cast(pa.binary()), pa.array(tails_of(words)), counts["n"].combine_chunks()]
             return pa.RecordBatch.from_arrays(made, ["word", "tail", "n"])
 
         for batch in batches:
             for part in parts(batch, 0, PART_BYTES):
-                for value in raw_texts(part, 0):
-                    counts.update(tokens_of(value))
+                found = pa.table(words_of(raw_texts(part, 0)).value_counts().flatten(), ["word", "n"])
+                if counts is not None:
+                    both = pa.concat_tables([counts, found]).group_by("word", use_threads=False)
+                    found = both.aggregate([("n", "sum")]).rename_columns(["word", "n"])
+                counts = found
                 if len(counts) > FLUSH:
                     yield rows()
-        if counts:
+                    counts = None
+        if counts is not None:
             yield rows()
 
     found = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word binary, tail int, n bigint")
@@ -140,6 +175,19 @@ class Classes(dict):
     def __missing__(self, word: bytes) -> int:
         return WORDS + tail_of(word)
 
+    @cached_property
+    def listed(self) -> pa.LargeBinaryArray:
+        return pa.array(self, pa.large_binary())
+
+    def numbers(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """The model's number of each word."""
+        place = pc.index_in(words, self.listed)
+        rare = np.flatnonzero(place.is_null().to_numpy(False))
+        found = place.fill_null(0).to_numpy().copy()
+        found[found >= WORDS] += START + 1 - WORDS
+        found[rare] = WORDS + tails_of(words.take(pa.array(rare)))
+        return found
+
 
 def rest_of(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each class that are not frequent."""
@@ -169,20 +217,27 @@ class Tree:
             found.append(at)
             at = np.where(at >= 0, self.up[len(self.output) + (at >> 1)], -1)
         steps = np.stack(found, 1) if found else np.empty((len(self.output), 0), np.int32)
-        self.size = (steps >= 0).sum(1)
-        self.first = np.cumsum(self.size) - self.size
-        flat = steps[steps >= 0]
-        self.nodes, self.sides = flat >> 1, (flat & 1).astype(np.float32)
+        self.size = (steps >= 0).sum(1).astype(np.int16)
+        self.first = (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int32)
+        self.steps = steps[steps >= 0]
 
     def __reduce__(self) -> tuple:
         return Tree, (self.output, self.up, self.odds, self.rest)  # ways are longer than what they follow from
 
-    def ways(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each step of each word: the word's place, the node and the side."""
-        sizes = self.size[numbers]
-        place = np.repeat(np.arange(len(numbers)), sizes)
-        at = np.repeat(self.first[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(place))
-        return place, self.nodes.take(at), self.sides.take(at)
+    def falling(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of the words, the one with the longest way first."""
+        return np.argsort(-self.size.take(numbers), kind="stable")
+
+    def levels(self, numbers: np.ndarray) -> tuple[list[tuple[int, slice]], np.ndarray, np.ndarray]:
+        """The nodes and sides of the first steps of all words, whose ways get no longer, then of their
+        second ones and so on; and how many words have each step, with its part of these arrays.
+        """
+        sizes = self.size.take(numbers)
+        many = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0), dtype=np.int16)).tolist()
+        ends, first = np.cumsum(many).tolist(), self.first.take(numbers)
+        at = [self.steps.take(first[:n] + level) for level, n in enumerate(many)]
+        up = np.concatenate(at) if at else np.empty(0, np.int32)
+        return [(n, slice(end - n, end)) for n, end in zip(many, ends, strict=True)], up >> 1, (up & 1).astype(np.float32)
 
 
 def new_tree(counts: Counts) -> Tree:
@@ -231,10 +286,9 @@ class Model:
     def predicted(self, histories: np.ndarray) -> np.ndarray:
         return sum(self.weight[p] * self.vectors(histories[:, p]) for p in range(CONTEXT))
 
-    def inside(self, predicted: np.ndarray, place: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Scores of nodes, each for the prediction of its place."""
-        inner = self.inner.take(nodes, 0)
-        return np.einsum("ij,ij->i", predicted.take(place, 0), inner[:, :SIZE]) + inner[:, SIZE]
+    def inside(self, ahead: np.ndarray, levels: list[tuple[int, slice]], inner: np.ndarray) -> np.ndarray:
+        """Scores of the nodes of all levels, `ahead` being predictions with a one after them."""
+        return np.concatenate([np.einsum("ij,ij->i", inner[rows], ahead[:n]) for n, rows in levels])
 
     def __reduce__(self) -> tuple:
         inner = self.inner.copy()
@@ -285,49 +339,57 @@ def start_model(tree: Tree, unigrams: np.ndarray) -> Model:
     )
 
 
-def numbered(batch: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def numbered(batch: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.LargeBinaryArray]:
     """The numbers of all tokens, their histories, the number of tokens of each text, and the tokens."""
-    lengths, pieces, listed = [], [], []
-    for text in batch:
-        words = tokens_of(text)
-        listed += words
-        lengths.append(len(words))
-        pieces.append(np.full(CONTEXT, START, np.int32))
-        pieces.append(np.fromiter(map(classes.__getitem__, words), np.int32, len(words)))
-    flat = np.concatenate(pieces)
-    sizes = np.array(lengths)
-    first = np.cumsum(sizes + CONTEXT) - sizes
-    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    histories = np.stack([flat[at - 1 - p] for p in range(CONTEXT)], 1)
-    return flat[at], histories, sizes, listed
+    words = words_of(batch)
+    ends, data = word_bytes(words)
+    sizes = np.diff(np.flatnonzero(data.take(ends[:-1]) == END[0]), prepend=-1)
+    numbers, first = classes.numbers(words), np.cumsum(sizes) - sizes
+    histories = np.full((len(numbers), CONTEXT), START, np.int32)
+    for p in range(CONTEXT):
+        histories[p + 1 :, p] = numbers[: max(len(numbers) - p - 1, 0)]
+        for q in range(p + 1):
+            histories[first[sizes > q] + q, p] = START
+    return numbers, histories, sizes, words
+
+
+def logistic(score: np.ndarray) -> np.ndarray:
+    """The logistic function, in the array that is given."""
+    np.clip(score, -30, 30, out=score)
+    np.negative(score, out=score)
+    np.exp(score, out=score)
+    score += 1
+    return np.reciprocal(score, out=score)
 
 
 def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Add each row to the row of `total` that it belongs to."""
-    width = total.shape[1]
-    cells = (at[:, None] * width + np.arange(width)).ravel()
-    total += np.bincount(cells, rows.ravel(), total.size).reshape(total.shape)
+    at = at.astype(np.intp)
+    for cells, column in zip(total.T, np.ascontiguousarray(rows.T, np.float64), strict=True):
+        cells += np.bincount(at, column, len(total))
+
+
+def put_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Put rows in places of `total`, each as one item, which is faster than cell by cell."""
+    kind = np.dtype((np.void, total.itemsize * total.shape[1]))
+    total.view(kind)[:, 0][at] = np.ascontiguousarray(rows, total.dtype).view(kind)[:, 0]
 
 
-def sum_groups(rows: np.ndarray, first: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
-    """Sums of consecutive rows, in `order` if given, from each place of `first` to the next.
+def sum_groups(rows: np.ndarray, sizes: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Sums of the rows in `order` from each place of `first` on, as many as `sizes`, which fall.
 
-    Most groups are small: they are added up place by place, all groups at once.
+    Most groups are small: they are added up place by place, all that are long enough at once.
     """
-    sizes = np.diff(first, append=len(rows))
-    rows_at = (lambda at: rows.take(at, 0)) if order is None else (lambda at: rows.take(order.take(at), 0))
-    total, left = rows_at(first), np.arange(len(first))
-    for k in range(1, FEW):
-        left = left[sizes[left] > k]
-        if not len(left):
-            return total
-        total[left] += rows_at(first[left] + k)
-    left = left[sizes[left] > FEW]
-    if len(left):
-        more = sizes[left] - FEW
+    total = rows.take(order.take(first), 0)
+    for k in range(1, min(FEW, sizes.max(initial=0))):
+        left = first[: np.searchsorted(-sizes, -k)]
+        total[: len(left)] += rows.take(order.take(left + k), 0)
+    left = np.searchsorted(-sizes, -FEW)
+    if left:
+        more = sizes[:left] - FEW
         start = np.cumsum(more) - more
-        at = np.repeat(first[left] + FEW - start, more) + np.arange(more.sum())
-        total[left] += np.add.reduceat(rows_at(at), start, axis=0)
+        at = np.repeat(first[:left] + FEW - start, more) + np.arange(more.sum())
+        total[:left] += np.add.reduceat(rows.take(order.take(at), 0), start, axis=0)
     return total
 
 
@@ -349,7 +411,9 @@ class Trainer:
 
     def step(self, words: np.ndarray, histories: np.ndarray) -> None:
         model, output = self.model, self.model.tree.output
-        numbers, words = words, output.take(words)
+        order = model.tree.falling(words)
+        numbers, histories = words.take(order), histories.take(order, 0)
+        words = output.take(numbers)
         others = np.searchsorted(self.draw, self.rng.random(NOISE) * self.draw[-1]).clip(max=OUTPUTS - 1)
         vectors = [model.vectors(histories[:, p]) for p in range(CONTEXT)]
         ones = np.ones((len(words), SIZE + 1), np.float32)
@@ -357,34 +421,36 @@ class Trainer:
         predicted[:] = sum(model.weight[p] * vectors[p] for p in range(CONTEXT))
         outputs = model.output.take(words, 0)
         score = np.einsum("ij,ij->i", predicted, outputs) + model.bias.take(words)
-        miss = 1 / (1 + np.exp(np.clip(score - self.noise.take(words), -30, 30)))
-        scores = predicted @ model.output[others].T + (model.bias[others] - self.noise[others])
-        false = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        miss = logistic(self.noise.take(words) - score)
+        false = predicted @ model.output[others].T
+        false += model.bias[others] - self.noise[others]
+        false = logistic(false)
         steps = [np.zeros_like(a) for a in model.arrays()]
-        add_rows(steps[2], words, miss[:, None] * predicted)
-        add_rows(steps[2], others, false.T @ predicted)
-        steps[3] += np.bincount(words, miss, OUTPUTS) + np.bincount(others, false.sum(0), OUTPUTS)
-        back = miss[:, None] * outputs + false @ model.output[others]
-        place, nodes, sides = model.tree.ways(numbers)
-        if len(place):
-            inner, ahead = model.inner.take(nodes, 0), ones.take(place, 0)
-            score = np.einsum("ij,ij->i", inner, ahead)
-            wrong = (sides - 1 / (1 + np.exp(-np.clip(score, -30, 30))))[:, None]
+        change = np.empty((len(words) + NOISE, SIZE + 1), np.float32)
+        np.multiply(ones, miss[:, None], out=change[: len(words)])
+        np.negative(false.T @ ones, out=change[len(words) :])
+        sums = np.zeros((OUTPUTS, SIZE + 1), np.float32)
+        add_rows(sums, np.concatenate((words, others)), change)
+        steps[2][:], steps[3][:] = sums[:, :SIZE], sums[:, SIZE]
+        back = miss[:, None] * outputs
+        back -= false @ model.output[others]
+        levels, nodes, sides = model.tree.levels(numbers)
+        if levels:
+            inner = model.inner.take(nodes, 0)
+            wrong = (sides - logistic(model.inside(ones, levels, inner)))[:, None]
             inner *= wrong
-            starts = np.flatnonzero(np.diff(place, prepend=-1))
-            back[place[starts]] += sum_groups(inner, starts)[:, :SIZE]
-            ahead *= wrong
-            self.change(1, nodes, ahead)
-        own = []
+            for n, rows in levels:
+                back[:n] += inner[rows, :SIZE]
+                np.multiply(ones[:n], wrong[rows], out=inner[rows])
+            self.change(1, nodes, inner)
+        changes = np.concatenate([back * model.weight[p] for p in range(CONTEXT)])
+        at = histories.T.ravel()
         for p in range(CONTEXT):
             steps[1][p] = np.einsum("ij,ij->j", back, vectors[p])
-            change = back * model.weight[p]
-            add_rows(steps[0], output.take(histories[:, p]), change)
-            frequent = np.flatnonzero(histories[:, p] > START)
-            own.append((histories[frequent, p] - START, change.take(frequent, 0)))
-        at, change = (np.concatenate(x) for x in zip(*own, strict=True))
-        if len(at):
-            self.change(0, at, change)
+        add_rows(steps[0], output.take(at), changes)
+        frequent = np.flatnonzero(at > START)
+        if len(frequent):
+            self.change(0, at.take(frequent) - START, changes.take(frequent, 0))
         for array, change, square in zip(model.arrays(), steps, self.squares, strict=True):
             change /= len(words)
             square += change * change
@@ -397,10 +463,15 @@ class Trainer:
         at = order >> bits
         order &= (1 << bits) - 1
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        change, ids = sum_groups(rows, first, order), at[first]
-        square[ids] += np.einsum("ij,ij->i", change, change) / change.shape[1]
-        change *= (RATE / np.sqrt(square[ids]))[:, None]
-        array[ids] = array.take(ids, 0) + change
+        sizes = np.concatenate((first[1:], [len(at)])) - first
+        falling = np.argsort(-sizes.astype(np.int16), kind="stable")
+        sizes, first = sizes.take(falling), first.take(falling)
+        change, ids = sum_groups(rows, sizes, first, order), at.take(first)
+        squares = square.take(ids) + np.einsum("ij,ij->i", change, change) / change.shape[1]
+        square[ids] = squares
+        change *= (RATE / np.sqrt(squares))[:, None]
+        change += array.take(ids, 0)
+        put_rows(array, ids, change)
 
     def learn(self, batches: Iterator[pa.RecordBatch], classes: Classes) -> None:
         """Steps over the first column's texts, part by part."""
@@ -512,15 +583,15 @@ def train(docs: DataFrame, text: str, counts: Counts, tokens: int = TRAIN_TOKENS
     return trainer.model
 
 
-def distinct_histories(histories: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The predictions of all distinct histories, and which of them each history has."""
+def distinct_histories(histories: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All distinct histories, their predictions, and which of them each history has."""
     key = histories[:, 0].astype(np.int64)
     for p in range(1, CONTEXT):
         key = key * len(model.tree.output) + histories[:, p]
     bits = len(key).bit_length()
     if len(model.tree.output) ** CONTEXT >= 1 << (63 - bits):
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        return model.predicted(histories[first]).astype(np.float32), which
+        return histories[first], model.predicted(histories[first]).astype(np.float32), which
     # Sorted together with their places, in one word each, which is faster than an index sort.
     order = np.sort((key << bits) | np.arange(len(key)))
     key = order >> bits
@@ -528,10 +599,38 @@ def distinct_histories(histories: np.ndarray, model: Model) -> tuple[np.ndarray,
     new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
     which = np.empty(len(key), np.int64)
     which[order] = np.cumsum(new) - 1
-    return model.predicted(histories.take(order[new], 0)).astype(np.float32), which
+    histories = histories.take(order[new], 0)
+    return histories, model.predicted(histories).astype(np.float32), which
 
 
-def log_outputs(words: np.ndarray, predicted: np.ndarray, which: np.ndarray, model: Model) -> np.ndarray:
+def pair_norms(model: Model) -> np.ndarray:
+    """`log_norms` of all histories of two numbers below PAIRS.
+
+    What two words add to a score is added, so the exponentials of each are taken once, and the sums over
+    outputs are one matrix product. It is not a number where all of them are too small for that.
+    """
+    vectors = model.vectors(np.arange(min(PAIRS, len(model.tree.output))))
+    one, other = ((vectors * model.weight[p]) @ model.output.T + (1 - p) * model.bias for p in range(2))
+    tops = one.max(1, keepdims=True), other.max(1, keepdims=True)
+    sums = np.exp(one - tops[0]) @ np.exp(other - tops[1]).T
+    sums[sums < 1e-25] = np.nan
+    np.log(sums, out=sums)
+    sums += tops[0]
+    sums += tops[1].T
+    return sums
+
+
+def known_norms(histories: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
+    """The norms of histories that `pairs` has, else not a number."""
+    norms = np.full(len(histories), np.nan, np.float32)
+    if pairs is not None:
+        at = np.flatnonzero(histories.max(1, initial=0) < len(pairs))
+        norms[at] = pairs[histories[at, 0], histories[at, 1]]
+    return norms
+
+
+def log_norms(predicted: np.ndarray, model: Model) -> np.ndarray:
+    """The logarithms of the sums over all outputs."""
     norms = np.empty(len(predicted), np.float32)
     longest = np.sqrt(np.einsum("ij,ij->i", model.output, model.output)).max(initial=0)
     highest, ones = model.bias.max(initial=0), np.ones(len(model.bias), np.float32)
@@ -549,6 +648,13 @@ def log_outputs(words: np.ndarray, predicted: np.ndarray, which: np.ndarray, mod
             top[high] = scores[high].max(1)
             scores[high] -= top[high, None]
         norms[at : at + 256] = np.log(np.exp(scores, out=scores) @ ones) + top
+    return norms
+
+
+def log_outputs(words: np.ndarray, predicted: np.ndarray, which: np.ndarray, model: Model, norms: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of outputs; `norms` of predictions that are not yet known are worked out."""
+    left = np.flatnonzero(np.isnan(norms))
+    norms[left] = log_norms(predicted.take(left, 0), model)
     score = np.empty(len(words), np.float64)
     for at in range(0, len(words), 1 << 13):
         rows = slice(at, at + (1 << 13))
@@ -561,20 +667,27 @@ def log_probabilities(words: np.ndarray, histories: np.ndarray, model: Model) ->
 
     The sum over all outputs is computed once for each distinct history, in batches of matrix products.
     """
-    return log_outputs(words, *distinct_histories(histories, model), model)
+    histories, predicted, which = distinct_histories(histories, model)
+    return log_outputs(words, predicted, which, model, known_norms(histories, None))
 
 
-def log_words(numbers: np.ndarray, histories: np.ndarray, model: Model) -> np.ndarray:
+def log_words(numbers: np.ndarray, histories: np.ndarray, model: Model, pairs: np.ndarray | None = None) -> np.ndarray:
     """Natural log probabilities of words by number: of the output, then of the way inside the class."""
-    predicted, which = distinct_histories(histories, model)
-    logs = log_outputs(model.tree.output.take(numbers), predicted, which, model)
+    histories, predicted, which = distinct_histories(histories, model)
+    logs = log_outputs(model.tree.output.take(numbers), predicted, which, model, known_norms(histories, pairs))
+    ahead = np.ones((1 << 12, SIZE + 1), np.float32)
     for at in range(0, len(numbers), 1 << 12):
-        rows = slice(at, at + (1 << 12))
-        place, nodes, sides = model.tree.ways(numbers[rows])
-        ahead = model.inside(predicted, which[rows].take(place), nodes)
-        ahead *= 1 - 2 * sides
-        taken = np.log1p(np.exp(np.clip(ahead, -80, 80)))
-        logs[rows] -= np.bincount(place, taken, len(logs[rows]))
+        order = at + model.tree.falling(numbers[at : at + (1 << 12)])
+        levels, nodes, sides = model.tree.levels(numbers.take(order))
+        if levels:
+            ahead[: len(order), :SIZE] = predicted.take(which.take(order), 0)
+            taken = model.inside(ahead, levels, model.inner.take(nodes, 0))
+            taken *= 1 - 2 * sides
+            taken = np.log1p(np.exp(np.clip(taken, -80, 80, out=taken), out=taken), out=taken)
+            total = np.zeros(len(order))
+            for n, rows in levels:
+                total[:n] += taken[rows]
+            logs[order] -= total
     return logs
 
 
@@ -582,22 +695,27 @@ class Scorer:
     """Scores of texts, as far as the frequent words go, and the words that are left to join."""
 
     def __init__(self, counts: Counts, model: Model):
-        self.counts, self.model, self.classes = counts, model, Classes(counts)
+        self.model, self.classes = model, Classes(counts)
         # By number: what a frequent word adds to the base, and whether it is one.
         self.log, self.known = np.zeros(len(model.tree.output)), np.zeros(len(model.tree.output), bool)
-        for word, n in counts.frequent.items():
-            self.log[self.classes[word]], self.known[self.classes[word]] = math.log10(n + 0.5), True
+        numbers = np.fromiter(self.classes.values(), np.int64, len(self.classes))
+        self.log[numbers] = np.log10(np.fromiter(counts.frequent.values(), np.int64, len(numbers)) + 0.5)
+        self.known[numbers] = True
+        self.pairs: np.ndarray | None = None
 
     def score(self, batch: list[bytes]) -> list[pa.Array]:
         """Tokens, known ones, base, model and the other words with their counts, of each text."""
         words, histories, sizes, listed = numbered(batch, self.classes)
-        logs = log_words(words, histories, self.model) / math.log(10) - self.model.tree.rest.take(words)
+        if self.pairs is None and len(words) > PAIRS:
+            self.pairs = pair_norms(self.model)
+        logs = log_words(words, histories, self.model, self.pairs) / math.log(10) - self.model.tree.rest.take(words)
         text, known = np.repeat(np.arange(len(batch)), sizes), self.known.take(words)
         sums = [np.bincount(text, x, len(batch)) for x in (known, self.log.take(words), logs)]
         at = np.flatnonzero(~known)
-        rare = Counter(zip(text[at].tolist(), map(listed.__getitem__, at.tolist()), strict=True))  # by text, as first met
-        own = np.bincount(np.fromiter((t for t, _ in rare), np.int64, len(rare)), minlength=len(batch))
-        pairs = [pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())]
+        found = pa.table([pa.array(text.take(at)), listed.take(pa.array(at))], ["text", "word"])
+        rare = found.group_by(["text", "word"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        own = np.bincount(rare["text"].to_numpy(), minlength=len(batch))  # texts are met in order
+        pairs = [rare["word"].combine_chunks().cast(pa.binary()), rare["count_all"].combine_chunks()]
         ends = pa.array(np.concatenate(([0], np.cumsum(own))), pa.int32())
         return [
             pa.array(sizes, pa.int64()),

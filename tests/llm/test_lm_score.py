@@ -203,3 +203,100 @@ def test_words_outside_the_first_outputs_are_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     found = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") >= 0).where("doc_id < 0").collect()}
     assert found[-1] > found[-2] + 5
+
+
+def many_texts():
+    rng = np.random.default_rng(6)
+    words = [f"W{n}x" for n in range(3000)] + ["é", "x", "\x00", "a\x00b", "\x85", " "]
+    gaps = [" ", "  ", "\n", "\t\r", "\x0b", " \n ", "\x0c"]
+    texts = ["", " ", "\n", " x", "x ", "\n\nx\n\n"]
+    for size in rng.integers(0, 200, 60).tolist():
+        texts.append("".join(w + g for w, g in zip(rng.choice(words, size), rng.choice(gaps, size), strict=True)))
+    return [t.encode() for t in texts]
+
+
+def test_numbers_of_a_part_are_those_of_single_tokens(monkeypatch):
+    texts = many_texts()
+    tokens_of = [lm.tokens_of(t) for t in texts]
+    counts = counted({w: 5000 - n for n, w in enumerate(dict.fromkeys(w for t in tokens_of[:40] for w in t))})
+    # A part goes through no list of Python objects, one for each token, which took much of the time.
+    monkeypatch.setattr(lm, "tokens_of", None)
+    classes = lm.Classes(counts)
+    for own in (classes, lm.Classes(counted({}))):
+        numbers, histories, sizes, words = lm.numbered(texts, own)
+        assert words.to_pylist() == [w for t in tokens_of for w in t]
+        assert lm.tails_of(words).tolist() == [lm.tail_of(w) for t in tokens_of for w in t]
+        assert sizes.tolist() == [len(t) for t in tokens_of]
+        assert numbers.tolist() == [own[w] for t in tokens_of for w in t]
+        before = []
+        for tokens in tokens_of:
+            last = [lm.START] * lm.CONTEXT
+            for word in tokens:
+                before.append(last)
+                last = [own[word], *last[:-1]]
+        assert histories.tolist() == before
+    scorer = lm.Scorer(counts, lm.new_model(counts))
+    sizes, known, _, _, rare = (x.to_pylist() for x in scorer.score(texts))
+    for tokens, n, k, found in zip(tokens_of, sizes, known, rare, strict=True):
+        others = [w for w in tokens if w not in counts.frequent]
+        assert (n, k) == (len(tokens), len(tokens) - len(others))
+        assert {r["word"]: r["n"] for r in found} == {w: others.count(w) for w in others}
+
+
+def test_words_are_counted_over_parts(spark, monkeypatch):
+    texts = [t.decode() for t in many_texts()]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").coalesce(1)
+    expected = {}
+    for text in [*texts, ""]:
+        for word in tokens(text):
+            expected[word] = expected.get(word, 0) + 1
+    monkeypatch.setattr(lm, "PART_BYTES", 2000)
+    monkeypatch.setattr(lm, "FLUSH", 500)
+    found = lm.count_words(docs, "text").collect()
+    assert {bytes(r.word): r.n for r in found} == expected and len(found) == len(expected)
+    assert all(r.tail == lm.tail_of(bytes(r.word)) for r in found)
+
+
+def test_norms_of_pairs_are_those_of_predictions():
+    counts = counted({f"w{n}".encode(): 9000 - n for n in range(3000)})
+    rng = np.random.default_rng(8)
+    model = lm.new_model(counts)
+    for array in (model.context, model.output, model.words[1:]):
+        array += rng.normal(0, 0.5, array.shape).astype(np.float32)
+    model.bias -= 20  # whatever is added to all scores is in the norm
+    pairs = lm.pair_norms(model)
+    assert len(pairs) == lm.PAIRS
+    histories = rng.integers(0, 3000, (4000, lm.CONTEXT)).astype(np.int32)
+    known = lm.known_norms(histories, pairs)
+    assert (np.isnan(known) == (histories >= lm.PAIRS).any(1)).all()
+    exact = lm.log_norms(model.predicted(histories).astype(np.float32), model)
+    here = ~np.isnan(known)
+    assert np.allclose(known[here], exact[here], rtol=1e-5, atol=1e-4)
+    numbers = rng.integers(lm.START + 1, 3000, 4000).astype(np.int32)
+    assert np.allclose(lm.log_words(numbers, histories, model, pairs), lm.log_words(numbers, histories, model), atol=1e-3)
+    # Where the two words favour outputs so far apart that their product is nothing, all is added up anew.
+    model.context[:2] = model.output[:2] = 0
+    model.context[0, 0] = model.context[1, 1] = 60
+    model.output[:, :2] = 0
+    model.output[0, :2], model.output[1, :2] = (5, -5), (-5, 5)
+    pairs = lm.pair_norms(model)
+    assert np.isnan(pairs[0, 1])
+    one = np.array([[0, 1]], np.int32)
+    assert np.isfinite(lm.log_words(np.array([7], np.int32), one, model, pairs)).all()
+
+
+def test_rows_are_added_up_by_group():
+    rng = np.random.default_rng(9)
+    at = np.sort(rng.zipf(1.5, 900).clip(max=300) - 1)
+    rows, order = rng.normal(size=(900, 5)).astype(np.float32), rng.permutation(900)
+    expected = np.zeros((300, 5), np.float32)
+    np.add.at(expected, at, rows[order])
+    ids, first, sizes = np.unique(at, return_index=True, return_counts=True)
+    falling = np.argsort(-sizes, kind="stable")
+    found = lm.sum_groups(rows, sizes[falling], first[falling], order)
+    assert sizes.max() > 3 * lm.FEW and np.allclose(found, expected[ids[falling]], atol=1e-4)
+    total = np.zeros((300, 5), np.float32)
+    lm.add_rows(total, at, rows[order])
+    assert np.allclose(total, expected, atol=1e-4)
+    lm.put_rows(total, ids[falling], found + 1)
+    assert np.allclose(total[ids], expected[ids] + 1, atol=1e-4)
